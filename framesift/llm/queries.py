@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from framesift.llm import chat, mixing, multihash, tokenbin
+from framesift.llm import chat, mixing, multihash, simhash, tokenbin
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.query,
         "op5_chat_format": chat.query,
+        "op6_simhash": simhash.query,
         "op7_token_shards": tokenbin.query,
         "op8_multiset_fingerprints": multihash.query,
     }
