@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from framesift.llm import chat, langid, mixing, multihash, simhash, tokenbin
+from framesift.llm import chat, langid, licenses, mixing, multihash, simhash, tokenbin
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.query,
+        "op2_license_scan": licenses.query,
         "op3_language_id": langid.query,
         "op5_chat_format": chat.query,
         "op6_simhash": simhash.query,
