@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.llm import chat, langid, licenses, mixing, multihash, simhash, tokenbin
+from framesift.llm import chat, decontam, langid, licenses, linededup, mixing, multihash, simhash, tokenbin
 
 
 def queries():
@@ -14,8 +14,10 @@ def queries():
         "op6_simhash": simhash.query,
         "op7_token_shards": tokenbin.query,
         "op8_multiset_fingerprints": multihash.query,
+        "op9_decontaminate": decontam.query,
+        "op10_site_lines": linededup.query,
     }
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.ORACLE, "op5_chat_format": chat.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op5_chat_format": chat.ORACLE, "op10_site_lines": linededup.ORACLE}
