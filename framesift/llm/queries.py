@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.llm import chat, decontam, langid, licenses, linededup, mixing, multihash, simhash, tokenbin
+from framesift.llm import chat, decontam, langid, licenses, linededup, mixing, multihash, simhash, substring, tokenbin
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_mix_sources": mixing.query,
         "op2_license_scan": licenses.query,
         "op3_language_id": langid.query,
+        "op4_substring_dedup": substring.query,
         "op5_chat_format": chat.query,
         "op6_simhash": simhash.query,
         "op7_token_shards": tokenbin.query,
