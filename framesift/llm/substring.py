@@ -169,7 +169,7 @@ def _repeated(found: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("known", "h"))
     kept = found.withColumn("n", n).where((F.col("known") | (F.col("n") > 1)) & (F.col("ord") >= 0))
     grouped = kept.groupBy("id").agg(F.collect_list(F.struct("ord", "pos", "len")).alias("places"))
-    return grouped.select("id", *[F.transform("places", lambda p, c=c: p[c]).alias(f"at_{c}") for c in ("ord", "pos", "len")])
+    return grouped.select("id", *[F.col(f"places.{c}").alias(f"at_{c}") for c in ("ord", "pos", "len")])
 
 
 def _own(row) -> tuple[np.ndarray, np.ndarray]:
