@@ -49,8 +49,8 @@ def seed_hash(words: Column, at: Column, mask: str, number: int) -> Column:
 def _windows(rows: DataFrame, masks: Sequence[str], keep: list[str]) -> DataFrame:
     """keep, words, at, hash: every window under every mask."""
     shortest = min(len(m) for m in masks)
-    last = F.size("words") - shortest
-    spread = rows.where(last >= 0).select(*keep, "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    last = F.size("words") - shortest  # guarded inside explode: a filter would split the text a second time
+    spread = rows.select(*keep, "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     hashes = F.array(*[seed_hash(F.col("words"), F.col("at"), m, i) for i, m in enumerate(masks)])
     return spread.select(*keep, "words", "at", F.explode(hashes).alias("hash"))
 
@@ -82,7 +82,15 @@ def find_overlaps(
     rows = docs.select(docs[id_col].cast("long").alias("doc"), words_of(docs[text_col].cast("string")).alias("words"))
     hits = _windows(rows, masks, ["doc"]).join(seeds, "hash")
     diagonal = F.col("at") - F.col("item_at")
-    laid = hits.select("doc", "item", diagonal.alias("diagonal"), F.size("item_words").alias("n_item"), _best(F.col("words"), F.col("item_words"), diagonal, F.col("item_at")).alias("best"))
+    skip = F.greatest(-diagonal, F.lit(0))
+    length = F.size("item_words") - skip
+    ours = F.slice("item_words", skip + 1, length)
+    theirs = F.slice("words", F.greatest(diagonal, F.lit(0)) + 1, length)
+    # One row per diagonal, small and made in generated code; only then the lambdas. Without n_hits in `best` the optimizer
+    # would move its filter into the join, and all windows of a text would be buffered.
+    laid = hits.select("doc", "item", diagonal.alias("diagonal"), F.size("item_words").alias("n_item"), ours.alias("ours"), theirs.alias("theirs"))
+    laid = laid.groupBy(*laid.columns).agg(F.count(F.lit(1)).alias("n_hits"))
+    laid = laid.select("doc", "item", "diagonal", "n_item", F.when(F.col("n_hits") > 0, _best(F.col("ours"), F.col("theirs"))).alias("best"))
     enough = F.least(F.lit(min_matched), F.ceil(COVERAGE * F.col("n_item")))
     proven = laid.where(F.col("best.matched") >= enough)
     start = F.greatest(F.col("diagonal"), F.lit(0)) + F.col("best.start")
@@ -98,11 +106,8 @@ def find_overlaps(
     )
 
 
-def _best(words: Column, item: Column, diagonal: Column, item_at: Column) -> Column:
-    """struct(start, length, matched) of the best stretch where the item lies over the text; start is relative to the overlap's."""
-    skip = F.greatest(-diagonal, F.lit(0))
-    theirs = F.slice(words, F.greatest(diagonal, F.lit(0)) + 1, F.size(item) - skip)
-    ours = F.slice(item, skip + 1, F.size(item) - skip)
+def _best(ours: Column, theirs: Column) -> Column:
+    """struct(start, length, matched) of the best stretch of two aligned word lists."""
     same = F.zip_with(ours, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
     zero = F.lit(0)
     state = F.struct(*[zero.alias(n) for n in ("at", "sum", "from", "hit", "best_sum", "start", "length", "matched")])
