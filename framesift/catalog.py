@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from framesift.plans import ORACLES, QUERIES, analytics, joins, sampling, scoring, selection  # noqa: F401  (they register)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
