@@ -1 +1 @@
-
+"""Readers and writers: annotation tables, subtitles, frame folders, caches, result logs."""
