@@ -62,7 +62,8 @@ class Model:
                 weight = math.log1p(c)  # rare words shape unseen ones as much as common ones do
                 for size in range(1, max_gram + 1):
                     for i in range(len(marked) - size + 1):
-                        grams[marked[i : i + size]][at[lang]] += weight
+                        if (gram := marked[i : i + size]) not in "^$":
+                            grams[gram][at[lang]] += weight
         size = np.array([totals[lang] for lang in self.languages], dtype=float) + SMOOTHING * (n + 1)
         self.scores = np.log(table / size)
         self.grams = {g: i for i, g in enumerate(grams)}
