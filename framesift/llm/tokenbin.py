@@ -19,14 +19,16 @@ Shards are written through Spark (a Parquet container with a row for each block)
 writes serves, and its commit protocol makes shards whole when executors are lost.
 
 Defined results: a null text is empty; every document ends with the end id, so none is empty; null ids of
-documents sort first; repeated ids are documents of their own, in the order of their texts. An empty
+documents sort first; repeated ids are documents of their own, in the order of their ids. An empty
 table gives no blocks. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ from framesift.llm.common import work_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-LANES = 512
+LANES = 1024
 CHECKPOINT_STEPS = 1 << 10
 PRECISION = 20
 LOWER = 1 << 31
@@ -53,21 +55,74 @@ ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 # ---- tokenizing
 
 
+#: Beside visible ASCII the characters for which cut() is known to split, lower and compose as the tokenizer does.
+PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
+#: Fixed pattern of the vocabulary's pieces (its own, which is part of its file).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for those from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class _Words(dict):
-    """Word -> its ids as bytes. The vocabulary's words end at white space, so texts are coded word by word."""
+    """Word -> its ids as bytes, for a vocabulary whose words end at white space.
+
+    A word of plain characters is cut into pieces here and the library's model codes each piece once; any other
+    word goes through the library's whole chain. A full cache becomes the old one, whose words come back when they are met.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        import regex
+
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.find, self.letters = regex.compile(PIECE).findall, _byte_letters()
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def forget(self) -> None:
+        """Empties the caches: workers outlive tasks."""
+        self.clear()
+        self.old, self.pieces = {}, {}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, text: str) -> bytes:
+        if (known := self.pieces.get(text)) is None:
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            known = self.packed([t.id for t in self.model.tokenize(letters)])
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            self.pieces[text] = known
+        return known
+
+    def cut(self, word: str) -> bytes:
+        low = word.lower()
+        if low.isalpha():
+            return self.piece(low)
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return self.piece(low[:-1]) + self.piece(low[-1])
+        return b"".join(map(self.piece, self.find(low)))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
+        if len(word) > CACHE_CHARS:
+            return self.encode(word)
+        if (ids := self.old.get(word)) is None:
+            plain = word.isascii() and word.isprintable() or PLAIN.fullmatch(word)
+            ids = self.cut(word) if plain and not any(s in word for s in self.special) else self.encode(word)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -89,10 +144,8 @@ def coder(path: str) -> _Words:
 
 
 def encode_text(words: _Words, text: str) -> bytes:
-    """The ids of a whole text as little-endian u32, equal to the tokenizer's own on the text at once.
-
-    Its pattern never crosses white space, and neither normal form nor case mapping do.
-    """
+    """The ids of a whole text, equal to the tokenizer's own on the text at once: its pattern never crosses white
+    space, and neither normal form nor case mapping do."""
     if any(c in text for c in ODD_SPACES):
         return words.encode(text)
     return b"".join(map(words.__getitem__, text.split()))
@@ -180,14 +233,14 @@ def decode_block(block: bytes, table: Table, steps: int = CHECKPOINT_STEPS) -> t
     ids = np.empty(n, dtype=np.uint32)
     for p in range(n_parts):
         own = ids[p * per_part : (p + 1) * per_part]
-        decode_part(own, states[p], stream[int(offsets[p]) :], table, lanes)
-        if zlib.crc32(own.astype("<u4").tobytes()) != int(crcs[p]):
+        last = decode_part(own, states[p], stream[int(offsets[p]) :], table, lanes)
+        if zlib.crc32(own.astype("<u4").tobytes()) != int(crcs[p]) or (last != LOWER).any():
             raise ValueError(f"checksum of part {p} doesn't hold")
     return ids, lengths
 
 
-def decode_part(own: np.ndarray, state: np.ndarray, stream: np.ndarray, table: Table, lanes: int) -> None:
-    """Fills own from one checkpoint: its lanes' states and the stream from its offset on."""
+def decode_part(own: np.ndarray, state: np.ndarray, stream: np.ndarray, table: Table, lanes: int) -> np.ndarray:
+    """Fills own from one checkpoint: its lanes' states and the stream from its offset on. Gives the last states, those that coding began with."""
     shift, slot_mask = np.uint64(table.precision), np.uint64((1 << table.precision) - 1)
     word, lower = np.uint64(32), np.uint64(LOWER)
     x, at = state.astype(np.uint64), 0
@@ -202,40 +255,62 @@ def decode_part(own: np.ndarray, state: np.ndarray, stream: np.ndarray, table: T
         if k:
             live[short] = (live[short] << word) | stream[at : at + k]
             at += k
+    return x
 
 
 # ---- Spark
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """id, n over all documents. Each task sends one row per id that it saw."""
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """id, ids: every text's ids and the end id, packed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = coder(path)
+        end = words.packed([end_id])
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "ids": [encode_text(words, t or "") + end for t in batch["text"]]})
+        words.forget()
+
+    rows = docs.select(F.col("id").cast("string").alias("id"), "text")  # as text, or null ids would turn all into floats
+    return rows.mapInPandas(run, "id string, ids binary").select(F.col("id").cast("long").alias("id"), "ids")
+
+
+def count_ids(tokenized: DataFrame, kind: str) -> DataFrame:
+    """token, n over all documents. Each task sends one row per id that it saw."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = coder(path), np.zeros(end_id + 1, dtype=np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                ids = np.frombuffer(encode_text(words, text or ""), dtype="<u4")
-                top = int(ids.max(initial=0)) + 1
+            for packed in batch["ids"]:
+                found = np.frombuffer(packed, dtype=kind)
+                top = int(found.max(initial=0)) + 1
                 if top > len(total):
                     total = np.pad(total, (0, top - len(total)))
-                np.add.at(total, ids, 1)
-                total[end_id] += 1
+                np.add.at(total, found, 1)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"token": seen, "n": total[seen]})
 
-    return docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokenized.select("ids").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> dict:
-    """Tokenizes and writes docs in ascending order of id: out/blocks, out/table, out/shards. Returns the shards' bases.
+def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
+    """Tokenizes and writes docs in ascending order of id: out/table, out/blocks, out/shards (the count of ids before each).
 
-    Two passes over the texts: one counts ids for the shared table (as large as the vocabulary, which bounds
-    it), the other codes. The texts are exchanged once, by ranges of id; each range is one shard, coded in a
-    stream, with one block in memory at a time.
+    Texts are tokenized once; their ids wait in out/ids while the shared table is counted (it is as large as the
+    vocabulary, which bounds it) and are then exchanged once, by ranges of id. Each range is a shard, coded in a
+    stream with one block in memory at a time. Repeated ids follow the order of their packed ids.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
+    kind = coder(path).kind
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    counted = {int(r["token"]): int(r["n"]) for r in count_ids(rows, path, end_id).toLocalIterator()}
+    tokenize(rows, path, end_id).write.option("compression", "zstd").parquet(f"{out}/ids")
+    tokenized = spark.read.parquet(f"{out}/ids")
+    counted = {int(r["token"]): int(r["n"]) for r in count_ids(tokenized, kind).toLocalIterator()}
     ids, freq = normalized_frequencies(counted)
     spark.createDataFrame(pd.DataFrame({"token": ids, "freq": freq}), "token long, freq long").coalesce(1).write.parquet(f"{out}/table")
     shared = spark.sparkContext.broadcast((ids, freq))
@@ -243,37 +318,37 @@ def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        words, table, shard = coder(path), Table(*shared.value), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        docs_, held, n_held, start, number = [], [], 0, 0, 0
+        table, shard = Table(*shared.value), TaskContext.get().partitionId()
+        names, held, n_held, start, number = [], [], 0, 0, 0
 
         def block() -> pd.DataFrame:
-            nonlocal docs_, held, n_held, start, number
-            coded = encode_block(np.frombuffer(b"".join(held), dtype="<u4"), np.array([len(x) // 4 for x in held], dtype=np.int64), table)
-            row = pd.DataFrame({"shard": [shard], "block": [number], "start": [start], "n_ids": [n_held], "docs": [docs_], "data": [coded]})
-            docs_, held, start, n_held, number = [], [], start + n_held, 0, number + 1
+            nonlocal names, held, n_held, start, number
+            lengths = np.array([len(x) for x in held], dtype=np.int64)
+            row = pd.DataFrame({"shard": [shard], "block": [number], "start": [start], "n_ids": [n_held], "docs": [names], "data": [encode_block(np.concatenate(held), lengths, table)]})
+            names, held, start, n_held, number = [], [], start + n_held, 0, number + 1
             return row
 
         for batch in batches:
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                ids_ = encode_text(words, text or "") + end
-                if held and n_held + len(ids_) // 4 > BLOCK_IDS:
+            for name, packed in zip(batch["id"], batch["ids"], strict=True):
+                own = np.frombuffer(packed, dtype=kind)
+                if held and n_held + len(own) > BLOCK_IDS:
                     yield block()
-                docs_.append(None if pd.isna(i) else int(i))
-                held.append(ids_)
-                n_held += len(ids_) // 4
+                names.append(None if name is None else int(name))
+                held.append(own)
+                n_held += len(own)
         if held:
             yield block()
 
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ordered = tokenized.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    ordered = ordered.select(F.col("id").cast("string").alias("id"), "ids")
     ordered.mapInPandas(code, "shard int, block int, start long, n_ids long, docs array<long>, data binary").write.parquet(f"{out}/blocks")
     per = spark.read.parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    bases, at = {}, 0
+    bases, at = [], 0
     for r in per:  # a row for each shard, as many as tasks have written
-        bases[r["shard"]] = at
+        bases.append((r["shard"], at))
         at += r["n"]
-    spark.createDataFrame([(k, v) for k, v in bases.items()], "shard int, base long").coalesce(1).write.parquet(f"{out}/shards")
-    return bases
+    spark.createDataFrame(bases, "shard int, base long").coalesce(1).write.parquet(f"{out}/shards")
+    remove(spark, f"{out}/ids")
 
 
 def read_shards(spark: SparkSession, out: str) -> DataFrame:
