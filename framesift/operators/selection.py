@@ -42,6 +42,15 @@ def pick_top(scored: DataFrame, k: int) -> DataFrame:
     return in_time_order(scored.withColumn("r", F.row_number().over(ranking.best_first())).where(F.col("r") <= k))
 
 
+def pick_iterative(scored: DataFrame, step: int) -> DataFrame:
+    """Rounds of the best step, 2 step, ... frames, the last of all: video, round_idx, ord, frame_id. Early stops are ranking.early_stop()."""
+    rounds = resample.schedule(_videos(scored), step, keys=[SAMPLE])
+    ranked = scored.withColumn("r", F.row_number().over(ranking.best_first())).select(SAMPLE, "frame_id", "r")
+    w = Window.partitionBy(SAMPLE, "round_idx").orderBy("frame_id")
+    used = ranked.join(rounds, SAMPLE).where(F.col("r") <= F.col("n_used"))
+    return used.select(SAMPLE, "round_idx", (F.row_number().over(w) - 1).cast("bigint").alias("ord"), "frame_id")
+
+
 def pick_segment_best(scored: DataFrame, k: int) -> DataFrame:
     """Best frame of each of k equal segments, cut at floor(i n / k)."""
     parts = F.least(F.lit(k).cast("bigint"), F.col("n"))

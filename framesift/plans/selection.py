@@ -150,7 +150,7 @@ def qframe(spark, sf_dir):
     return selection.pick_gumbel_buckets(scored(spark, sf_dir), 44, seed=9)
 
 
-@register("sel_zzy", f"WITH {SC}, pool AS (SELECT sc.* FROM sc JOIN (SELECT DISTINCT video, round_even(i * (n - 1) / 63.0::DOUBLE, 0)::BIGINT AS pos FROM (SELECT DISTINCT video, n FROM sc), range(0, 64) t(i)) USING (video, pos)), r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, frame_id) AS r FROM pool) SELECT video, {_TIME}, frame_id FROM r WHERE r <= 12")
+@register("sel_linspace_pool", f"WITH {SC}, pool AS (SELECT sc.* FROM sc JOIN (SELECT DISTINCT video, round_even(i * (n - 1) / 63.0::DOUBLE, 0)::BIGINT AS pos FROM (SELECT DISTINCT video, n FROM sc), range(0, 64) t(i)) USING (video, pos)), r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, frame_id) AS r FROM pool) SELECT video, {_TIME}, frame_id FROM r WHERE r <= 12")
 def linspace_pool_top(spark, sf_dir):
     rows = scored(spark, sf_dir)
     lengths = rows.groupBy("video").agg(F.max("n").alias("n_frames"))
@@ -215,3 +215,12 @@ SELECT video, {_TIME}, frame_id, kw_id FROM done""",
 def quota_topk(spark, sf_dir):
     rows = sims(spark, sf_dir)
     return selection.pick_by_quota(rows, selection.quotas(selection.power_weights(selection.local_evidence(rows), 2.0), K), K)
+
+
+@register(
+    "sel_iterative_rounds",
+    f"""WITH {SC}, {_TOP}, sch AS (SELECT video, (row_number() OVER (PARTITION BY video ORDER BY n_used) - 1)::BIGINT AS round_idx, n_used FROM (SELECT video, unnest(list_distinct(list_append(range(16, n, 16), n))) AS n_used FROM (SELECT DISTINCT video, n FROM sc)))
+SELECT video, round_idx, row_number() OVER (PARTITION BY video, round_idx ORDER BY frame_id) - 1 AS ord, frame_id FROM sch JOIN r USING (video) WHERE r <= n_used""",
+)
+def iterative(spark, sf_dir):
+    return selection.pick_iterative(scored(spark, sf_dir), K)
