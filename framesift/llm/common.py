@@ -50,6 +50,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Rows of a batch that goes to Python. Texts are large rows: at 10,000 a batch they would fill a worker.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends batches of TEXT_ROWS rows at most to Python (it may already send fewer)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. A local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)

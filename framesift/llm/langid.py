@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framesift.llm.common import text_batches
+
 SAMPLE_ROWS = 20_000
 MODEL_WORDS = 50_000
 MAX_GRAM = 5
@@ -35,7 +37,8 @@ SMOOTHING = 0.5
 GRAM_WEIGHT = 1.5
 #: Words after which more text doesn't make the score surer.
 SURE_WORDS = 10
-CACHE = 1 << 18
+#: Unseen words whose scores a task keeps.
+CACHE = 1 << 16
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -142,13 +145,14 @@ def predictor(spark: SparkSession, model: Model):
         model = shared.value
         for texts in batches:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        model.cache.clear()  # workers outlive tasks
 
     return predict
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "language") -> DataFrame:
     """docs with a column `out`: struct(lang_pred, score). Each row on its own; nothing is exchanged."""
-    return docs.withColumn(out, predictor(docs.sparkSession, model)(docs[text_col].cast("string")))
+    return text_batches(docs).withColumn(out, predictor(docs.sparkSession, model)(docs[text_col].cast("string")))
 
 
 def query(spark, sf_dir):

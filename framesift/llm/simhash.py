@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import materialized
+from framesift.llm.common import materialized, text_batches
 from framesift.llm.components import connected_components
 
 SEED = 42
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"id": batch["id"], "fp": found.view(np.int64)})
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInPandas(run, "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
+    return text_batches(rows).mapInPandas(run, "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
 
 
 def postings(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import work_path
+from framesift.llm.common import text_batches, work_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
@@ -272,7 +272,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         words.forget()
 
     rows = docs.select(F.col("id").cast("string").alias("id"), "text")  # as text, or null ids would turn all into floats
-    return rows.mapInPandas(run, "id string, ids binary").select(F.col("id").cast("long").alias("id"), "ids")
+    return text_batches(rows).mapInPandas(run, "id string, ids binary").select(F.col("id").cast("long").alias("id"), "ids")
 
 
 def count_ids(tokenized: DataFrame, kind: str) -> DataFrame:
