@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm import decontam, langid, simhash
+from framesift.llm import decontam, langid, shingles
 from framesift.llm.common import materialized
 
 #: Ids that may be broadcast to drop rows (8 bytes each).
@@ -32,12 +32,13 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_
 
 
 def keep_one_of_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """One document of each component of near-duplicates: the one with the smallest id.
+    """One document of each component of near-duplicates: the one with the smallest id. Near are texts within op6's bits
+    of its fingerprint, and texts that have 0.8 or more of their five-word shingles in common.
 
     Rows that repeat an id are one document, of which one row stays; rows without an id have no rank among
     copies and stay.
     """
-    found = materialized(simhash.near_duplicates(docs, id_col=id_col, text_col=text_col, **params))
+    found = materialized(shingles.near_copies(docs, id_col=id_col, text_col=text_col, **params))
     kept = without_ids(docs, found.where(F.col("id") != F.col("component")).select("id").distinct(), id_col=id_col)
     repeated = found.where(F.col("id") == F.col("component")).groupBy("id").count().where("count > 1").limit(1).count()
     if not repeated:

@@ -88,3 +88,31 @@ def test_ids_beyond_the_broadcast_bound(spark, make):
 
 def test_mix_seed_is_the_documented_one():
     assert mixing.SHARE == 1.5 and mixing.MAX_REPEAT == 2.0
+
+
+def test_near_copies_by_shingles_against_brute_force(spark, make):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(20, 90))) for _ in range(25)]
+    for t in texts[:12]:
+        for edits in (1, 1, 2, 3, 5):
+            own = t.split()
+            for at in rng.sample(range(len(own)), edits):
+                own[at] = rng.choice(words)
+            texts.append(" ".join(own[rng.randint(0, 3) :]))
+    texts += ["a b", "a b", "a c", None, ""]
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for t in texts]
+    fps = [brute_simhash(t) for t in texts]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 or (bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min(label[j] for j in range(len(texts)) if near(i, j)) for i in range(len(texts))]
+    by_bits = closure(fps, 3)
+    assert len(set(label)) < len(set(by_bits))
+    from framesift.llm import shingles
+
+    for pairwise in (shingles.PAIRWISE, 2):
+        found = shingles.near_copies(make(texts), pairwise=pairwise).collect()
+        assert {r["id"]: r["component"] for r in found} == dict(enumerate(label))
+    kept = stages.keep_one_of_near_copies(make(texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
