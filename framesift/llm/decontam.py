@@ -1,13 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask names the places of a SPAN-word window that count; the others may hold any word. Every window of every text and
+A mask names the places of a window that count; the others may hold any word. Every window of every text and
 of every benchmark item is hashed under each mask, hashes are joined, and each hit fixes a diagonal: the item laid
-over the text at one offset. There the overlap is verified: words are compared along the diagonal, and the best
-stretch around the hits, where a match earns 1 and a substitution costs PENALTY, must hold at least MIN_MATCHED matching words, or
-COVERAGE of a shorter item's. Words are runs of letters and digits, lower-cased.
+over the text at one offset. There the overlap is verified: words are compared along the diagonal, and it counts if either
 
-Items shorter than SPAN words are hashed whole, one more mask for each such length that occurs. Items of fewer than
-MIN_ITEM words are too common as text to be evidence and never match.
+- the best stretch, where a match earns 1 and a substitution costs PENALTY, holds at least MIN_MATCHED matching words, or
+  COVERAGE of a shorter item's; or
+- COVERAGE of the item's words match, wherever the others are.
+
+Words are runs of letters and digits, lower-cased. For the second rule an item is cut into one part more than
+it may have substitutions, so one part is whole, and the first words of each part are a seed (SEGMENT): no overlap
+of that rule is missed. Parts of a five-word item are too short for that; it is hashed with each one of its words left out.
+Items of fewer than MIN_ITEM words are too common as text to be evidence and never match.
 
 The benchmark's hashes are broadcast after their count is checked (24 bytes each); more of them are joined by an exchange of both
 sides. Windows are made and probed inside generated code, so that without that exchange only verified hits leave a task.
@@ -28,6 +32,9 @@ from framesift.llm.common import materialized
 
 #: Fixed masks: 1 counts, 0 is ignored. Both have 8 places that count; every one or two adjacent substitutions leave a hit near.
 MASKS = ("111001011011", "110110100111")
+SEGMENT = "111"
+#: For items of MIN_ITEM words: all but one word, and where in the item each is laid.
+LEFT_OUT = (("1111", (0, 1)), ("10111", (0,)), ("11011", (0,)), ("11101", (0,)))
 MIN_ITEM = 5
 MIN_MATCHED = 13
 COVERAGE = 0.8
@@ -46,13 +53,19 @@ def seed_hash(words: Column, at: Column, mask: str, number: int) -> Column:
     return F.when(at + len(mask) <= F.size(words), F.xxhash64(F.lit(number), *counted))
 
 
-def _windows(rows: DataFrame, masks: Sequence[str], keep: list[str]) -> DataFrame:
-    """keep, words, at, hash: every window under every mask."""
+def _covered(n_item: Column) -> Column:
+    """Words of an item that are COVERAGE of it."""
+    return F.ceil(COVERAGE * n_item)
+
+
+def _windows(rows: DataFrame, masks: Sequence[str], keep: list[str], number: str | None = None) -> DataFrame:
+    """keep, words, at, hash: every window under every mask; on request the mask's number too."""
     shortest = min(len(m) for m in masks)
     last = F.size("words") - shortest  # guarded inside explode: a filter would split the text a second time
     spread = rows.select(*keep, "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     hashes = F.array(*[seed_hash(F.col("words"), F.col("at"), m, i) for i, m in enumerate(masks)])
-    return spread.select(*keep, "words", "at", F.explode(hashes).alias("hash"))
+    made = F.posexplode(hashes).alias(number, "hash") if number else F.explode(hashes).alias("hash")
+    return spread.select(*keep, "words", "at", made)
 
 
 def find_overlaps(
@@ -70,12 +83,15 @@ def find_overlaps(
     """doc, item, start (word of the text), n_words, n_matched, item_words: one row for each document and item that overlap."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), words_of(benchmark[item_text_col].cast("string")).alias("words"))
     items = items.where(F.size("words") >= MIN_ITEM)
-    span = min(len(m) for m in masks)
-    lengths = sorted(r["n"] for r in items.where(F.size("words") < span).select(F.size("words").alias("n")).distinct().collect())  # fewer than SPAN values
-    masks = [*masks, *["1" * n for n in lengths]]
-    whole = F.col("n_item") < span
-    seeds = _windows(items.select("item", "words", F.size("words").alias("n_item")), masks, ["item", "n_item"])
-    seeds = seeds.where(F.col("hash").isNotNull()).where(~whole | (F.col("at") == 0))
+    fixed, n_item = len(masks), F.size("words")
+    masks = [*masks, SEGMENT]
+    if items.where(n_item == MIN_ITEM).limit(1).count():
+        masks += [m for m, _ in LEFT_OUT]
+    part = F.floor(n_item / (n_item - _covered(n_item) + 1))
+    laid_at = (F.col("mask") < fixed) | ((F.col("mask") == fixed) & (n_item > MIN_ITEM) & (F.col("at") % part == 0))
+    for i, (_, places) in enumerate(LEFT_OUT):
+        laid_at |= (n_item == MIN_ITEM) & (F.col("mask") == fixed + 1 + i) & F.col("at").isin(*places)
+    seeds = _windows(items, masks, ["item"], number="mask").where(F.col("hash").isNotNull() & laid_at)
     seeds = materialized(seeds.select("hash", "item", F.col("words").alias("item_words"), F.col("at").alias("item_at")).distinct())
     if seeds.count() <= broadcast_hashes:
         seeds = F.broadcast(seeds)
@@ -91,8 +107,11 @@ def find_overlaps(
     laid = hits.select("doc", "item", diagonal.alias("diagonal"), F.size("item_words").alias("n_item"), ours.alias("ours"), theirs.alias("theirs"))
     laid = laid.groupBy(*laid.columns).agg(F.count(F.lit(1)).alias("n_hits"))
     laid = laid.select("doc", "item", "diagonal", "n_item", F.when(F.col("n_hits") > 0, _best(F.col("ours"), F.col("theirs"))).alias("best"))
-    enough = F.least(F.lit(min_matched), F.ceil(COVERAGE * F.col("n_item")))
-    proven = laid.where(F.col("best.matched") >= enough)
+    enough = F.least(F.lit(min_matched), _covered(F.col("n_item")))
+    whole = F.struct(F.col("best.first").alias("start"), (F.col("best.last") + 1 - F.col("best.first")).alias("length"), F.col("best.all").alias("matched"))
+    stretch = F.struct("best.start", "best.length", "best.matched")
+    laid = laid.withColumn("best", F.when(F.col("best.matched") >= enough, stretch).when(F.col("best.all") >= _covered(F.col("n_item")), whole))
+    proven = laid.where(F.col("best").isNotNull())
     start = F.greatest(F.col("diagonal"), F.lit(0)) + F.col("best.start")
     proven = proven.select("doc", "item", F.struct(F.col("best.matched").alias("matched"), (-start).alias("before"), F.col("best.length").alias("length"), "n_item").alias("found"))
     best = proven.groupBy("doc", "item").agg(F.max("found").alias("found"))
@@ -107,10 +126,10 @@ def find_overlaps(
 
 
 def _best(ours: Column, theirs: Column) -> Column:
-    """struct(start, length, matched) of the best stretch of two aligned word lists."""
+    """struct(start, length, matched) of the best stretch of two aligned word lists, and all matches: first, last, all."""
     same = F.zip_with(ours, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
     zero = F.lit(0)
-    state = F.struct(*[zero.alias(n) for n in ("at", "sum", "from", "hit", "best_sum", "start", "length", "matched")])
+    state = F.struct(*[zero.alias(n) for n in ("at", "sum", "from", "hit", "best_sum", "start", "length", "matched", "all", "last")], F.lit(-1).alias("first"))
 
     def step(s: Column, ok: Column) -> Column:
         fresh = s["sum"] <= 0
@@ -128,9 +147,12 @@ def _best(ours: Column, theirs: Column) -> Column:
             F.when(better, begin).otherwise(s["start"]).alias("start"),
             F.when(better, s["at"] + 1 - begin).otherwise(s["length"]).alias("length"),
             F.when(better, matched).otherwise(s["matched"]).alias("matched"),
+            (s["all"] + ok.cast("int")).alias("all"),
+            F.when(ok, s["at"]).otherwise(s["last"]).alias("last"),
+            F.when(ok & (s["first"] < 0), s["at"]).otherwise(s["first"]).alias("first"),
         )
 
-    return F.aggregate(same, state, step, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["matched"].alias("matched")))
+    return F.aggregate(same, state, step, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "length", "matched", "first", "last", "all")]))
 
 
 def query(spark, sf_dir):
