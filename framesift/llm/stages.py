@@ -24,8 +24,13 @@ def without_ids(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", broa
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Documents whose language can be told: those without a letter go. The model learns from labelled."""
+    """Documents whose language can be told: those without a letter go. The model learns from labelled.
+
+    Where nothing can be learnt, only null texts and texts without a letter go.
+    """
     model = langid.train(labelled.where(~langid.held_out(labelled[id_col])), text_col=text_col, lang_col=lang_col, id_col=id_col)
+    if not model.languages:
+        return docs.where(docs[text_col].cast("string").rlike(r"\p{L}"))
     mark = "language_" + "_".join(docs.columns)
     found = langid.identify(docs, model, text_col=text_col, out=mark)
     return found.where(F.col(f"`{mark}`.lang_pred") != langid.UNDETERMINED).select(*[docs[c] for c in docs.columns])

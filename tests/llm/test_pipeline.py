@@ -116,3 +116,11 @@ def test_near_copies_by_shingles_against_brute_force(spark, make):
         assert {r["id"]: r["component"] for r in found} == dict(enumerate(label))
     kept = stages.keep_one_of_near_copies(make(texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
+def test_language_stage_without_a_model(spark, make):
+    texts = ["some words", "élu", "123 ...", None, ""]
+    docs = make(texts)
+    for labelled in (docs.withColumn("lang", F.lit(None).cast("string")), docs.limit(0)):
+        kept = stages.keep_identified(docs, labelled)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1] and kept.columns == docs.columns
