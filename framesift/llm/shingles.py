@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from framesift.llm.common import materialized, text_batches
 from framesift.llm.components import connected_components
-from framesift.llm.simhash import MAX_BITS, SHINGLE, links, shingle_hashes, simhash
+from framesift.llm.simhash import MAX_BITS, SHINGLE, links, parts_of, shingle_hashes, simhash
 
 #: Words of a shingle; the similarity is UP / DOWN.
 WORDS = 5
@@ -51,7 +51,7 @@ def common_shingles(docs: DataFrame, text_col: str = "text", words: int = WORDS)
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id, fp (of op6), t (key of the set), n, s (the set, rarest first): a row for each row of docs."""
+    """id, key (hash of the text), fp (of op6), t (key of the set), n, s (the set, rarest first): a row for each row of docs."""
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, words))
 
     def ordered(text: str | None) -> np.ndarray:
@@ -69,10 +69,11 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             fps = np.fromiter((simhash(shingle_hashes(x, SHINGLE)) for x in batch["text"]), dtype=np.uint64, count=len(batch))
             sets = [ordered(x) for x in batch["text"]]
             keys = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), dtype=np.uint64, count=len(batch))
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64), "t": keys.view(np.int64), "n": [len(s) for s in sets], "s": sets})
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "fp": fps.view(np.int64), "t": keys.view(np.int64), "n": [len(s) for s in sets], "s": sets})
 
-    rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"))
-    found = text_batches(rows).mapInPandas(run, "id string, fp long, t long, n int, s array<long>")
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("string").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    found = text_batches(rows).mapInPandas(run, "id string, key long, fp long, t long, n int, s array<long>")
     return found.withColumn("id", F.col("id").cast("long"))
 
 
@@ -156,10 +157,8 @@ def similar_links(rows: DataFrame, near: DataFrame, *, pairwise: int = PAIRWISE)
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) -> DataFrame:
-    """A row for each row of docs: id, fp, component (the smallest id reachable over SimHash links and similar texts)."""
-    from framesift.llm.simhash import components_of
-
+    """A row for each row of docs: id, key (xxhash64 of the text), fp, root (names the component), component (its smallest id, over SimHash links and similar texts)."""
     rows = materialized(signatures(docs, id_col=id_col, text_col=text_col, words=words))
     near = materialized(links(rows.select("fp").distinct(), max_bits))
     every = near.unionByName(similar_links(rows, near, pairwise=pairwise))
-    return components_of(rows.select("id", "fp"), max_bits, found=every)
+    return parts_of(rows.select("id", "key", "fp"), every)

@@ -138,13 +138,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return components_of(materialized(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)), max_bits)
 
 
-def components_of(rows: DataFrame, max_bits: int = MAX_BITS, found: DataFrame | None = None) -> DataFrame:
-    """id, fp -> id, fp, component. rows is read three times; it should be stored. found: links to use in place of SimHash's own."""
+def components_of(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """id, fp -> id, fp, component. rows is read three times; it should be stored."""
+    return parts_of(rows, links(rows.select("fp").distinct(), max_bits)).drop("root")
+
+
+def parts_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (id, fp and others) with root (names the part that found links) and component (its smallest id; parts may share one)."""
     distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(links(distinct.select("fp"), max_bits) if found is None else found)
+    roots = connected_components(found)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
+    return rows.join(named, "fp").select(*rows.columns, "root", "component")
 
 
 def hex16(fp: Column) -> Column:

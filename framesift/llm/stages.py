@@ -36,26 +36,37 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_
     return found.where(F.col(f"`{mark}`.lang_pred") != langid.UNDETERMINED).select(*[docs[c] for c in docs.columns])
 
 
-def keep_one_of_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def keep_one_of_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **params) -> DataFrame:
     """One document of each component of near-duplicates: the one with the smallest id. Near are texts within op6's bits
     of its fingerprint, and texts that have 0.8 or more of their five-word shingles in common.
 
-    Rows that repeat an id are one document, of which one row stays; rows without an id have no rank among
-    copies and stay.
+    Rows are told apart by id and text: different texts under one id are documents of their own, of which the one with the least
+    hash stays if they are near copies; rows that repeat both are one document, of which one row stays. Rows without an id have
+    no rank among copies and stay.
     """
     found = materialized(shingles.near_copies(docs, id_col=id_col, text_col=text_col, **params))
-    kept = without_ids(docs, found.where(F.col("id") != F.col("component")).select("id").distinct(), id_col=id_col)
-    repeated = found.where(F.col("id") == F.col("component")).groupBy("id").count().where("count > 1").limit(1).count()
-    if not repeated:
+    firsts = found.where(F.col("id") == F.col("component"))
+    repeated = materialized(firsts.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("kept")).where("rows > 1"))
+    dropped = found.where(F.col("id") != F.col("component")).select("id", "key")
+    any_repeated = repeated.limit(1).count() > 0
+    if any_repeated:
+        dropped = dropped.unionByName(firsts.join(repeated, "root").where(F.col("key") != F.col("kept")).select("id", "key"))
+    dropped = materialized(dropped.distinct().select(F.col("id").alias("dropped_id"), F.col("key").alias("dropped_key")))
+    if dropped.count() <= broadcast_ids:
+        dropped = F.broadcast(dropped)
+    key = F.xxhash64(docs[text_col].cast("string"))
+    kept = docs.join(dropped, (docs[id_col].cast("long") == dropped["dropped_id"]) & (key == dropped["dropped_key"]), "left_anti")
+    if not any_repeated:
         return kept
+    mark = "text_key_" + "_".join(docs.columns)
     unnamed = kept.where(kept[id_col].isNull())
-    return kept.where(kept[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(unnamed)
+    return kept.where(kept[id_col].isNotNull()).withColumn(mark, key).dropDuplicates([id_col, mark]).drop(mark).unionByName(unnamed)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """Documents that overlap no benchmark item. Rows without an id are judged together and go together."""
-    found = materialized(decontam.find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **params).select("doc").distinct())
-    kept = without_ids(docs, found.where(F.col("doc").isNotNull()), id_col=id_col)
-    if found.where(F.col("doc").isNull()).limit(1).count():
-        kept = kept.where(kept[id_col].isNotNull())
-    return kept
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **params) -> DataFrame:
+    """Documents that overlap no benchmark item. The text decides: rows that share an id, or have none, are judged one by one."""
+    key = F.xxhash64(docs[text_col].cast("string"))
+    texts = docs.select(key.alias("key"), docs[text_col].alias("text"))
+    found = materialized(decontam.find_overlaps(texts, benchmark, id_col="key", **params).select("doc").distinct())
+    mark = "text_key_" + "_".join(docs.columns)
+    return without_ids(docs.withColumn(mark, key), found, id_col=mark).drop(mark)

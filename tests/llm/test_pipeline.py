@@ -124,3 +124,17 @@ def test_language_stage_without_a_model(spark, make):
     for labelled in (docs.withColumn("lang", F.lit(None).cast("string")), docs.limit(0)):
         kept = stages.keep_identified(docs, labelled)
         assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1] and kept.columns == docs.columns
+
+
+def test_different_texts_under_one_id(spark, make):
+    item = " ".join(f"bench{i}" for i in range(20))
+    texts = ["one two three four five six", "seven eight nine ten more words", "one two three four five six", f"with {item} inside", "clean words of its own", f"and {item} too", "clean without an id"]
+    docs = make(texts, ids=[3, 3, 3, 4, 4, None, None])
+    kept = stages.keep_one_of_near_copies(docs.where("doc_id = 3"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(texts[:2]) and kept.columns == docs.columns
+    copy = make([texts[0], texts[1], texts[0]], ids=[3, 5, 5])
+    for bound in (stages.BROADCAST_IDS, 0):
+        kept = stages.keep_one_of_near_copies(copy, broadcast_ids=bound)
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, texts[0]), (5, texts[1])]
+    kept = stages.drop_contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted([*texts[:3], texts[4], texts[6]]) and kept.columns == docs.columns
