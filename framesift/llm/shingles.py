@@ -29,7 +29,7 @@ PAIRWISE = 64
 HUBS = 4
 PAIRS_AT_ONCE = 100_000
 #: One text of so many is counted for the order; shingles seen this often there are common, the first of them are known by count.
-SAMPLED, COMMON, COMMON_LIMIT = 8, 4, 200_000
+SAMPLED, COMMON, COMMON_LIMIT = 16, 3, 200_000
 #: Texts that may be broadcast by key (8 bytes each).
 BROADCAST_KEYS = 1_000_000
 
@@ -51,7 +51,7 @@ def common_shingles(docs: DataFrame, text_col: str = "text", words: int = WORDS)
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id, key (hash of the text), fp (of op6), t (key of the set), n, s (the set, rarest first): a row for each row of docs."""
+    """id, key (hash of the text), fp (of op6), t (key of the set), n (size of the set), s (its rarest, which are posted): a row for each row of docs."""
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, words))
 
     def ordered(text: str | None) -> np.ndarray:
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             fps = np.fromiter((simhash(shingle_hashes(x, SHINGLE)) for x in batch["text"]), dtype=np.uint64, count=len(batch))
             sets = [ordered(x) for x in batch["text"]]
             keys = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), dtype=np.uint64, count=len(batch))
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "fp": fps.view(np.int64), "t": keys.view(np.int64), "n": [len(s) for s in sets], "s": sets})
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "fp": fps.view(np.int64), "t": keys.view(np.int64), "n": [len(s) for s in sets], "s": [s[: len(s) - -(-UP * len(s) // DOWN) + 1] for s in sets]})
 
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("string").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -114,13 +114,20 @@ def _emit(groups: DataFrame, kind: str) -> DataFrame:
     return groups.mapInPandas(run, "a long, b long, na long, nb long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b: fingerprints of the pairs whose whole sets are similar. pairs and rows are stored."""
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """a, b: fingerprints of the pairs whose whole sets are similar; the sets are made again, of these texts only. pairs and rows are stored."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"t": batch["t"], "fp": batch["fp"], "s": [np.unique(shingle_hashes(x, words).view(np.int64)) for x in batch["text"]]})
+
     keys = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    keys = materialized(keys)
+    keys = rows.select("t", "key", "fp").join(keys, "t", "left_semi").groupBy("t").agg(F.min(F.struct("key", "fp")).alias("least"))
+    keys = materialized(keys.select("t", "least.key", "least.fp"))
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    sets = materialized(rows.join(keys, "t", "left_semi").select("t", "fp", "s").dropDuplicates(["t"]))
+    wanted = text_batches(texts.join(keys, "key").select("t", "fp", "text"))
+    sets = materialized(wanted.mapInPandas(run, "t long, fp long, s array<long>").dropDuplicates(["t"]))
     one = sets.select(F.col("t").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
     two = sets.select(F.col("t").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
     both = pairs.join(one, "a").join(two, "b")
@@ -128,13 +135,12 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return materialized(alike.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct())
 
 
-def similar_links(rows: DataFrame, near: DataFrame, *, pairwise: int = PAIRWISE) -> DataFrame:
+def similar_links(rows: DataFrame, near: DataFrame, texts: DataFrame, *, words: int = WORDS, pairwise: int = PAIRWISE) -> DataFrame:
     """a, b: fingerprints whose links, with those of near, span every part that pairs of similar texts link.
 
-    rows: signatures, stored; near: links a, b between fingerprints, stored.
+    rows: signatures, stored; near: links a, b between fingerprints, stored; texts: key, text.
     """
-    first = F.col("n") - F.ceil(F.col("n") * UP / DOWN).cast("int") + 1
-    posted = rows.where("n > 0").select("t", "n", F.explode(F.slice("s", 1, first)).alias("h"))
+    posted = rows.where("n > 0").select("t", "n", F.explode("s").alias("h"))
     groups = posted.groupBy("h").agg(F.collect_set(F.struct("t", "n")).alias("members")).where(F.size("members") > 1)
     groups = materialized(groups)
     small, large = groups.where(F.size("members") <= pairwise), groups.where(F.size("members") > pairwise)
@@ -143,7 +149,9 @@ def similar_links(rows: DataFrame, near: DataFrame, *, pairwise: int = PAIRWISE)
     rest = F.ceil(F.greatest("na", "nb") * UP / DOWN) - 1
     counted = counted.where((UP + DOWN) * (F.col("shared") + rest) >= UP * (F.col("na") + F.col("nb"))).drop("shared")
     hubs = _emit(large, "hubs")
-    found = _verified(materialized(counted.unionByName(hubs).distinct()), rows)
+    found = _verified(materialized(counted.unionByName(hubs).distinct()), rows, texts, words)
+    same = rows.where("n > 0").groupBy("t").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # one set, repeated otherwise
+    found = found.unionByName(same.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")))
     if not large.limit(1).count():
         return found
     # Pairs that share a large group, of any count of shared shingles, unless they are linked by now.
@@ -153,12 +161,14 @@ def similar_links(rows: DataFrame, near: DataFrame, *, pairwise: int = PAIRWISE)
     members = large.select("h", F.explode("members").alias("m")).select("h", "m.t", "m.n").join(of_text, "t")
     mixed = members.groupBy("h").agg(F.collect_list(F.struct("t", "n", "root")).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     rest = _emit(mixed.where("least < most").select("h", "members"), "roots").distinct()
-    return found.unionByName(_verified(materialized(rest), rows))
+    return found.unionByName(_verified(materialized(rest), rows, texts, words))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) -> DataFrame:
     """A row for each row of docs: id, key (xxhash64 of the text), fp, root (names the component), component (its smallest id, over SimHash links and similar texts)."""
     rows = materialized(signatures(docs, id_col=id_col, text_col=text_col, words=words))
     near = materialized(links(rows.select("fp").distinct(), max_bits))
-    every = near.unionByName(similar_links(rows, near, pairwise=pairwise))
+    text = docs[text_col].cast("string")
+    texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    every = near.unionByName(similar_links(rows, near, texts, words=words, pairwise=pairwise))
     return parts_of(rows.select("id", "key", "fp"), every)

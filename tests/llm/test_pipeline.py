@@ -100,7 +100,7 @@ def test_near_copies_by_shingles_against_brute_force(spark, make):
             for at in rng.sample(range(len(own)), edits):
                 own[at] = rng.choice(words)
             texts.append(" ".join(own[rng.randint(0, 3) :]))
-    texts += ["a b", "a b", "a c", None, ""]
+    texts += ["a b", "a b", "a c", None, "", "v w x y z " * 2, "v w x y z " * 9]
     sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for t in texts]
     fps = [brute_simhash(t) for t in texts]
     near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 or (bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
