@@ -1,4 +1,6 @@
-"""Substring dedup: a de Bruijn graph of word windows, compacted to repeated spans in their sources.
+"""Substring dedup: repeated word windows, merged to spans in their sources.
+
+No graph is compacted (no k-mer nodes, no nonbranching test), and windows are compared by hash only, never word by word.
 
 The graph's edges are WINDOW-word windows; an edge that starts at two places or more is repeated, and every word
 that a repeated edge covers is removed. Consecutive repeated edges of a source overlap in all but one word, so they
