@@ -78,7 +78,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/framesift-{what}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder, under this application's own."""
+    return f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/framesift-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Deletes all that operators have stored in the shared folder for this application; results that still read it can't be computed again."""
+    remove(spark, work_dir(spark))
 
 
 def materialized(df: DataFrame) -> DataFrame:

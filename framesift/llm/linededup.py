@@ -1,12 +1,13 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that contain it over all pages of the
-host; lines above MAX_RATIO on at least MIN_PAGES pages are the site's boilerplate and are dropped from each of
-its pages. Lines of a page come from its HTML: scripts, styles and comments go, block elements end a line, other tags
+host; lines above MAX_RATIO that repeat at all (that are on MIN_PAGES pages, two) are the site's boilerplate and are dropped
+from each of its pages. Without the second condition a site of one page would lose it whole. Lines of a page come from its HTML: scripts, styles and comments go, block elements end a line, other tags
 vanish, lines are trimmed and empty ones left out.
 
 Lines are counted by two 64-bit hashes, once per page, with partial sums before the exchange; text is never
-exchanged for counting. A host's boilerplate is short by nature (its ratios can't sum above its mean lines per page), so
+exchanged for counting. A page's lines are held against its own host's boilerplate by the first hash: with a hundred such lines and
+10^9 others on a host, one is dropped wrongly with a chance of 5 in 10^9. A host's boilerplate is short by nature (its ratios can't sum above its mean lines per page), so
 one row per host holds it; those rows are broadcast after their count is checked, or else joined by host, where
 Spark may split a hot host's pages.
 
@@ -20,16 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import materialized
+from framesift.llm.common import materialized, work_path
 
 MAX_RATIO = 0.3
-MIN_PAGES = 3
+MIN_PAGES = 2
 #: Boilerplate lines that may be broadcast (8 bytes each, and the host's name).
 BROADCAST_LINES = 500_000
-HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+HIDDEN = r"(?is)<(?:script\b.*?</script|style\b.*?</style|!--.*?--)>"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAG = r"<[^>]*>"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+BLANKS = " \t\r\x0b\f"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -42,8 +44,15 @@ def lines_of(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
     for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t\r\x0B\f]*\n\s*", "\n")
-    return F.filter(F.split(F.regexp_replace(text, r"^\s+|\s+\z", ""), "\n"), lambda line: line != "")
+
+    def trimmed(line: Column) -> Column:
+        """Trimming reads a line character by character, so only lines with a blank at an end are trimmed."""
+        blank = F.ascii(line).isin(*map(ord, BLANKS))
+        for c in BLANKS:
+            blank |= F.endswith(line, F.lit(c))
+        return F.when(blank, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+    return F.filter(F.transform(F.split(text, "\n"), trimmed), lambda line: line != "")
 
 
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
@@ -71,6 +80,9 @@ def drop_boilerplate(
         host_of(pages[url_col].cast("string")).alias("host"),
         lines_of(pages[html_col].cast("string")).alias("lines"),
     )
+    spark, path = pages.sparkSession, work_path(pages.sparkSession, "lines")
+    rows.write.parquet(path)  # read twice; parsing costs more than storing
+    rows = spark.read.parquet(path)
     common = materialized(boilerplate(rows, max_ratio, min_pages))
     if (common.agg(F.sum(F.size("dropped") + 8)).head()[0] or 0) <= broadcast_lines:
         common = F.broadcast(common)
@@ -102,7 +114,7 @@ WITH plain AS (
   SELECT row_id, host, pos, lines[pos] AS line FROM (SELECT row_id, host, lines, unnest(range(1, len(lines) + 1)) AS pos FROM lined)
 ), common AS (
   SELECT s.host, s.line FROM (SELECT host, line, count(DISTINCT row_id) AS n FROM spread GROUP BY ALL) s
-  JOIN (SELECT host, count(*) AS n_pages FROM lined GROUP BY host) t USING (host) WHERE s.n >= 3 AND s.n > 0.3 * t.n_pages
+  JOIN (SELECT host, count(*) AS n_pages FROM lined GROUP BY host) t USING (host) WHERE s.n >= 2 AND s.n > 0.3 * t.n_pages
 ), kept AS (
   SELECT row_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM spread
   WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.host = spread.host AND c.line = spread.line) GROUP BY row_id

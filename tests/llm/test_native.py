@@ -142,9 +142,12 @@ def test_line_dedup(spark):
         assert [(found[i]["host"], found[i]["n_lines"], found[i]["n_dropped"], found[i]["text"]) for i in range(5)] == [("host.example", 4, 3, f"Body {i} & more") for i in range(5)]
         assert found[10]["text"] == "Home" and found[11]["host"] == "" and found[12]["n_lines"] == 0
     assert linededup.drop_boilerplate(pages.limit(0)).count() == 0
+    two = [(1, "http://two.example/a", "<p>Both</p><p>One</p>", "h", 1), (2, "http://two.example/b", "<p>\x0b Both\t</p>" + "<p>y </p>" * 5000, "h", 1)]
+    found = {r["id"]: r for r in linededup.drop_boilerplate(spark.createDataFrame(two, pages.schema)).collect()}
+    assert found[1]["text"] == "One" and (found[2]["n_lines"], found[2]["n_dropped"], found[2]["text"][:4]) == (5001, 1, "y\ny\n")
 
 
-@pytest.mark.parametrize("name", ["op1_mix_sources", "op5_chat_format", "op10_site_lines"])
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op4_substring_dedup", "op5_chat_format", "op9_decontaminate", "op10_site_lines"])
 def test_against_sql(spark, name):
     import os
 
