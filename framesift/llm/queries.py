@@ -21,4 +21,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.ORACLE, "op5_chat_format": chat.ORACLE, "op10_site_lines": linededup.ORACLE}
+    return {
+        "op1_mix_sources": mixing.ORACLE,
+        "op4_substring_dedup": substring.ORACLE,
+        "op5_chat_format": chat.ORACLE,
+        "op9_decontaminate": decontam.ORACLE,
+        "op10_site_lines": linededup.ORACLE,
+    }
