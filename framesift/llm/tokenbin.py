@@ -25,6 +25,7 @@ table gives no blocks. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -36,18 +37,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import text_batches, work_path
+from framesift.llm.common import remove, text_batches, work_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-LANES = 1024
-CHECKPOINT_STEPS = 1 << 10
+LANES = 4096
+CHECKPOINT_STEPS = 1 << 8
 PRECISION = 20
+#: Bytes of packed ids counted at once.
+COUNT_BYTES = 1 << 22
 LOWER = 1 << 31
 MAGIC = b"FSB1"
 HEAD = "<4sIQIII"
-#: Words kept by the tokenizing cache of a worker, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 1 << 18, 64
+#: Words kept by each of the two generations of a task's tokenizing cache, and the longest word kept.
+CACHE_WORDS, CACHE_CHARS = 1 << 19, 64
 #: White space of Python's split() that the tokenizer takes for ordinary characters.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -59,6 +62,19 @@ ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 PLAIN = re.compile(r"[!-~\u00a1-\u024f]+")
 #: Fixed pattern of the vocabulary's pieces (its own, which is part of its file).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Marks that often end a word; each is a piece of its own after letters.
+STOPS = ".,;:!?"
+#: Fixed parts of the vocabulary's file under which a text may be cut into words and pieces here.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,16 +85,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Word -> its ids as bytes, for a vocabulary whose words end at white space.
+    """Word -> its ids as bytes.
 
-    A word of plain characters is cut into pieces here and the library's model codes each piece once; any other
-    word goes through the library's whole chain. A full cache becomes the old one, whose words come back when they are met.
+    For a vocabulary whose file asks for just what cut() does (KNOWN), a word of plain characters is cut into pieces here
+    and the library's model codes each piece once; any other word goes through the library's whole chain. For any
+    other file every text goes through the library whole. A full cache becomes the old one, whose words come back when they are met.
     """
 
     def __init__(self, tokenizer):
         import regex
 
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        chain = json.loads(tokenizer.to_str())
+        self.by_words = {k: chain.get(k) for k in KNOWN} == KNOWN and chain["model"].get("end_of_word_suffix") == "</w>"
         self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -96,29 +115,36 @@ class _Words(dict):
     def encode(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def coded(self, text: str) -> bytes:
+        """The ids of one piece, lower-case."""
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(letters)])
+
     def piece(self, text: str) -> bytes:
         if (known := self.pieces.get(text)) is None:
-            letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            known = self.packed([t.id for t in self.model.tokenize(letters)])
+            known = self.coded(text)
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             self.pieces[text] = known
         return known
 
     def cut(self, word: str) -> bytes:
-        low = word.lower()
-        if low.isalpha():
-            return self.piece(low)
-        if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return self.piece(low[:-1]) + self.piece(low[-1])
-        return b"".join(map(self.piece, self.find(low)))
+        """A word that isn't letters only."""
+        if word[-1] in STOPS and (bare := word[:-1].lower()).isalpha():
+            return self[bare] + self.piece(word[-1])
+        return b"".join(map(self.piece, self.find(word.lower())))
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > CACHE_CHARS:
             return self.encode(word)
-        if (ids := self.old.get(word)) is None:
-            plain = word.isascii() and word.isprintable() or PLAIN.fullmatch(word)
-            ids = self.cut(word) if plain and not any(s in word for s in self.special) else self.encode(word)
+        if self.old and (ids := self.old.get(word)) is not None:
+            pass
+        elif word.isalpha() and (word.isascii() or PLAIN.fullmatch(word)):
+            ids = self.coded(word) if (low := word.lower()) == word else self[low]
+        elif PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            ids = self.cut(word)
+        else:
+            ids = self.encode(word)
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -146,7 +172,7 @@ def coder(path: str) -> _Words:
 def encode_text(words: _Words, text: str) -> bytes:
     """The ids of a whole text, equal to the tokenizer's own on the text at once: its pattern never crosses white
     space, and neither normal form nor case mapping do."""
-    if any(c in text for c in ODD_SPACES):
+    if not words.by_words or any(c in text for c in ODD_SPACES):
         return words.encode(text)
     return b"".join(map(words.__getitem__, text.split()))
 
@@ -186,8 +212,8 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, table: Table, lanes: int
     n = len(ids)
     per_part = lanes * steps
     n_parts = max(1, -(-n // per_part))
-    shift, mask_word = np.uint64(table.precision), np.uint64(0xFFFFFFFF)
-    limit = np.uint64(63 - table.precision)
+    shift, limit = np.uint64(table.precision), np.uint64(63 - table.precision)
+    whole = np.uint64(1 << table.precision)
     states = np.empty((n_parts, lanes), dtype="<u8")
     crcs = np.empty(n_parts, dtype="<u4")
     parts: list[np.ndarray] = []
@@ -195,17 +221,21 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, table: Table, lanes: int
         own = ids[p * per_part : (p + 1) * per_part]
         crcs[p] = zlib.crc32(own.astype("<u4").tobytes())
         freq, base = table.freq[own], table.base[own]
+        bound = freq << limit
         x = np.full(lanes, LOWER, dtype=np.uint64)
         out: list[np.ndarray] = []
         for at in range((len(own) - 1) // lanes * lanes if len(own) else -1, -1, -lanes):
             f, b = freq[at : at + lanes], base[at : at + lanes]
             live = x[: len(f)]
-            full = live >= (f << limit)
-            if full.any():
-                out.append((live[full] & mask_word).astype("<u4"))
-                live[full] >>= np.uint64(32)
+            full = np.flatnonzero(live >= bound[at : at + lanes])
+            if len(full):
+                high = live[full]
+                out.append(high.astype("<u4"))  # the low word
+                live[full] = high >> np.uint64(32)
             quotient = live // f
-            live[:] = (quotient << shift) + (live - quotient * f) + b
+            # q << shift | x % f, plus base: with r = x - q * f, x + q * (2**shift - f) + base
+            live += quotient * (whole - f)
+            live += b
         states[p] = x
         parts.append(np.concatenate(out[::-1]) if out else np.zeros(0, dtype="<u4"))
     offsets = np.cumsum([0] + [len(w) for w in parts])
@@ -249,10 +279,12 @@ def decode_part(own: np.ndarray, state: np.ndarray, stream: np.ndarray, table: T
         slot = live & slot_mask
         found = table.slots[slot]
         own[i : i + lanes] = found
-        live[:] = table.freq[found] * (live >> shift) + slot - table.base[found]
-        short = live < lower
-        k = int(np.count_nonzero(short))
-        if k:
+        slot -= table.base[found]
+        live >>= shift
+        live *= table.freq[found]
+        live += slot
+        short = np.flatnonzero(live < lower)
+        if k := len(short):
             live[short] = (live[short] << word) | stream[at : at + k]
             at += k
     return x
@@ -262,40 +294,46 @@ def decode_part(own: np.ndarray, state: np.ndarray, stream: np.ndarray, table: T
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """id, ids: every text's ids and the end id, packed."""
+    """id, ids: every text's ids and the end id, packed; with them a row for each task, whose counts say how often it saw each id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = coder(path)
+        words, total = coder(path), np.zeros(1, dtype="<i8")
         end = words.packed([end_id])
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "ids": [encode_text(words, t or "") + end for t in batch["text"]]})
+            made = [encode_text(words, t or "") + end for t in batch["text"]]
+            for some in _by_size(made, COUNT_BYTES):
+                found = np.bincount(np.frombuffer(b"".join(some), dtype=words.kind), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+            yield pd.DataFrame({"id": batch["id"], "ids": made, "counts": None})
         words.forget()
+        yield pd.DataFrame({"id": [None], "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
     rows = docs.select(F.col("id").cast("string").alias("id"), "text")  # as text, or null ids would turn all into floats
-    return text_batches(rows).mapInPandas(run, "id string, ids binary").select(F.col("id").cast("long").alias("id"), "ids")
+    return text_batches(rows).mapInPandas(run, "id string, ids binary, counts binary").select(F.col("id").cast("long").alias("id"), "ids", "counts")
 
 
-def count_ids(tokenized: DataFrame, kind: str) -> DataFrame:
-    """token, n over all documents. Each task sends one row per id that it saw."""
+def _by_size(held: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """Slices of a list that end where they reach a size."""
+    first, n = 0, 0
+    for i, x in enumerate(held, 1):
+        n += len(x)
+        if n >= size or i == len(held):
+            yield held[first:i]
+            first, n = i, 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            for packed in batch["ids"]:
-                found = np.frombuffer(packed, dtype=kind)
-                top = int(found.max(initial=0)) + 1
-                if top > len(total):
-                    total = np.pad(total, (0, top - len(total)))
-                np.add.at(total, found, 1)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"token": seen, "n": total[seen]})
 
-    return tokenized.select("ids").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def count_ids(tokenized: DataFrame) -> DataFrame:
+    """token, n over all documents, from the tasks' counts."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for counts in batch["counts"]:
+                n = np.frombuffer(counts, dtype="<i8")
+                seen = np.flatnonzero(n)
+                yield pd.DataFrame({"token": seen, "n": n[seen]})
 
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return tokenized.where("counts IS NOT NULL").select("counts").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -310,7 +348,7 @@ def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     tokenize(rows, path, end_id).write.option("compression", "zstd").parquet(f"{out}/ids")
     tokenized = spark.read.parquet(f"{out}/ids")
-    counted = {int(r["token"]): int(r["n"]) for r in count_ids(tokenized, kind).toLocalIterator()}
+    counted = {int(r["token"]): int(r["n"]) for r in count_ids(tokenized).collect()}  # bounded by the vocabulary
     ids, freq = normalized_frequencies(counted)
     spark.createDataFrame(pd.DataFrame({"token": ids, "freq": freq}), "token long, freq long").coalesce(1).write.parquet(f"{out}/table")
     shared = spark.sparkContext.broadcast((ids, freq))
@@ -339,7 +377,7 @@ def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
         if held:
             yield block()
 
-    ordered = tokenized.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    ordered = tokenized.where("ids IS NOT NULL").select("id", "ids").repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     ordered = ordered.select(F.col("id").cast("string").alias("id"), "ids")
     ordered.mapInPandas(code, "shard int, block int, start long, n_ids long, docs array<long>, data binary").write.parquet(f"{out}/blocks")
     per = spark.read.parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()

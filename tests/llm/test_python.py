@@ -55,6 +55,72 @@ def test_unseen_words_back_off(spark):
     assert model.predict("漢字") == ("de", pytest.approx(0.5))  # nothing known: equal sums, first by code point
 
 
+def test_characters_that_are_no_letters(spark, make):
+    model = langid.Model({"schule": {"de": 3}, "school": {"en": 3}}, {"de": 3, "en": 3})
+    assert [model.predict(t) for t in ("\u00b2", "\u00bd \u2167", "\u2460_9", None)] == [("und", 0.0)] * 4
+    assert langid.count_words("x\u00b2y Schule9schule \u2167") == {"x": 1, "y": 1, "schule": 2}
+
+
+def brute_language(trained, text, max_gram=5):
+    """The language's sums from lists of (lang, text), by the definitions of langid, without its arrays."""
+    import math
+
+    words = collections.Counter((lang, w) for lang, t in trained for w in re.findall(r"[^\W\d_]+", t.lower()))
+    langs = sorted({lang for lang, _ in words})
+    vocabulary = {w for _, w in words}
+    total = {lang: sum(n for (x, _), n in words.items() if x == lang) for lang in langs}
+    grams = collections.defaultdict(float)
+    for (lang, w), n in words.items():
+        marked = f"^{w}$"
+        for size in range(1, max_gram + 1):
+            for i in range(len(marked) - size + 1):
+                if marked[i : i + size] not in ("^", "$"):
+                    grams[lang, marked[i : i + size]] += math.log1p(n)
+    known = {g for _, g in grams}
+    mass = {(lang, s): sum(v for (x, g), v in grams.items() if x == lang and len(g) == s) for lang in langs for s in range(1, max_gram + 1)}
+    sizes = collections.Counter(map(len, known))
+    sums = dict.fromkeys(langs, 0.0)
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for lang in langs:
+            if w in vocabulary:
+                sums[lang] += math.log((words[lang, w] + 0.5) / (total[lang] + 0.5 * (len(vocabulary) + 1)))
+                continue
+            marked, found = f"^{w}$", []
+            for end in range(2, len(marked) + 1):
+                longest = next((marked[a:end] for a in range(max(0, end - max_gram), end) if marked[a:end] in known), None)
+                if longest:
+                    found.append(math.log((grams.get((lang, longest), 0.0) + 0.5) / (mass[lang, len(longest)] + 0.5 * max(1, sizes[len(longest)]))))
+            sums[lang] += 1.5 * sum(found) / len(found) if found else 0.0
+    return sums
+
+
+def test_language_against_brute_force(spark, make):
+    rng = random.Random(5)
+    trained = [(lang, " ".join(rng.choices(words, k=9))) for lang, words in LANGUAGES.items() for _ in range(12)]
+    docs = make([t for _, t in trained], langs=[lang for lang, _ in trained])
+    model = langid.train(docs)
+    assert model.languages == sorted(LANGUAGES)
+    for _ in range(60):
+        mixed = [w[::-1] if rng.random() < 0.3 else w for w in rng.choices(sum(LANGUAGES.values(), []), k=rng.randrange(1, 12))]
+        want, text = brute_language(trained, " ".join(mixed)), " ".join(mixed)
+        got = dict(zip(model.languages, model.sums(langid.count_words(text)), strict=True))
+        assert got == pytest.approx(want)
+        assert want[model.predict(text)[0]] == pytest.approx(max(want.values()))
+
+
+def test_language_held_out_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out(docs["doc_id"])))
+    judged = langid.identify(docs.where(langid.held_out(docs["doc_id"]) & docs["lang"].isNotNull()), model).select("lang", "language.lang_pred").collect()
+    assert len(judged) > 100 and sum(r[0] == r[1] for r in judged) >= 0.98 * len(judged)
+
+
+def test_a_column_of_no_languages_is_an_error(spark, make, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.train(make(["x"] * 5, langs=list("abcde")))
+
+
 def test_language_without_training(spark, make):
     model = langid.train(make([None, "x"], langs=["en", None]))
     assert langid.identify(make(["text"]), model).head()["language"]["lang_pred"] == "und"
@@ -97,12 +163,30 @@ def test_substrings_against_brute_force(spark, make, window, few, monkeypatch):
 
 def test_batches_settle_alike():
     words = [f"w{i % 50}" .encode() for i in range(400)]
-    h = substring.Rolling(words).windows(5)
-    settled = substring._settle([h, h[:3]], [1, 2], [0, 0], [np.arange(len(h)), np.arange(3)], True)
+    rolling = substring.Rolling(words)
+    h = rolling.windows(5)
+    g = rolling.checks(5, np.arange(len(h)))
+    settled = substring._settle([h, h[:3]], [g, g[:3]], [1, 2], [0, 0], [np.arange(len(h)), np.arange(3)], True)
     assert settled["known"].sum() == 2 and settled.loc[settled["known"], "len"].tolist() == [len(h), 3]
     assert (settled["ord"] == -1).sum() == len(np.unique(h))
 
 
+def test_colliding_hashes_remove_nothing(spark, make, monkeypatch):
+    """Eight bits of the windows' first hash: the second one tells different windows apart."""
+    whole = substring.Rolling.windows
+    monkeypatch.setattr(substring.Rolling, "windows", lambda self, k: whole(self, k) & np.uint64(255 if k == 6 else 2**64 - 1))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(VOCABULARY[:30], k=80)) for _ in range(30)] + ["a b c d e f g h"] * 2
+    found = substring.dedup_substrings(make(texts), window=6).collect()
+    assert sorted((r["id"], r["n_words"], r["n_removed"], r["text"]) for r in found) == [(i, *w) for i, w in enumerate(brute_substrings(texts, 6))]
+
+
+def test_rows_alike_in_id_and_text(spark, make):
+    texts = ["p q r s t"] * 200 + ["p q r s t u"] + ["short one"] * 3
+    found = substring.dedup_substrings(make(texts, ids=[None] * 200 + [7] + [8] * 3), window=4).collect()
+    assert sorted((str(r["id"]), r["n_words"], r["n_removed"], r["text"]) for r in found) == [("7", 6, 5, "u")] + [("8", 2, 0, "short one")] * 3 + [("None", 5, 5, "")] * 200
+
+
 def test_minimizers_are_the_last_smallest():
     rng = np.random.default_rng(1)
     for span in (1, 2, 5, 18):
@@ -177,6 +261,20 @@ def test_links_span_every_part(spark, bits, monkeypatch):
         assert roots.get(f, f) == min(members)
 
 
+@pytest.mark.parametrize("bits", [1, 2, 3, 4])
+def test_blocks_and_tally(bits):
+    from itertools import combinations
+
+    found = [set(b) for b in simhash.blocks(bits)]
+    assert all(any(b.isdisjoint(d) for b in found) for d in combinations(range(8), bits))
+    assert bits != 3 or len(found) == 14
+    rng = np.random.default_rng(bits)
+    a = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(3) << rng.integers(0, 62, 200).astype(np.uint64))
+    want = [sum(x == y for x, y in zip(int(i).to_bytes(8), int(j).to_bytes(8), strict=True)) for i, j in zip(a, b, strict=True)]
+    assert simhash.tally(a, b).tolist() == want
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 499), (499, 500)]
     found = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -206,6 +304,26 @@ def test_tokens_equal_the_library(spark):
         assert np.frombuffer(tokenbin.encode_text(words, t), dtype=words.kind).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_other_vocabularies_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenbin.tokenizer_path("byte_bpe_50k.json")
+    words, whole = tokenbin.coder(path), Tokenizer.from_file(path)
+    assert not words.by_words and tokenbin.coder(tokenbin.tokenizer_path()).by_words
+    for t in ("It's  Two words.", "", "\n x\u00e9"):
+        assert np.frombuffer(tokenbin.encode_text(words, t), dtype=words.kind).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_full_caches_change_nothing(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenbin, "CACHE_WORDS", 3)
+    whole = Tokenizer.from_file(tokenbin.tokenizer_path())
+    words = tokenbin._Words(whole)
+    text = "One one, two; TWO three 4x four-five \u00c9t\u00e9 \u00e9t\u00e9. " * 5
+    assert np.frombuffer(tokenbin.encode_text(words, text), dtype=words.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 5000])
 def test_block_round_trip_and_checksum(n):
     rng = np.random.default_rng(n)
@@ -247,6 +365,11 @@ def test_shards(spark, make, tmp_path, monkeypatch):
         at += len(want)
     told = {r["id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenbin.describe_shards(spark, out).collect()}
     assert told == {i: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, (_, x) in found.items()}
+    monkeypatch.setattr(tokenbin, "BLOCK_IDS", 500)  # many blocks; a text longer than one
+    many = str(tmp_path / "m")
+    tokenbin.write_shards(make(texts, ids=ids), many)
+    assert spark.read.parquet(f"{many}/blocks").count() >= 3
+    assert {r["id"]: (r["start"], np.frombuffer(r["ids"], dtype="<u4").tolist()) for r in tokenbin.read_shards(spark, many).collect()} == found
     empty = str(tmp_path / "e")
     tokenbin.write_shards(make([]), empty)
     assert tokenbin.read_shards(spark, empty).count() == 0
@@ -273,7 +396,7 @@ def test_decontamination(spark, make):
     for bound in (decontam.BROADCAST_HASHES, 0):
         found = {(r["doc"], r["item"]): r for r in decontam.find_overlaps(docs, benchmark, broadcast_hashes=bound).collect()}
         last = len(texts) + len(clean)
-        assert set(found) == {(0, 0), (1, 1), (2, 0), (3, 2), (4, 3), (5, 2), (last, 0)}
+        assert set(found) == {(0, 0), (1, 1), (2, 0), (3, 2), (4, 3), (5, 2), (26, 4), (last, 0)}
         assert (found[0, 0]["start"], found[0, 0]["n_matched"], found[0, 0]["item_words"]) == (100, 40, 40)
         assert (found[3, 2]["start"], found[3, 2]["n_words"]) == (100, 18)
         assert found[last, 0]["start"] == 0
