@@ -2,9 +2,13 @@
 
 A fingerprint has 64 bits, 8 bytes. Two that differ in at most r bits differ in at most r bytes, so
 they share at least 8 - r positional bytes: the guaranteed minimum. Postings of single bytes would pair a
-256th of the table with itself, so the index is over combinations of as many byte positions as the minimum:
-two fingerprints whose tally of shared bytes is t meet under C(t, 8 - r) keys, so they meet exactly when
-the tally reaches the minimum, and then the differing bits are counted.
+256th of the table with itself, so a posting is under several bytes at once. For r = 3 the byte positions are the points of the
+cube {0,1}^3, and a posting's four are a block of the Steiner system S(3,4,8): four positions whose numbers' exclusive or is 0.
+Any three positions that differ lie in a block, whose complement is a block too, so two fingerprints that share the minimum
+of five meet under one of 14 keys. For other r the postings are under every combination of 8 - r positions.
+
+Under a key the bytes that a pair shares are tallied, pairs below the minimum fall out, and of the others
+the differing bits are counted.
 
 Exact copies are one fingerprint before anything is posted. A group under one key holds distinct values
 of its free bytes only, so its size is bounded, and a group never emits its pairs: it is linked
@@ -75,27 +79,46 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return text_batches(rows).mapInPandas(run, "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
 
 
+def blocks(max_bits: int) -> list[tuple[int, ...]]:
+    """Byte positions of the keys: any two fingerprints that share 8 - max_bits bytes or more share all bytes of one."""
+    if max_bits == 3:
+        return [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+    return list(combinations(range(8), 8 - max_bits))
+
+
 def postings(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """which (the combination of byte positions), shared (their bytes), fp."""
+    """which (the block of byte positions), shared (their bytes), fp."""
     kept = []
-    for which, places in enumerate(combinations(range(8), 8 - max_bits)):
+    for which, places in enumerate(blocks(max_bits)):
         mask = sum(0xFF << 8 * p for p in places)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         kept.append(F.struct(F.lit(which).cast("byte").alias("which"), F.col("fp").bitwiseAND(F.lit(mask)).alias("shared")))
     return fps.select("fp", F.explode(F.array(*kept)).alias("key")).select("key.which", "key.shared", "fp")
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the eight positional bytes each pair shares."""
+    differing = a ^ b
+    return sum(((differing >> np.uint64(8 * p)) & np.uint64(0xFF) == 0).astype(np.int8) for p in range(8))
+
+
 def _parts(fps: np.ndarray, max_bits: int) -> np.ndarray:
     """Index of the first member of each member's part, where parts link at max_bits differing bits or fewer."""
     m = len(fps)
     label = np.arange(m)
     if m <= PAIRWISE:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
-        while True:
-            least = np.where(near, label[None, :], m).min(axis=1)
-            if (least == label).all():
-                return label
-            label = least
+        one, two = np.triu_indices(m, 1)
+        enough = tally(fps[one], fps[two]) >= 8 - max_bits
+        one, two = one[enough], two[enough]
+        near = np.bitwise_count(fps[one] ^ fps[two]) <= max_bits
+        one, two = one[near], two[near]
+        while len(one):
+            before = label.copy()
+            np.minimum.at(label, two, label[one])
+            np.minimum.at(label, one, label[two])
+            if (label == before).all():
+                break
+        return label
     varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
     places = [np.uint64(1) << np.uint64(b) for b in range(64) if varying >> b & 1]
     order = np.argsort(fps)
@@ -116,7 +139,7 @@ def _parts(fps: np.ndarray, max_bits: int) -> np.ndarray:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """a, b: pairs of fingerprints that span every part of the link graph. fps: one column fp, distinct."""
+    """a, b: pairs of fingerprints that span every part of the link graph. fps: one column fp."""
 
     def star(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,6 +152,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 b.append(own[linked])
             yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
+    # The small rows would be one task's to multiply: the number of partitions is given, so that they aren't merged.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").distinct()
     groups = postings(fps, max_bits).groupBy("which", "shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return groups.select("fps").mapInPandas(star, "a long, b long")
 
@@ -140,7 +165,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def components_of(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """id, fp -> id, fp, component. rows is read three times; it should be stored."""
-    return parts_of(rows, links(rows.select("fp").distinct(), max_bits)).drop("root")
+    return parts_of(rows, links(rows.select("fp"), max_bits)).drop("root")
 
 
 def parts_of(rows: DataFrame, found: DataFrame) -> DataFrame:
