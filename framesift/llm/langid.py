@@ -1,15 +1,15 @@
-"""Language identification by word-first backoff.
+r"""Language identification by word-first backoff.
 
 A known word scores its log frequency in each language. A word that training hasn't seen is scored by its
 character n-grams instead: at each place the longest n-gram ending there that training has seen, from MAX_GRAM
 characters down to one. A document's language is the one with the largest sum over its words.
 
 Training counts words over a sample of labelled rows: about SAMPLE_ROWS of each language, drawn by a hash
-of the id, all rows where there are fewer. The counting is Spark's; the MODEL_WORDS most frequent words of each
-language make the model, whose size is thereby bounded, and n-grams are counted over those.
+of the id, all rows where there are fewer. That bound on rows is the only one: every word of the sample is in the model, and
+n-grams are counted over those words. Words are runs of letters (\p{L}), lower-cased, in training and in prediction.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if there is nothing
-to learn from; rows without lang or text teach nothing; equal sums go to the language first by code point; a
+to learn from; rows without lang or text teach nothing; more than MAX_LANGUAGES languages are an error, since that column names none; equal sums go to the language first by code point; a
 null id is never held out; repeated rows are rows of their own. An empty table gives an empty result. Extra columns
 are ignored, and whatever their names, only the text is read for a prediction.
 """
@@ -20,16 +20,17 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm.common import text_batches
 
-SAMPLE_ROWS = 20_000
-MODEL_WORDS = 50_000
+SAMPLE_ROWS = 1_000
+MAX_LANGUAGES = 1_000
 MAX_GRAM = 5
 UNDETERMINED = "und"
 SMOOTHING = 0.5
@@ -37,11 +38,23 @@ SMOOTHING = 0.5
 GRAM_WEIGHT = 1.5
 #: Words after which more text doesn't make the score surer.
 SURE_WORDS = 10
-#: Unseen words whose scores a task keeps.
-CACHE = 1 << 16
+#: Unseen words whose n-grams a task keeps, and n-grams that are summed at once.
+CACHE, AT_ONCE = 1 << 16, 1 << 18
+#: Letters, and what else Python takes for them (Roman numerals, fractions), which count_words takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def count_words(text: str | None) -> Counter:
+    """Lower-cased runs of letters and their counts."""
+    words = Counter(LETTERS.findall((text or "").lower()))
+    for word in [w for w in words if not w.isalpha()]:
+        n = words.pop(word)
+        for letters, run in groupby(word, str.isalpha):
+            if letters:
+                words["".join(run)] += n
+    return words
+
+
 def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -76,64 +89,70 @@ class Model:
         for s in range(1, max_gram + 1):
             own = of_size == s
             self.gram_scores[own] = np.log((found[own] + SMOOTHING) / (found[own].sum(axis=0) + SMOOTHING * max(1, own.sum())))
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, list[int]] = {}
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over places of the longest known n-gram ending there; languages differ, absolute height doesn't count."""
+    def backoff(self, word: str) -> list[int]:
+        """For each place of an unseen word the longest known n-gram ending there, as rows of gram_scores."""
         if (kept := self.cache.get(word)) is not None:
             return kept
-        marked, rows = f"^{word}$", []
+        marked, rows, grams, size = f"^{word}$", [], self.grams, self.max_gram
         for end in range(2, len(marked) + 1):
-            for start in range(max(0, end - self.max_gram), end):
-                if (at := self.grams.get(marked[start:end])) is not None:
+            for start in range(max(0, end - size), end):
+                if (at := grams.get(marked[start:end])) is not None:
                     rows.append(at)
                     break
-        score = GRAM_WEIGHT * self.gram_scores[rows].mean(axis=0) if rows else np.zeros(len(self.languages))
         if len(word) <= 40:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            self.cache[word] = score
-        return score
+            self.cache[word] = rows
+        return rows
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(LETTERS.findall((text or "").lower()))
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        known, weights, total = [], [], np.zeros(len(self.languages))
+    def sums(self, words: Counter) -> np.ndarray:
+        """Each language's score: of known words their log frequency, of others the mean over their places times GRAM_WEIGHT, as often as they occur."""
+        total = np.zeros(len(self.languages))
+        known, counts, grams, weights = [], [], [], []
         for word, n in words.items():
             if (at := self.words.get(word)) is not None:
                 known.append(at)
-                weights.append(n)
-            else:
-                total += n * self.unseen(word)
+                counts.append(n)
+            elif rows := self.backoff(word):
+                grams += rows
+                weights += [n / len(rows)] * len(rows)
+                if len(grams) >= AT_ONCE:
+                    total += GRAM_WEIGHT * (np.array(weights) @ self.gram_scores[grams])
+                    grams, weights = [], []
+        if grams:
+            total += GRAM_WEIGHT * (np.array(weights) @ self.gram_scores[grams])
         if known:
-            total += np.array(weights, dtype=float) @ self.scores[known]
-        n = sum(words.values())
+            total += np.array(counts, dtype=float) @ self.scores[known]
+        return total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = count_words(text)
+        if not words or not self.languages:
+            return UNDETERMINED, 0.0
+        total, n = self.sums(words), sum(words.values())
         best = int(total.argmax())
         sure = np.exp((total - total[best]) * (min(n, SURE_WORDS) / n))
         return self.languages[best], float(1 / sure.sum())
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, model_words: int = MODEL_WORDS) -> Model:
-    """Fits a model on labelled rows; counts run in Spark, model_words words of each language come to the driver."""
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fits a model on labelled rows; counts run in Spark, those of the sample's words come to the driver."""
     rows = labelled.select(labelled[id_col].cast("string").alias("id"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / n))).otherwise(share)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}  # a row for each language
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values; it doesn't name languages")
+    share = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))]), F.col("lang")) if sizes else F.lit(0.0)
     drawn = rows.where((F.xxhash64("id") % 1_000_003 + 1_000_003) % 1_000_003 < share * 1_000_003)
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    kept: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counts.where("n > 1").withColumn("at", F.row_number().over(top)).where(F.col("at") <= model_words).toLocalIterator():
-        kept[r["word"]][r["lang"]] = r["n"]
-    if not kept:  # a sample too small for a word to repeat
-        for r in counts.withColumn("at", F.row_number().over(top)).where(F.col("at") <= model_words).toLocalIterator():
-            kept[r["word"]][r["lang"]] = r["n"]
-    return Model(dict(sorted(kept.items())), totals)
+    counts: dict[str, dict[str, int]] = defaultdict(dict)
+    totals: Counter = Counter()
+    for r in words.groupBy("lang", "word").agg(F.count("*").alias("n")).coalesce(4).toLocalIterator():  # bounded by the sample
+        counts[r["word"]][r["lang"]] = r["n"]
+        totals[r["lang"]] += r["n"]
+    return Model(dict(sorted(counts.items())), dict(totals))
 
 
 def predictor(spark: SparkSession, model: Model):
