@@ -3,8 +3,9 @@
 A text is the set of its shingle hashes, rarest first: the order is that of counts in a sample of the texts, and any order that
 all texts share gives the same pairs. Two sets of Jaccard similarity 4/5 meet in the first n - ceil(4n/5) + 1 of their places, so only
 these are posted. Under a shingle with up to PAIRWISE texts all pairs of fitting sizes are candidates, and those that share too few
-posted shingles fall out. Under one with more, each text is first held against a few hubs; then only pairs of texts that are
-not linked yet are candidates. Every candidate is verified on whole sets.
+posted shingles fall out. Under one with more, each text is first held against a few hubs. Where that leaves a group in several
+parts, its texts are dealt to blocks of about BLOCK shingles; each two blocks meet in a task that holds their whole sets, counts what
+they share by an inverted index and emits only links that join two parts, never pairs. Every candidate is verified on whole sets.
 
 Defined results: fewer words than a shingle are one shingle; a text without a word is like no other.
 """
@@ -28,6 +29,8 @@ UP, DOWN = 4, 5
 PAIRWISE = 64
 HUBS = 4
 PAIRS_AT_ONCE = 100_000
+#: Shingles of a block of texts (8 bytes each); two blocks are in memory at once.
+BLOCK = 1_000_000
 #: One text of so many is counted for the order; shingles seen this often there are common, the first of them are known by count.
 SAMPLED, COMMON, COMMON_LIMIT = 16, 3, 200_000
 #: Texts that may be broadcast by key (8 bytes each).
@@ -78,11 +81,11 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def _emit(groups: DataFrame, kind: str) -> DataFrame:
-    """a, b, na, nb (a < b): pairs of the members of groups, by kind: all pairs, pairs with hubs, pairs of different roots."""
+    """a, b, na, nb (a < b): pairs of the members of groups, by kind: all pairs, or pairs with hubs."""
 
-    def pairs(h: int, t: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(h: int, t: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
         order = np.argsort(t)
-        t, n, root = t[order], n[order], root[order]
+        t, n = t[order], n[order]
         if kind == "hubs":
             firsts = [int(np.argmin(t.view(np.uint64) ^ np.uint64(h % HUBS * 0x3E3779B97F4A7C15)))]
         else:
@@ -90,8 +93,6 @@ def _emit(groups: DataFrame, kind: str) -> DataFrame:
         for i in firsts:
             j = np.arange(0 if kind == "hubs" else i + 1, len(t))
             fit = (DOWN * np.minimum(n[i], n[j]) >= UP * np.maximum(n[i], n[j])) & (j != i)
-            if kind == "roots":
-                fit &= root[i] != root[j]
             low, high = np.minimum(i, j[fit]), np.maximum(i, j[fit])
             if len(low):
                 yield np.stack([t[low], t[high], n[low], n[high]])
@@ -99,8 +100,8 @@ def _emit(groups: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held, count = [], 0
-            for h, t, n, root in zip(batch["h"], batch["t"], batch["n"], batch["root"], strict=True):
-                for found in pairs(h, np.asarray(t), np.asarray(n, dtype=np.int64), np.asarray(root)):
+            for h, t, n in zip(batch["h"], batch["t"], batch["n"], strict=True):
+                for found in pairs(h, np.asarray(t), np.asarray(n, dtype=np.int64)):
                     held.append(found)
                     count += found.shape[1]
                     if count >= PAIRS_AT_ONCE:
@@ -109,25 +110,28 @@ def _emit(groups: DataFrame, kind: str) -> DataFrame:
             if held:
                 yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b", "na", "nb"])
 
-    root = F.col("members.root" if kind == "roots" else "members.t").alias("root")
-    groups = groups.select("h", F.col("members.t").alias("t"), F.col("members.n").alias("n"), root)
+    groups = groups.select("h", F.col("members.t").alias("t"), F.col("members.n").alias("n"))
     return groups.mapInPandas(run, "a long, b long, na long, nb long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """a, b: fingerprints of the pairs whose whole sets are similar; the sets are made again, of these texts only. pairs and rows are stored."""
+def _sets(keys: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """t, fp, s: whole sets, made again for the texts t of keys only. rows is stored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"t": batch["t"], "fp": batch["fp"], "s": [np.unique(shingle_hashes(x, words).view(np.int64)) for x in batch["text"]]})
 
-    keys = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    keys = rows.select("t", "key", "fp").join(keys, "t", "left_semi").groupBy("t").agg(F.min(F.struct("key", "fp")).alias("least"))
+    keys = rows.select("t", "key", "fp").join(keys.distinct(), "t", "left_semi").groupBy("t").agg(F.min(F.struct("key", "fp")).alias("least"))
     keys = materialized(keys.select("t", "least.key", "least.fp"))
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     wanted = text_batches(texts.join(keys, "key").select("t", "fp", "text"))
-    sets = materialized(wanted.mapInPandas(run, "t long, fp long, s array<long>").dropDuplicates(["t"]))
+    return materialized(wanted.mapInPandas(run, "t long, fp long, s array<long>").dropDuplicates(["t"]))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """a, b: fingerprints of the pairs whose whole sets are similar. pairs is stored."""
+    sets = _sets(pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))), rows, texts, words)
     one = sets.select(F.col("t").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
     two = sets.select(F.col("t").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
     both = pairs.join(one, "a").join(two, "b")
@@ -135,7 +139,61 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -
     return materialized(alike.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct())
 
 
-def similar_links(rows: DataFrame, near: DataFrame, texts: DataFrame, *, words: int = WORDS, pairwise: int = PAIRWISE) -> DataFrame:
+def joining(one: list[np.ndarray], two: list[np.ndarray], one_parts: np.ndarray, two_parts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places in one and in two of similar sets, as far as they join parts that no earlier link of these has joined."""
+    if not len(one) or not len(two):
+        return
+    names, parts = np.unique(np.concatenate([one_parts, two_parts]), return_inverse=True)
+    ours, theirs = parts[: len(one)].copy(), parts[len(one) :].copy()
+    shingles = np.concatenate(two)
+    sizes = np.array([len(x) for x in two])
+    order = np.argsort(shingles, kind="stable")
+    owners = np.repeat(np.arange(len(two)), sizes)[order]
+    known, first, counts = np.unique(shingles[order], return_index=True, return_counts=True)
+    for i, own in enumerate(one):
+        if not len(own) or (theirs == ours[i]).all():
+            continue
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        at = at[known[at] == own]
+        n = counts[at]
+        where = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owners[where], minlength=len(two))
+        for j in np.flatnonzero(((UP + DOWN) * shared >= UP * (len(own) + sizes)) & (theirs != ours[i])):
+            gone, kept = theirs[j], ours[i]
+            if gone != kept:
+                yield i, int(j)
+                ours[ours == gone] = kept
+                theirs[theirs == gone] = kept
+
+
+def _joined(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """a, b: links that join parts of groups. members: h, t, n, root; sets: t, fp, s."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                side, root, fps = np.asarray(r.side), np.asarray(r.root), np.asarray(r.fp)
+                held = [np.asarray(x) for x in r.s]
+                one = np.flatnonzero(side == r.low)
+                two = np.flatnonzero(side == r.high)
+                found = list(joining([held[i] for i in one], [held[j] for j in two], root[one], root[two]))
+                yield pd.DataFrame({"a": [fps[one[i]] for i, _ in found], "b": [fps[two[j]] for _, j in found]}, dtype="int64")
+
+    blocks = members.groupBy("h").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "h").withColumn("side", F.pmod(F.xxhash64("t", "h"), "blocks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("h", "t", "root", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    met = dealt.join(sets, "t").groupBy("h", "low", "high").agg(F.collect_list(F.struct("side", "root", "fp", "s")).alias("m"))
+    met = met.select("low", "high", *[F.col(f"m.{c}").alias(c) for c in ("side", "root", "fp", "s")])
+    few = int(members.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(few, 4) if few > 0 else 4))
+    try:
+        return materialized(met.mapInPandas(run, "a long, b long").distinct())
+    finally:
+        members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(few))
+
+
+def similar_links(rows: DataFrame, near: DataFrame, texts: DataFrame, *, words: int = WORDS, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
     """a, b: fingerprints whose links, with those of near, span every part that pairs of similar texts link.
 
     rows: signatures, stored; near: links a, b between fingerprints, stored; texts: key, text.
@@ -159,16 +217,18 @@ def similar_links(rows: DataFrame, near: DataFrame, texts: DataFrame, *, words:
     of_text = rows.select("t", "fp").distinct().dropDuplicates(["t"]).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     of_text = of_text.select("t", F.coalesce("root", "fp").alias("root"))
     members = large.select("h", F.explode("members").alias("m")).select("h", "m.t", "m.n").join(of_text, "t")
-    mixed = members.groupBy("h").agg(F.collect_list(F.struct("t", "n", "root")).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
-    rest = _emit(mixed.where("least < most").select("h", "members"), "roots").distinct()
-    return found.unionByName(_verified(materialized(rest), rows, texts, words))
+    mixed = members.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h")
+    members = materialized(members.join(mixed, "h").select("h", "t", "n", "root"))
+    if not members.limit(1).count():
+        return found
+    return found.unionByName(_joined(members, _sets(members.select("t"), rows, texts, words), block))
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: id, key (xxhash64 of the text), fp, root (names the component), component (its smallest id, over SimHash links and similar texts)."""
     rows = materialized(signatures(docs, id_col=id_col, text_col=text_col, words=words))
-    near = materialized(links(rows.select("fp").distinct(), max_bits))
+    near = materialized(links(rows.select("fp"), max_bits))
     text = docs[text_col].cast("string")
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
-    every = near.unionByName(similar_links(rows, near, texts, words=words, pairwise=pairwise))
+    every = near.unionByName(similar_links(rows, near, texts, words=words, pairwise=pairwise, block=block))
     return parts_of(rows.select("id", "key", "fp"), every)

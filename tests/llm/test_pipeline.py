@@ -111,8 +111,8 @@ def test_near_copies_by_shingles_against_brute_force(spark, make):
     assert len(set(label)) < len(set(by_bits))
     from framesift.llm import shingles
 
-    for pairwise in (shingles.PAIRWISE, 2):
-        found = shingles.near_copies(make(texts), pairwise=pairwise).collect()
+    for pairwise, block in ((shingles.PAIRWISE, shingles.BLOCK), (2, shingles.BLOCK), (2, 150)):
+        found = shingles.near_copies(make(texts), pairwise=pairwise, block=block).collect()
         assert {r["id"]: r["component"] for r in found} == dict(enumerate(label))
     kept = stages.keep_one_of_near_copies(make(texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
@@ -138,3 +138,11 @@ def test_different_texts_under_one_id(spark, make):
         assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, texts[0]), (5, texts[1])]
     kept = stages.drop_contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
     assert sorted(r["text"] for r in kept.collect()) == sorted([*texts[:3], texts[4], texts[6]]) and kept.columns == docs.columns
+
+
+def test_language_stage_rejects_what_no_language_claims(spark, make):
+    taught = make(["the and of"] * 6 + ["der und die"] * 6 + ["le et la"] * 6, langs=["en"] * 6 + ["de"] * 6 + ["fr"] * 6)
+    texts = ["the and of", "und die der", "漢字 漢", None, "1 2", "the and of", "ελ"]
+    docs = make(texts, ids=[1, None, 3, 4, 5, 1, None])
+    kept = stages.keep_identified(docs, taught)
+    assert sorted(r["text"] for r in kept.collect()) == ["the and of", "the and of", "und die der"] and kept.columns == docs.columns
