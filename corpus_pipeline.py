@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from framesift.llm import mixing, stages, tokenbin
-from framesift.llm.common import table, work_path
+from framesift.llm.common import remove, table, work_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; between stages the rows are Parquet in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir; between stages the rows are Parquet in the shared folder.
+
+    A stage's rows are deleted when the next stage's are written; the shards stay, which the result reads (common.remove_work).
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         found = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
@@ -61,6 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = work_path(spark, f"stage-{name}")
         found.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 
