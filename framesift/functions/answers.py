@@ -31,31 +31,32 @@ def letter(text: Column, letters: str = "A-F") -> Column:
 
 
 def number(text: Column) -> Column:
-    """First number as text, or null."""
-    return _nonempty(F.regexp_extract(text, r"(-?[0-9]+(?:\.[0-9]+)?)", 1))
+    """First number as text, or null; it may have a sign and begin with a point."""
+    return _nonempty(F.regexp_extract(text, r"([-+]?(?:[0-9]+\.[0-9]+|[0-9]+|\.[0-9]+))", 1))
 
 
-def parse_answer(text: Column, letters: str = "A-F") -> Column:
-    """Letter, else number, else the text itself, of the part after thinking and inside <answer> if there is one."""
+def parse_answer(text: Column, letters: str = "A-F", has_options: Column | None = None) -> Column:
+    """Of the part after thinking, and inside <answer> if there is one: a letter where the sample has options, else a number; the whole text where there is neither."""
     final = after_think(text)
     final = F.coalesce(inline_answer(final), final)
-    return F.coalesce(letter(final, letters), number(final), final)
+    chosen = letter(final, letters) if has_options is None else F.when(has_options, letter(final, letters))
+    return F.coalesce(chosen, number(final), text)
 
 
 def normalize_choice(answer: Column) -> Column:
-    """A-E from a letter, an index 0-4 or the digit 5 (the only one read as counted from one); null otherwise."""
-    raw = F.upper(F.trim(answer))
-    index = raw.try_cast("int")
+    """A-E from a letter, an index 0-4 or the digit 5 (the only one read as counted from one); anything else stays as it is, trimmed."""
+    raw = F.trim(answer)
+    index = F.when(raw.rlike("^[0-9]+$"), raw.try_cast("int"))
     by_index = F.when(index.between(0, 4), F.substr(F.lit("ABCDE"), index + 1, F.lit(1)))
-    return F.when(raw.rlike("^[A-E]$"), raw).otherwise(F.coalesce(by_index, F.when(index == 5, F.lit("E"))))
+    return F.when(F.upper(raw).rlike("^[A-E]$"), F.upper(raw)).otherwise(F.coalesce(by_index, F.when(index == 5, F.lit("E")), raw))
 
 
 def choice_letter(answer: Column, options: Column) -> Column:
-    """A letter, else a letter that stands alone, else the letter of the option with the same text (case ignored)."""
-    raw = F.upper(F.trim(answer))
-    place = F.array_position(F.transform(options, lambda o: F.upper(F.trim(o))), raw)
+    """A-F: the answer itself, else a letter that stands alone, else the letter of the option with the same text (case ignored); else the answer, trimmed."""
+    raw = F.trim(answer)
+    place = F.array_position(F.transform(options, lambda o: F.lower(F.trim(o))), F.lower(raw))
     by_option = F.when(place > 0, F.char(place + 64))
-    return F.coalesce(F.when(raw.rlike("^[A-Z]$"), raw), letter(answer, "A-Z"), by_option)
+    return F.coalesce(F.when(F.upper(raw).rlike("^[A-F]$"), F.upper(raw)), letter(raw), by_option, raw)
 
 
 def relative_accuracy(predicted: Column, truth: Column) -> Column:
@@ -71,17 +72,67 @@ def usable(text: Column, required: Column) -> Column:
 
 
 def label_options(options: Column) -> Column:
-    """`A. text` lines. Blank options are skipped but keep their letter; a prefix `A.`, `A)` or `A:` is replaced."""
-    bare = F.transform(options, lambda o, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(F.trim(o), r"^[A-Za-z][.):]\s*", "")).alias("o")))
-    kept = F.filter(bare, lambda x: F.coalesce(x["o"], F.lit("")) != "")
+    """`A. text` lines. Blank options are skipped but keep their letter; a prefix `A.`, `A)`, `A:` or `A-` is replaced, unless it is all there is."""
+
+    def labelled(option: Column, i: Column) -> Column:
+        text = F.trim(option)
+        bare = F.trim(F.regexp_replace(text, r"^[A-Za-z][.):-]\s*", ""))
+        return F.struct(i.alias("i"), F.coalesce(_nonempty(bare), text).alias("o"))
+
+    kept = F.filter(F.transform(options, labelled), lambda x: F.coalesce(x["o"], F.lit("")) != "")
     return F.array_join(F.transform(kept, lambda x: F.concat(F.char(x["i"] + 65), F.lit(". "), x["o"])), "\n")
 
 
+#: Fixed wording of prompts and queries, on which recorded results depend.
+ASK_LETTER = "Directly answer with the option letter only. Do not explain."
+ASK_NUMBER = "Please provide the numerical answer directly."
+SUBTITLES_HEAD = "This video's subtitles are listed below:"
+NO_SUBTITLES = "No subtitles available"
+SUBTITLES_ASK = "Select the best answer to the following multiple-choice question based on the video. Respond with only the letter of the correct option."
+SUBTITLES_TAIL = "The best answer is:"
+RETRIEVAL_HEAD = "a video frame relevant to the following question and options:"
+DEFAULT_QUERY = "What is happening in this video?"
+
+
+def _with_options(question: Column, options: Column) -> Column:
+    return F.concat(question, F.lit("\n\nOptions:\n"), label_options(options))
+
+
 def question_prompt(question: Column, options: Column, subtitles: Column | None = None) -> Column:
-    """Question, options and what to answer with; subtitles first where they are given."""
-    ask = F.when(F.size(options) > 0, F.concat(question, F.lit("\n"), label_options(options), F.lit("\nAnswer with the letter of one option.")))
-    ask = ask.otherwise(F.concat(question, F.lit("\nAnswer with one number.")))
+    """What a model is asked; with subtitles (a text, lines joined) they come first and a letter is asked for."""
     if subtitles is None:
-        return ask
-    shown = F.coalesce(F.nullif(F.trim(subtitles), F.lit("")), F.lit("No subtitles available."))
-    return F.concat(F.lit("Subtitles:\n"), shown, F.lit("\n\n"), ask)
+        choice = F.concat(_with_options(question, options), F.lit(f"\n\n{ASK_LETTER}"))
+        return F.when(F.size(options) > 0, choice).otherwise(F.concat(question, F.lit(f"\n\n{ASK_NUMBER}")))
+    shown = F.coalesce(_nonempty(F.trim(subtitles)), F.lit(NO_SUBTITLES))
+    listed = F.coalesce(label_options(options), F.lit(""))
+    return F.concat(F.lit(f"{SUBTITLES_HEAD}\n"), shown, F.lit(f"\n\n{SUBTITLES_ASK}\n"), question, F.lit("\n\nOptions:\n"), listed, F.lit(f"\n{SUBTITLES_TAIL}"))
+
+
+def retrieval_text(question: Column, options: Column) -> Column:
+    """What frames are compared with. A blank question, no options or a blank one among them is an error."""
+    blank = F.coalesce(F.trim(question) == "", F.lit(True)) | F.coalesce(F.size(options) <= 0, F.lit(True)) | F.exists(options, lambda o: F.coalesce(F.trim(o) == "", F.lit(True)))
+    text = F.concat(F.lit(f"{RETRIEVAL_HEAD}\n"), F.trim(question), F.lit("\nOptions:\n"), label_options(options))
+    return F.when(blank, F.raise_error(F.lit("retrieval needs a question and options, none of them blank"))).otherwise(text)
+
+
+def focus_query(question: Column, answer: Column) -> Column:
+    """Question and answer, or the one that is there, or a default sentence."""
+    q, a = (_nonempty(F.trim(c)) for c in (question, answer))
+    both = F.concat(F.lit("Question: "), q, F.lit("\nAnswer: "), a)
+    return F.coalesce(both, q, a, F.lit(DEFAULT_QUERY))
+
+
+def last_object(text: Column, key: str) -> Column:
+    """The whole text if it is an object with the key, else the last flat {...} in it that has the key; single quotes are taken for double ones."""
+    flat = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0))
+    found = F.transform(F.concat(flat, F.array(F.trim(text))), lambda t: F.coalesce(F.when(F.get_json_object(t, f"$.{key}").isNotNull(), t), F.translate(t, "'", '"')))
+    good = F.filter(found, lambda t: F.get_json_object(t, f"$.{key}").isNotNull())
+    return F.get(good, F.size(good) - 1)
+
+
+def answer_index(text: Column, key: str = "final_answer") -> Column:
+    """0-4 (or -1) from an object's answer: the number itself, a letter A-E, or a digit 0-4 that stands alone; null where there is none."""
+    said = F.upper(F.trim(F.get_json_object(last_object(text, key), f"$.{key}")))
+    by_letter = F.when(said.rlike("^[A-E]$"), F.ascii(said) - 65)
+    inside = _nonempty(F.regexp_extract(said, rf"(?:^|{EDGE})([0-4])(?:$|{EDGE})", 1)).try_cast("int")
+    return F.coalesce(F.when(said.rlike("^(-1|[0-4])$"), said.try_cast("int")), by_letter, inside)

@@ -66,3 +66,34 @@ def distinct_ignoring_case(words: Column) -> Column:
 
 def pipe_list(values: Column, digits: int = 6) -> Column:
     return F.array_join(F.transform(values, lambda v: F.format_string(f"%.{digits}f", v.cast("double"))), "|")
+
+
+def allocation_text(values: Column) -> Column:
+    """`[3, 2.5]`: whole numbers without a point, others with one digit."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.when(F.abs(v - F.rint(v)) < 1e-6, F.rint(v).cast("bigint").cast("string")).otherwise(F.format_string("%.1f", v))), ", "), F.lit("]"))
+
+
+def config_label(strength: Column, coverage: Column) -> Column:
+    """`ws=2` and `cov=T` on two lines."""
+    shown = F.when(strength == F.rint(strength), strength.cast("bigint").cast("string")).otherwise(strength.cast("string"))
+    return F.concat(F.lit("ws="), shown, F.lit("\ncov="), F.when(coverage, "T").otherwise("F"))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below root; the file's name where it isn't below it."""
+    top = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(top)), F.substr(path, F.lit(len(top) + 1))).otherwise(F.regexp_replace(path, r"^.*/", ""))
+
+
+def hub_id(path: Column) -> Column:
+    """`org/name` from the first folder `models--org--name` of a path, or null."""
+    made = F.concat_ws("/", *[F.nullif(F.regexp_extract(path, r"(?:^|/)models--([^/]+?)--([^/]+)", i), F.lit("")) for i in (1, 2)])
+    return F.nullif(made, F.lit(""))
+
+
+def run_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def parse_run_stamp(stamp: Column) -> Column:
+    return F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss"))

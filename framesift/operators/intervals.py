@@ -17,10 +17,11 @@ def match_segments(moments: DataFrame, segments: DataFrame, *, group: str, at: s
     spread = segments.where(F.col(end) > F.col(start)).select(
         F.col(group).alias("seg_group"), F.col(start).alias("seg_start"), F.col(end).alias("seg_end"), F.struct(F.col(seq).alias("seq"), F.col(text).alias("text")).alias("seg"), F.explode(slots).alias("seg_slot")
     )
-    keyed = moments.withColumn("moment_slot", F.floor(F.col(at) / slot).cast("bigint"))
+    times = moments.select(group, at).distinct()  # equal moments are matched once, and each keeps its row
+    keyed = times.withColumn("moment_slot", F.floor(F.col(at) / slot).cast("bigint"))
     on = (F.col(group) == F.col("seg_group")) & (F.col("moment_slot") == F.col("seg_slot")) & (F.col(at) >= F.col("seg_start")) & (F.col(at) < F.col("seg_end"))
-    found = keyed.join(spread, on, "left").groupBy(*moments.columns).agg(F.min("seg").alias("seg"))
-    return found.select(*moments.columns, F.coalesce("seg.text", F.lit("")).alias("subtitle"))
+    found = keyed.join(spread, on).groupBy(group, at).agg(F.min("seg").alias("seg"))
+    return moments.join(found, [group, at], "left").select(*moments.columns, F.coalesce("seg.text", F.lit("")).alias("subtitle"))
 
 
 def distinct_texts(matched: DataFrame, *, group: str, at: str) -> DataFrame:

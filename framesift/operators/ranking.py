@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.vectors import dot
@@ -55,7 +55,7 @@ def adjacent_similarity(frames: DataFrame, *, sample: str = "video") -> DataFram
     return frames.withColumn("cos_sim", F.round(dot(F.col("vec"), before), 9)).where(F.col("pos") > 0).select(sample, "pos", "cos_sim")
 
 
-def largest_remainder(shares: DataFrame, budget: int, *, group: list[str], key: str, weight: str = "weight", out: str = "quota") -> DataFrame:
+def largest_remainder(shares: DataFrame, budget: int | Column, *, group: list[str], key: str, weight: str = "weight", out: str = "quota") -> DataFrame:
     """Integers near budget x weight that sum to the budget: floors first, then one each by largest fraction, ties by key."""
     exact = F.round(F.col(weight) * budget, 9)
     w = Window.partitionBy(*group)

@@ -64,3 +64,33 @@ def schedule(videos: DataFrame, step: int, *, keys: list[str], total: str = "n_f
     """Round sizes step, 2 step, ... with the total as the last."""
     rounds = F.when(F.col(total) > 0, F.concat(F.when(F.col(total) > step, F.sequence(F.lit(step).cast("bigint"), F.col(total) - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), F.array(F.col(total))))
     return videos.select(*keys, F.posexplode(rounds).alias("round_idx", "n_used")).select(*keys, F.col("round_idx").cast("bigint").alias("round_idx"), "n_used")
+
+
+def pool_to_fps(pools: DataFrame, fps: float, *, keys: list[str], total: str = "n_frames", source_fps: str = "fps") -> DataFrame:
+    """to_fps over the places of a pool that is sampled already; a pool of unknown rate is taken to have the wanted one."""
+    known = F.coalesce(F.when(F.col(source_fps) > 0, F.col(source_fps)), F.lit(float(fps)))
+    return to_fps(pools.withColumn(source_fps, known), fps, keys=keys, total=total, source_fps=source_fps)
+
+
+def grid_at_fps(videos: DataFrame, fps: float, *, keys: list[str], total: str = "n_frames", source_fps: str = "fps") -> DataFrame:
+    """floor(n / source x fps) points, each at its own time, rounded half to even and cut to the last frame."""
+    rows = _spread(videos, F.floor(F.col(total) / F.col(source_fps) * fps))
+    return _distinct(rows, F.least(F.rint(F.col("i") / fps * F.col(source_fps)), F.col(total) - 1), keys)
+
+
+def at_stride(videos: DataFrame, fps: float, *, keys: list[str], total: str = "n_frames", source_fps: str = "fps", default_fps: float = 30.0) -> DataFrame:
+    """Every k-th frame with k = round(source / fps), half to even, at least 1."""
+    source = F.coalesce(F.when(F.col(source_fps) > 0, F.col(source_fps)), F.lit(default_fps))
+    rows = videos.withColumn("stride", F.greatest(F.rint(source / fps), F.lit(1.0)).cast("bigint"))
+    return _distinct(_spread(rows, F.ceil(F.col(total) / F.col("stride"))), F.col("i") * F.col("stride"), keys)
+
+
+def caption_frame(caption: Column, n_captions: Column, n_frames: Column) -> Column:
+    """Frame of a caption counted from 1: captions lie evenly from the first to the last frame; rounded half to even."""
+    place = (caption - 1) / F.greatest(n_captions - 1, F.lit(1)) * F.greatest(n_frames - 1, F.lit(0))
+    return F.when(n_captions <= 1, F.lit(0).cast("bigint")).otherwise(F.rint(place).cast("bigint"))
+
+
+def scaled_size(width: Column, height: Column, scale: Column) -> Column:
+    """struct(width, height) after scaling, at least 1 each."""
+    return F.struct(*[F.greatest(F.rint(side * scale), F.lit(1.0)).cast("bigint").alias(name) for name, side in (("width", width), ("height", height))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.answers import relative_accuracy
@@ -20,6 +20,27 @@ def filter_tasks(samples: DataFrame, wanted: str, *, options: str = "options", t
     return samples.where(F.col(task) == wanted)
 
 
+def allowed_tasks(samples: DataFrame, allowed: list[str], *, task: str = "task_type") -> DataFrame:
+    """Samples of these task types, case ignored."""
+    return samples.where(F.lower(task).isin([a.lower() for a in allowed]))
+
+
+def judged_by_choices(wanted: str) -> bool:
+    """Whether a filter's accuracy is that of choices."""
+    return wanted.strip() not in ("all", "numeric", "generation")
+
+
+def safe_mean(value) -> Column:
+    """0 where there is nothing to average."""
+    return F.coalesce(F.avg(value), F.lit(0.0))
+
+
+def outcome_counts(rows: DataFrame, keys: list[str], *, status: str = "status", good: str = "success") -> DataFrame:
+    """keys, n, success, failed; a null status has failed."""
+    ok = F.coalesce(F.col(status) == good, F.lit(False))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
+
+
 def tally(rows: DataFrame, keys: list[str], *, unparsed: str = "skip") -> DataFrame:
     """keys, correct, n_mcq, mra_sum, n_numeric of rows with is_mcq, truth, answer, truth_number, number.
 
@@ -38,9 +59,10 @@ def tally(rows: DataFrame, keys: list[str], *, unparsed: str = "skip") -> DataFr
 
 
 def accuracy(tallied: DataFrame, kind: str) -> DataFrame:
-    """Adds accuracy in percent: of choices, of numbers, or of both (`all`); 0 without a sample."""
+    """Adds accuracy in percent: of numbers (`numeric`), of both (`all`), 0 for `generation`, and of choices for any other filter; 0 without a sample."""
     if kind == "generation":
         return tallied.withColumn("accuracy", F.lit(0.0))
+    kind = kind if kind in ("numeric", "all") else "mcq"
     top, bottom = {
         "mcq": (F.col("correct"), F.col("n_mcq")),
         "numeric": (F.col("mra_sum"), F.col("n_numeric")),
@@ -49,12 +71,12 @@ def accuracy(tallied: DataFrame, kind: str) -> DataFrame:
     return tallied.withColumn("accuracy", F.round(F.coalesce(F.try_divide(100.0 * top, bottom), F.lit(0.0)), 6))
 
 
-def confidence_bins(rows: DataFrame, *, prob: str = "prob", correct: str = "correct", bins: int = 10) -> DataFrame:
-    """Right-closed equal bins, the first closed on both sides; empty bins stay: bin, n, accuracy, mean_prob."""
+def confidence_bins(rows: DataFrame, *, prob: str = "prob", correct: str = "correct", bins: int = 10, means: tuple[str, ...] = ()) -> DataFrame:
+    """Right-closed equal bins, the first closed on both sides; empty bins stay: bin, n, accuracy, mean_prob, and mean_x for further columns x."""
     spark = rows.sparkSession
     binned = rows.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.round(F.col(prob) * bins, 9))).cast("bigint"))
-    per = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(correct).cast("double")), 6).alias("accuracy"), F.round(F.avg(prob), 6).alias("mean_prob"))
-    return spark.range(1, bins + 1).withColumnRenamed("id", "bin").join(per, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "accuracy", "mean_prob")
+    per = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(correct).cast("double")), 6).alias("accuracy"), F.round(F.avg(prob), 6).alias("mean_prob"), *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in means])
+    return spark.range(1, bins + 1).withColumnRenamed("id", "bin").join(per, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "accuracy", "mean_prob", *[f"mean_{m}" for m in means])
 
 
 def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -64,7 +86,7 @@ def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def compare_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds overlap, union_size, same_frame_percent (of the larger set), jaccard."""
+    """Adds overlap, union_size, same_frame_percent (of the larger set), jaccard (0 for two empty sets), and how many are in one only."""
     overlap, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     larger = F.greatest(F.size(a), F.size(b), F.lit(1))
     return pairs.select(
@@ -72,7 +94,9 @@ def compare_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
         overlap.cast("bigint").alias("overlap"),
         union.cast("bigint").alias("union_size"),
         F.round(100.0 * overlap / larger, 6).alias("same_frame_percent"),
-        F.round(F.when(union > 0, overlap / F.greatest(union, F.lit(1))).otherwise(1.0), 6).alias("jaccard"),
+        F.round(F.when(union > 0, overlap / F.greatest(union, F.lit(1))).otherwise(0.0), 6).alias("jaccard"),
+        F.size(F.array_except(a, b)).cast("bigint").alias("only_a"),
+        F.size(F.array_except(b, a)).cast("bigint").alias("only_b"),
     )
 
 
@@ -100,11 +124,11 @@ def score_stats(scored: DataFrame, keys: list[str], score: str = "score") -> Dat
 
 
 def model_differences(timed: DataFrame, *, key: str, model: str, value: str, first: str, second: str) -> DataFrame:
-    """key, first and second model's mean, delta, ratio (null where the first is 0)."""
+    """key, first and second model's mean, delta, ratio (infinite where the first is 0; a model without a row has mean 0)."""
     means = timed.where(F.col(model).isin(first, second)).groupBy(key).agg(
-        F.avg(F.when(F.col(model) == first, F.col(value))).alias("a"), F.avg(F.when(F.col(model) == second, F.col(value))).alias("b")
+        safe_mean(F.when(F.col(model) == first, F.col(value))).alias("a"), safe_mean(F.when(F.col(model) == second, F.col(value))).alias("b")
     )
-    return means.select(key, F.round("a", 6).alias("mean_a"), F.round("b", 6).alias("mean_b"), F.round(F.col("b") - F.col("a"), 6).alias("delta"), F.round(F.try_divide("b", "a"), 6).alias("ratio"))
+    return means.select(key, F.round("a", 6).alias("mean_a"), F.round("b", 6).alias("mean_b"), F.round(F.col("b") - F.col("a"), 6).alias("delta"), F.when(F.col("a") > 0, F.round(F.try_divide("b", "a"), 6)).otherwise(float("inf")).alias("ratio"))
 
 
 def allocation_by_rank(allotted: DataFrame, *, config: list[str]) -> DataFrame:

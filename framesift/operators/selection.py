@@ -79,7 +79,7 @@ def pick_recursive_segments(scored: DataFrame, k: int, *, ratio: int = 1, t1: fl
     """Halves segments until their best frames stand out, then takes the best int(k / 2^depth) of each.
 
     Every ratio-th frame counts. A segment is done if (mean of its k best - mean) > t1 and its standard deviation > t2, or at
-    depth min(max_depth, floor(log2 k)). So fewer than k come out where k is no power of two. A pool up to k is taken whole.
+    depth min(max_depth, floor(log2 k)). So fewer than k come out where k is no power of two. A pool below k is taken whole.
     Levels are unrolled: each is one aggregation over a video's segments.
     """
     pool = scored.where((F.col("pos") % ratio == 0) & (F.col("pos") < F.expr(f"(n div {ratio}) * {ratio}")))
@@ -105,7 +105,7 @@ def pick_recursive_segments(scored: DataFrame, k: int, *, ratio: int = 1, t1: fl
         )
     rank = F.row_number().over(segment.orderBy(F.col("z").desc(), "at"))
     share = F.floor(F.lit(k) / F.pow(F.lit(2.0), "depth"))
-    picked = rows.withColumn("r", rank).where((F.col("m") <= k) | (F.col("r") <= share))
+    picked = rows.withColumn("r", rank).where((F.col("m") < k) | (F.col("r") <= share))
     order = F.row_number().over(Window.partitionBy(SAMPLE).orderBy("frame_id"))
     return in_time_order(picked.withColumn("o", order).where(F.col("o") <= F.greatest(F.lit(k), F.lit(0))))
 
@@ -136,7 +136,10 @@ def pick_gumbel_buckets(scored: DataFrame, k: int, *, pool: int = 128, temperatu
     noise = -F.ln(-F.ln(uniform(seed, F.col(SAMPLE), F.col("frame_id"))))
     drawn = ranking.log_softmax(first, temperature=temperature).withColumn("key", F.round(F.col("log_prob") + noise, 9))
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy(SAMPLE).orderBy(F.col("key").desc(), "frame_id"))).where(F.col("r") <= k)
-    high, middle = bucket_sizes(k, ratio)
+    # A pool below k is dealt to the buckets by its own size.
+    sizes = [bucket_sizes(i, ratio) for i in range(k + 1)]
+    have = F.least(F.count(F.lit(1)).over(Window.partitionBy(SAMPLE)), F.lit(k)).cast("int")
+    high, middle = (F.get(F.array(*[F.lit(s[i]) for s in sizes]), have) for i in (0, 1))
     scale = F.when(F.col("r") <= high, 1.0).when(F.col("r") <= high + middle, 0.5).otherwise(0.25)
     w = Window.partitionBy(SAMPLE).orderBy("frame_id")
     return ranked.select(SAMPLE, (F.row_number().over(w) - 1).cast("bigint").alias("ord"), "frame_id", scale.alias("scale"))
@@ -187,10 +190,10 @@ def linear_weights(evidence: DataFrame, strength: float) -> DataFrame:
 
 
 def cap_keywords(keywords: DataFrame, max_keywords: int) -> DataFrame:
-    """Drops the keywords most similar to another one until max_keywords are left: video, kw_id, max_sim."""
+    """Drops the keywords most similar to another one until max_keywords are left; of equals the smaller id goes first: video, kw_id, max_sim."""
     pairs = keyword_self_similarity(keywords)
     w = Window.partitionBy(SAMPLE)
-    ranked = pairs.withColumn("r", F.row_number().over(w.orderBy(F.col("max_sim").desc(), F.col("kw_id").desc()))).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = pairs.withColumn("r", F.row_number().over(w.orderBy(F.col("max_sim").desc(), "kw_id"))).withColumn("n", F.count(F.lit(1)).over(w))
     return ranked.where(F.col("r") > F.col("n") - max_keywords).select(SAMPLE, "kw_id", "max_sim")
 
 
@@ -203,8 +206,15 @@ def keyword_self_similarity(keywords: DataFrame) -> DataFrame:
     return both.groupBy(F.col(f"a.{SAMPLE}").alias(SAMPLE), F.col("a.kw_id").alias("kw_id")).agg(F.coalesce(F.max(F.round(dot(F.col("a.vec"), F.col("b.vec")), 9)), F.lit(0.0)).alias("max_sim"))
 
 
-def quotas(weights: DataFrame, budget: int) -> DataFrame:
-    return ranking.largest_remainder(weights, budget, group=[SAMPLE], key="kw_id")
+def quotas(weights: DataFrame, budget: int, *, pool: str | None = None) -> DataFrame:
+    """Frames of the budget, or of a smaller pool (a column), by weight."""
+    return ranking.largest_remainder(weights, F.least(F.lit(budget), F.col(pool)) if pool else budget, group=[SAMPLE], key="kw_id")
+
+
+def frames_allocated(allotted: DataFrame, picked: DataFrame) -> DataFrame:
+    """allotted with frames_allocated: how many frames each keyword has got (pick_by_quota)."""
+    got = picked.groupBy(SAMPLE, "kw_id").agg(F.count(F.lit(1)).alias("frames_allocated"))
+    return allotted.join(got, [SAMPLE, "kw_id"], "left").withColumn("frames_allocated", F.coalesce("frames_allocated", F.lit(0).cast("bigint")))
 
 
 def pick_by_quota(sims: DataFrame, allotted: DataFrame, budget: int) -> DataFrame:
@@ -233,6 +243,11 @@ def pick_by_quota(sims: DataFrame, allotted: DataFrame, budget: int) -> DataFram
     return taken.select(SAMPLE, (F.row_number().over(w) - 1).cast("bigint").alias("ord"), "frame_id", "kw_id")
 
 
+def pick_candidates(scored: DataFrame, k: int, **params) -> DataFrame:
+    """As pick_coarse_to_fine, of one frame at least."""
+    return pick_coarse_to_fine(scored, max(1, k), **params)
+
+
 #: Selection by name: f(scored, budget) -> video, ord, frame_id.
 SELECTORS = {
     "uniform": pick_uniform,
@@ -249,7 +264,7 @@ SELECTORS = {
     "aks-blip": pick_recursive_segments,
     "aks-clip": pick_recursive_segments,
     "focus": pick_coarse_to_fine,
-    "sevila": pick_coarse_to_fine,
+    "sevila": pick_candidates,
     "qframe": pick_gumbel_buckets,
 }
 

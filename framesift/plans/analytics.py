@@ -65,7 +65,7 @@ def _pairs(spark, sf_dir):
 
 @register("abl_same_frame", f"WITH {_SETS} SELECT video, o::BIGINT AS overlap, u::BIGINT AS union_size, round(100.0 * o / big, 6)::DOUBLE AS same_frame_percent, round(o / u::DOUBLE, 6)::DOUBLE AS jaccard FROM cmp")
 def same_frame(spark, sf_dir):
-    return _pairs(spark, sf_dir).drop("x", "y")
+    return _pairs(spark, sf_dir).drop("x", "y", "only_a", "only_b")
 
 
 @register("abl_summary", f"WITH {_SETS} SELECT count(*)::BIGINT AS n_samples, round(avg(round(100.0 * o / big, 6)), 6)::DOUBLE AS alignment, round(avg(round(o / u::DOUBLE, 6)), 6)::DOUBLE AS mean_jaccard FROM cmp")
@@ -73,9 +73,9 @@ def summary(spark, sf_dir):
     return _pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.avg("same_frame_percent"), 6).alias("alignment"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard"))
 
 
-@register("abl_common_samples", "WITH r AS (SELECT DISTINCT event_type AS config, user_id::BIGINT AS video FROM events WHERE event_id % 3 = 0), f AS (SELECT video FROM r GROUP BY video HAVING count(*) = (SELECT count(DISTINCT config) FROM r)) SELECT config, video FROM r SEMI JOIN f USING (video)")
+@register("abl_common_samples", "WITH r AS (SELECT DISTINCT event_type AS config, user_id::BIGINT AS video FROM events), f AS (SELECT video FROM r GROUP BY video HAVING count(*) = (SELECT count(DISTINCT config) FROM r)) SELECT config, video FROM r SEMI JOIN f USING (video)")
 def common(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").where(F.col("event_id") % 3 == 0).select(F.col("event_type").alias("config"), F.col("user_id").cast("bigint").alias("video")).distinct()
+    rows = load(spark, sf_dir, "events").select(F.col("event_type").alias("config"), F.col("user_id").cast("bigint").alias("video")).distinct()
     return scoring.common_samples(rows, config="config", sample="video")
 
 
@@ -101,7 +101,7 @@ def timing(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("task")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_s"), F.round(F.max("value"), 6).alias("max_s"))
 
 
-@register("tim_model_diff", "WITH m AS (SELECT l_shipdate::DATE AS d, l_returnflag AS model, l_quantity AS v FROM lineitem), g AS (SELECT year(d)::BIGINT AS task, avg(v) FILTER (model = 'A') AS a, avg(v) FILTER (model = 'N') AS b FROM m WHERE model IN ('A', 'N') GROUP BY 1) SELECT task, round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(b - a, 6) AS delta, round(b / nullif(a, 0), 6) AS ratio FROM g")
+@register("tim_model_diff", "WITH m AS (SELECT l_shipdate::DATE AS d, l_returnflag AS model, l_quantity AS v FROM lineitem), g AS (SELECT year(d)::BIGINT AS task, avg(v) FILTER (model = 'A') AS a, avg(v) FILTER (model = 'N') AS b FROM m WHERE model IN ('A', 'N') GROUP BY 1) SELECT task, round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(b - a, 6) AS delta, CASE WHEN a > 0 THEN round(b / a, 6) ELSE 'Infinity'::DOUBLE END AS ratio FROM (SELECT task, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM g)")
 def model_diff(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("bigint").alias("task"), "l_returnflag", "l_quantity")
     return scoring.model_differences(rows, key="task", model="l_returnflag", value="l_quantity", first="A", second="N")

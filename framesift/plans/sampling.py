@@ -80,12 +80,33 @@ def linspace_trunc(spark, sf_dir):
     return resample.linspace(videos(spark, sf_dir), 5, keys=K, rounded=False)
 
 
-@register("rs_time_bins", "SELECT DISTINCT label::BIGINT AS video, round_even(coalesce(pos / nullif(n - 1, 0)::DOUBLE, 0) * 19, 0)::BIGINT AS bin FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n, vec_id FROM embeddings) WHERE vec_id % 3 = 0")
+@register("rs_time_bins", "SELECT DISTINCT label::BIGINT AS video, round_even(coalesce(pos / nullif(n - 1, 0)::DOUBLE, 0) * 19, 0)::BIGINT AS bin FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n, vec_id FROM embeddings)")
 def bins(spark, sf_dir):
-    rows = frames(spark, sf_dir).where(F.col("frame_id") % 3 == 0).withColumnRenamed("n", "n_frames")
+    rows = frames(spark, sf_dir).withColumnRenamed("n", "n_frames")
     return resample.time_bins(rows, 20, keys=K)
 
 
 @register("frame_schedule", f"WITH {VID} SELECT video, (row_number() OVER (PARTITION BY video ORDER BY n_used) - 1)::BIGINT AS round_idx, n_used FROM (SELECT video, unnest(list_distinct(list_append(range(8, n, 8), n))) AS n_used FROM vid)")
 def frame_schedule(spark, sf_dir):
     return resample.schedule(videos(spark, sf_dir), 8, keys=K)
+
+
+@register("rs_pool_fps", f"WITH {VID} SELECT DISTINCT video, round_even(i * 2.5::DOUBLE, 0)::BIGINT AS pos FROM (SELECT video, n, unnest(range(0, ceil(n / 2.5)::BIGINT)) AS i FROM vid) WHERE round_even(i * 2.5::DOUBLE, 0) < n")
+def pool_fps(spark, sf_dir):
+    return resample.pool_to_fps(videos(spark, sf_dir), 1.0, keys=K)
+
+
+@register("rs_grid_fps", f"WITH {VID} SELECT DISTINCT video, least(round_even(i / 0.7::DOUBLE * 2.5::DOUBLE, 0), n - 1)::BIGINT AS pos FROM (SELECT video, n, unnest(range(0, floor(n / 2.5::DOUBLE * 0.7::DOUBLE)::BIGINT)) AS i FROM vid)")
+def grid_fps(spark, sf_dir):
+    return resample.grid_at_fps(videos(spark, sf_dir), 0.7, keys=K)
+
+
+@register("rs_stride_fps", f"WITH {VID} SELECT DISTINCT video, unnest(range(0, n, 4))::BIGINT AS pos FROM vid")
+def stride_fps(spark, sf_dir):
+    return resample.at_stride(videos(spark, sf_dir), 0.6, keys=K)
+
+
+@register("rs_caption_frame", f"WITH {VID} SELECT video, c::BIGINT AS caption, round_even((c - 1) / 6.0::DOUBLE * (n - 1), 0)::BIGINT AS pos FROM vid, range(1, 8) t(c)")
+def caption_frames(spark, sf_dir):
+    rows = videos(spark, sf_dir).withColumn("caption", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint"))))
+    return rows.select("video", "caption", resample.caption_frame(F.col("caption"), F.lit(7), F.col("n_frames")).alias("pos"))

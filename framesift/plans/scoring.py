@@ -78,7 +78,7 @@ def over_limit(spark, sf_dir):
 
 
 _LETTER = rf"nullif(regexp_extract(upper(text), '(?:^|{E})([A-F])(?:$|{E})', 1), '')"
-_NUMBER = r"nullif(regexp_extract(text, '(-?[0-9]+(?:\.[0-9]+)?)', 1), '')"
+_NUMBER = r"nullif(regexp_extract(text, '([-+]?(?:[0-9]+\.[0-9]+|[0-9]+|\.[0-9]+))', 1), '')"
 
 
 @register("parse_answer_letter", f"SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, {_LETTER} AS letter FROM conversations")
@@ -91,15 +91,75 @@ def parse_number(spark, sf_dir):
     return responses(spark, sf_dir).select("conv_id", "turn", answers.number(F.col("response")).alias("number"))
 
 
-@register("parse_answer_full", f"SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce({_LETTER}, {_NUMBER}, trim(text)) AS answer FROM conversations WHERE role = 'assistant' AND NOT contains(text, '</think>') AND NOT contains(lower(text), '<answer>')")
+_FINAL = """said AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text AS whole, trim(CASE WHEN contains(text, '</think>') THEN substr(text, strpos(text, '</think>') + 8) ELSE text END) AS rest FROM conversations),
+final AS (SELECT *, coalesce(nullif(trim(regexp_extract(rest, '(?is)<answer>(.*?)</answer>', 1)), ''), rest) AS text FROM said)"""
+
+
+@register("parse_answer_full", f"WITH {_FINAL} SELECT conv_id, turn, coalesce(CASE WHEN role = 'assistant' THEN {_LETTER} END, {_NUMBER}, whole) AS answer FROM final")
 def parse_full(spark, sf_dir):
-    rows = responses(spark, sf_dir).where((F.col("role") == "assistant") & ~F.contains("response", F.lit("</think>")) & ~F.contains(F.lower("response"), F.lit("<answer>")))
-    return rows.select("conv_id", "turn", answers.parse_answer(F.col("response")).alias("answer"))
+    """Every turn; those of the assistant are answers to questions with options."""
+    return responses(spark, sf_dir).select("conv_id", "turn", answers.parse_answer(F.col("response"), has_options=F.col("role") == "assistant").alias("answer"))
+
+
+def _marked(spark, sf_dir):
+    """Every turn in four forms: as it is, after thinking, as an <answer>, as an object's final answer."""
+    text = F.col("response")
+    forms = F.array(text, F.concat(F.lit("A B </think> "), text), F.concat(F.lit("so <ANSWER> "), text, F.lit(" </answer> 7")), F.concat(F.lit("C {'final_answer': '"), F.translate(text, "'\"{}\\\n\r\t", ""), F.lit("'} end")))
+    return responses(spark, sf_dir).select("conv_id", "turn", F.posexplode(forms).alias("form", "response"))
+
+
+_MARKED = """forms AS (SELECT conv_id, turn, unnest([0, 1, 2]) AS form, unnest([text, 'A B </think> ' || text, 'so <ANSWER> ' || text || ' </answer> 7']) AS whole FROM conversations),
+said AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, form, whole, trim(CASE WHEN contains(whole, '</think>') THEN substr(whole, strpos(whole, '</think>') + 8) ELSE whole END) AS rest FROM forms),
+final AS (SELECT *, coalesce(nullif(trim(regexp_extract(rest, '(?is)<answer>(.*?)</answer>', 1)), ''), rest) AS text FROM said)"""
+
+
+@register("parse_marked_answers", f"WITH {_MARKED} SELECT conv_id, turn, form::BIGINT AS form, coalesce({_LETTER}, {_NUMBER}, whole) AS answer FROM final")
+def parse_marked(spark, sf_dir):
+    rows = _marked(spark, sf_dir).where("form < 3")
+    return rows.select("conv_id", "turn", F.col("form").cast("bigint").alias("form"), answers.parse_answer(F.col("response")).alias("answer"))
+
+
+@register(
+    "answer_from_object",
+    rf"""WITH s AS (SELECT conv_id, turn, upper(trim(translate(text, chr(39) || '"{{}}' || chr(92) || chr(10) || chr(13) || chr(9), ''))) AS said FROM conversations)
+SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, CASE WHEN regexp_matches(said, '^(-1|[0-4])$') THEN said::INT WHEN regexp_matches(said, '^[A-E]$') THEN ascii(said) - 65 ELSE nullif(regexp_extract(said, '(?:^|{E})([0-4])(?:$|{E})', 1), '')::INT END::BIGINT AS place FROM s""",
+)
+def from_object(spark, sf_dir):
+    rows = _marked(spark, sf_dir).where("form = 3")
+    return rows.select("conv_id", "turn", answers.answer_index(F.col("response")).cast("bigint").alias("place"))
+
+
+@register(
+    "choice_letters",
+    rf"""SELECT d.doc_id::BIGINT AS sample_id, coalesce(CASE WHEN regexp_matches(upper(trim(d.lang)), '^[A-F]$') THEN upper(trim(d.lang)) END, nullif(regexp_extract(upper(trim(d.lang)), '(?:^|{E})([A-F])(?:$|{E})', 1), ''),
+  CASE lower(trim(d.lang)) WHEN 'de' THEN 'A' WHEN 'en' THEN 'B' WHEN 'fr' THEN 'C' END, trim(d.lang)) AS letter FROM documents d""",
+)
+def choice_letters(spark, sf_dir):
+    options = F.array(F.lit("DE"), F.lit(" en"), F.lit("Fr"))
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("sample_id"), answers.choice_letter(F.col("lang"), options).alias("letter"))
+
+
+@register(
+    "prompt_texts",
+    """WITH s AS (SELECT doc_id::BIGINT AS sample_id, source, quality IS NOT NULL AS mc FROM documents LEFT JOIN labels USING (doc_id) WHERE source IS NOT NULL)
+SELECT sample_id, CASE WHEN mc THEN source || E'\n\nOptions:\nA. no\nB. yes\n\nDirectly answer with the option letter only. Do not explain.' ELSE source || E'\n\nPlease provide the numerical answer directly.' END AS prompt,
+  CASE WHEN mc THEN E'a video frame relevant to the following question and options:\n' || source || E'\nOptions:\nA. no\nB. yes' END AS query,
+  CASE WHEN mc THEN 'Question: ' || source || E'\nAnswer: yes' ELSE source END AS focus FROM s""",
+)
+def prompts(spark, sf_dir):
+    rows = samples(spark, sf_dir).where("dataset IS NOT NULL")
+    asked = F.col("dataset")
+    return rows.select(
+        "sample_id",
+        answers.question_prompt(asked, F.col("options")).alias("prompt"),
+        F.when(F.col("options").isNotNull(), answers.retrieval_text(asked, F.col("options"))).alias("query"),
+        answers.focus_query(asked, F.when(F.col("options").isNotNull(), F.lit("yes"))).alias("focus"),
+    )
 
 
 @register(
     "norm_answer_letter",
-    "SELECT l_linenumber::BIGINT AS given, (CASE WHEN l_linenumber <= 4 THEN substr('ABCDE', l_linenumber + 1, 1) WHEN l_linenumber = 5 THEN 'E' END) AS letter, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2",
+    "SELECT l_linenumber::BIGINT AS given, (CASE WHEN l_linenumber <= 4 THEN substr('ABCDE', l_linenumber + 1, 1) WHEN l_linenumber = 5 THEN 'E' ELSE l_linenumber::VARCHAR END) AS letter, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2",
 )
 def norm_letter(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("bigint").alias("given")).agg(F.count(F.lit(1)).alias("n"))
@@ -108,8 +168,40 @@ def norm_letter(spark, sf_dir):
 
 @register(
     "label_options",
-    r"SELECT item_id::BIGINT AS item_id, array_to_string(list_transform(list_filter(list_zip(string_split(text, '.'), range(0, len(string_split(text, '.')))), lambda x: trim(x[1], E' \n') <> ''), lambda x: chr((x[2] + 65)::INT) || '. ' || trim(x[1], E' \n')), chr(10)) AS labelled FROM benchmark",
+    r"SELECT item_id::BIGINT AS item_id, array_to_string(list_transform(list_filter(list_zip(string_split(text, '.'), range(0, len(string_split(text, '.')))), lambda x: trim(x[1], E' \n') <> ''), lambda x: chr((x[2] + 65)::INT) || '. ' || coalesce(nullif(trim(regexp_replace(trim(x[1], E' \n'), '^[A-Za-z][.):-]\s*', '')), ''), trim(x[1], E' \n'))), chr(10)) AS labelled FROM benchmark",
 )
 def labelled_options(spark, sf_dir):
     options = F.transform(F.split(F.col("text"), r"\."), lambda o: F.btrim(o, F.lit(" \n")))
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint").alias("item_id"), answers.label_options(options).alias("labelled"))
+
+
+@register("flt_allowed_tasks", "SELECT doc_id::BIGINT AS sample_id FROM documents WHERE lower(lang) IN ('en', 'de')")
+def allowed(spark, sf_dir):
+    return scoring.allowed_tasks(samples(spark, sf_dir), ["EN", "de"]).select("sample_id")
+
+
+@register("agg_outcomes", "SELECT o_orderpriority AS kind, count(*)::BIGINT AS n, (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS success, (count(*) FILTER (o_orderstatus <> 'F'))::BIGINT AS failed FROM orders GROUP BY 1")
+def outcomes(spark, sf_dir):
+    return scoring.outcome_counts(load(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "kind"), ["kind"], status="o_orderstatus", good="F")
+
+
+@register("agg_safe_mean", "SELECT l_returnflag AS task, coalesce(round(avg(l_quantity) FILTER (l_linestatus = 'O'), 6), 0)::DOUBLE AS mean_open FROM lineitem GROUP BY 1")
+def safe_means(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("task"))
+    return rows.agg(F.round(scoring.safe_mean(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))), 6).alias("mean_open"))
+
+
+_RUN = "SELECT l_orderkey::BIGINT AS id, array_agg(l_linenumber::BIGINT ORDER BY l_linenumber, l_partkey) AS steps, array_agg(-l_quantity / 50.0 ORDER BY l_linenumber, l_partkey) AS lp FROM lineitem GROUP BY 1"
+
+
+@register(
+    "answer_span_probability",
+    f"WITH r AS ({_RUN}), p AS (SELECT *, list_position(list_transform(range(1, len(steps)), lambda i: steps[i : i + 1] = [2, 3]), true) AS at FROM r) SELECT id, (at - 1)::BIGINT AS start, round(exp((lp[at] + lp[at + 1]) / 2), 6) AS prob FROM p WHERE at > 0",
+)
+def span_probability(spark, sf_dir):
+    from framesift.functions import vectors
+
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("bigint").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").cast("bigint").alias("step"), "l_partkey", (-F.col("l_quantity") / 50.0).alias("lp")))).alias("s"))
+    span = vectors.first_run(F.col("s.step"), F.array(F.lit(2).cast("bigint"), F.lit(3).cast("bigint")))
+    found = rows.select("id", "s", span.alias("span")).where("span IS NOT NULL")
+    return found.select("id", F.col("span.start").cast("bigint").alias("start"), F.round(vectors.mean_probability(F.slice(F.col("s.lp"), F.col("span.start") + 1, F.lit(2))), 6).alias("prob"))

@@ -182,7 +182,7 @@ def weights_linear(spark, sf_dir):
     return selection.linear_weights(selection.local_evidence(sims(spark, sf_dir)), 0.5).select("video", "kw_id", F.round("weight", 6).alias("weight"))
 
 
-@register("sel_keyword_cap", f"WITH {_SELF} SELECT video, kw_id, round(max_sim, 6) AS max_sim FROM selfsim QUALIFY row_number() OVER (PARTITION BY video ORDER BY max_sim DESC, kw_id DESC) > count(*) OVER (PARTITION BY video) - 3")
+@register("sel_keyword_cap", f"WITH {_SELF} SELECT video, kw_id, round(max_sim, 6) AS max_sim FROM selfsim QUALIFY row_number() OVER (PARTITION BY video ORDER BY max_sim DESC, kw_id) > count(*) OVER (PARTITION BY video) - 3")
 def capped(spark, sf_dir):
     return selection.cap_keywords(keywords(spark, sf_dir), 3).select("video", "kw_id", F.round("max_sim", 6).alias("max_sim"))
 

@@ -41,6 +41,11 @@ def _options(raw: DataFrame, *names: str) -> Column:
     return F.coalesce(*there, F.lit(None).cast("array<string>"))
 
 
+def _trimmed(options: Column) -> Column:
+    """Trimmed, without blank ones."""
+    return F.filter(F.transform(options, lambda o: F.trim(o)), lambda o: F.coalesce(o, F.lit("")) != "")
+
+
 def _numbered(raw: DataFrame, prefix: str, n: int) -> Column:
     """option0.. as an array, without blanks and N/A."""
     own = [F.trim(raw[f"{prefix}{i}"].cast("string")) for i in range(n) if f"{prefix}{i}" in raw.columns]
@@ -66,23 +71,24 @@ def _sample(raw: DataFrame, *, id_: Column, path: Column, question: Column, answ
 
 def vsibench(raw: DataFrame) -> DataFrame:
     options = _options(raw, "options")
-    kind = F.when(F.size(options) > 0, "mcq").otherwise("numeric")
-    task = F.coalesce(_col(raw, "task_type", "question_type"), kind)
+    task = F.when(F.size(options) > 0, "mcq").otherwise("numeric")
     id_ = F.coalesce(_col(raw, "id"), F.concat_ws("_", _col(raw, "scene_name"), F.md5(_col(raw, "question"))))
-    return _sample(raw, id_=id_, path=F.concat(_col(raw, "scene_name"), F.lit(".mp4")), question=_col(raw, "question"), answer=_col(raw, "ground_truth"), options=F.when(F.size(options) > 0, options), task=task, keep=("dataset",))
+    return _sample(raw, id_=id_, path=F.concat(_col(raw, "scene_name"), F.lit(".mp4")), question=_col(raw, "question"), answer=_col(raw, "ground_truth"), options=F.when(F.size(options) > 0, options), task=task, keep=("dataset", "task_type", "question_type"))
 
 
 def videomme(raw: DataFrame) -> DataFrame:
     bucket = F.lower(_col(raw, "duration"))
     bucket = F.when(bucket.isin(*BUCKETS), bucket).otherwise(BUCKETS[0])
     answer = F.coalesce(answers.letter(_col(raw, "answer"), "A-E"), _col(raw, "answer"))
-    return _sample(raw, id_=_col(raw, "question_id", "videoID", "video_id"), path=_col(raw, "videoID", "video_id", "video"), question=_col(raw, "question"), answer=answer, options=_options(raw, "options"), task=bucket, keep=("domain", "sub_category", "task_type"))
+    return _sample(raw, id_=_col(raw, "question_id", "videoID", "video_id"), path=_col(raw, "videoID", "video_id", "video"), question=_col(raw, "question"), answer=answer, options=_trimmed(_options(raw, "options")), task=bucket, keep=("domain", "sub_category", "task_type"))
 
 
 def longvideobench(raw: DataFrame) -> DataFrame:
     index = _col(raw, "correct_choice").try_cast("int")
     letter = F.coalesce(F.when(index.between(0, 25), F.char(index + 65)), answers.letter(_col(raw, "correct_choice"), "A-E"))
-    task = _col(raw, "duration_group", "question_category", "topic_category")
+    letter = F.coalesce(letter, _col(raw, "correct_choice"))
+    raw = raw.where(_numbered(raw, "option", 5).isNotNull())
+    task = F.coalesce(_col(raw, "duration_group", "question_category"), F.lit("mcq"))
     return _sample(raw, id_=_col(raw, "id"), path=_col(raw, "video_path"), question=_col(raw, "question"), answer=letter, options=_numbered(raw, "option", 5), task=task, key=_col(raw, "video_id"), keep=("question_category", "topic_category", "subtitle_path", "starting_timestamp_for_subtitles", "duration"))
 
 
@@ -95,7 +101,7 @@ def longvideobench_filter(rows: DataFrame, wanted: str, *, strict: bool = False)
 
 
 def mlvu(raw: DataFrame) -> DataFrame:
-    options = _options(raw, "candidates", "options")
+    options = _trimmed(_options(raw, "candidates", "options"))
     has = F.size(options) > 0
     answer = F.when(has, F.coalesce(answers.choice_letter(_col(raw, "answer"), options), _col(raw, "answer"))).otherwise(_col(raw, "answer"))
     task = F.coalesce(_col(raw, "question_type", "task_type"), F.when(has, "mcq").otherwise("generation"))
@@ -107,13 +113,17 @@ def nextqa(raw: DataFrame) -> DataFrame:
     complete = F.forall(own, lambda o: o.isNotNull() & (o != ""))
     video = texts.whole_number_text(_col(raw, "video"))
     rows = raw.where(complete)
-    return _sample(rows, id_=F.concat_ws("_", video, _col(rows, "qid")), path=F.concat(video, F.lit(".mp4")), question=_col(rows, "question"), answer=answers.normalize_choice(_col(rows, "answer")), options=own, task=F.coalesce(_col(rows, "type"), F.lit("mcq")), key=video)
+    return _sample(rows, id_=F.concat_ws("_", F.lit("nextqa"), _col(rows, "qid")), path=F.concat(video, F.lit(".mp4")), question=_col(rows, "question"), answer=answers.normalize_choice(_col(rows, "answer")), options=own, task=F.lit("mcq"), key=F.concat(F.lit("nextqa_video_"), video), keep=("type",))
 
 
 def egoschema(raw: DataFrame) -> DataFrame:
-    options = F.coalesce(_options(raw, "options", "option"), _numbered(raw, "option", 5))
-    id_ = _col(raw, "question_idx", "q_uid", "question_id", "video_idx", "video_id", "id")
-    return _sample(raw, id_=id_, path=F.concat(_col(raw, "video_idx", "video_id", "q_uid"), F.lit(".mp4")), question=_col(raw, "question"), answer=answers.normalize_choice(_col(raw, "answer")), options=options, task=F.lit("mcq"))
+    """Ids are egoschema_{place}: source_index where the rows carry it, else the question's own index."""
+    lists = [F.when(F.size(o) > 0, F.transform(o, lambda x: F.trim(x))) for o in (_options(raw, "options"), _options(raw, "option"))]
+    own = [F.trim(raw[f"option{i}"].cast("string")) for i in range(5) if f"option{i}" in raw.columns]
+    single = F.filter(F.array(*own), lambda o: F.coalesce(o, F.lit("")) != "") if own else F.array().cast("array<string>")
+    options = F.coalesce(*lists, F.nullif(single, F.array().cast("array<string>")))
+    id_ = F.concat(F.lit("egoschema_"), _col(raw, "source_index", "question_idx", "q_uid", "question_id", "video_idx", "video_id", "id"))
+    return _sample(raw, id_=id_, path=F.concat(_col(raw, "video_idx", "video_id", "q_uid"), F.lit(".mp4")), question=_col(raw, "question"), answer=answers.normalize_choice(_col(raw, "answer", "ground_truth")), options=options, task=F.when(F.size(options) > 0, "mcq").otherwise("numeric"))
 
 
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -27,7 +27,7 @@ def test_parse_answer(spark, text, wanted):
     assert one(spark, text, answers.parse_answer) == wanted
 
 
-@pytest.mark.parametrize("given,wanted", [("b", "B"), ("0", "A"), ("4", "E"), ("5", "E"), ("6", None), ("", None), (None, None)])
+@pytest.mark.parametrize("given,wanted", [("b", "B"), ("0", "A"), ("4", "E"), ("5", "E"), ("6", "6"), ("blue ", "blue"), ("", ""), (None, None)])
 def test_normalize_choice(spark, given, wanted):
     assert one(spark, given, answers.normalize_choice) == wanted
 
@@ -216,3 +216,101 @@ def test_lookups(spark):
         lookups.require_cached(state, "id")
     with pytest.raises(LookupError):
         lookups.dimension(spark.createDataFrame([("m",)], "model string"), spark.createDataFrame([("other", 1)], "model string, mode int"), "model")
+
+
+# ---- rules of answers, prompts and labels
+
+
+def value(spark, **columns):
+    """One row whose columns are Python values."""
+    return spark.range(1).select(*[F.lit(v).alias(k) if v is not None else F.lit(None).cast("string").alias(k) for k, v in columns.items()])
+
+
+def test_numbers_may_have_signs_and_begin_with_a_point(spark):
+    for text, wanted in [(".5", ".5"), ("+3 m", "+3"), ("-2.75", "-2.75"), ("about 12.", "12")]:
+        assert value(spark, t=text).select(answers.number(F.col("t"))).head()[0] == wanted
+
+
+def test_letters_only_where_there_are_options(spark):
+    row = value(spark, t="a distance of 3 m")
+    assert row.select(answers.parse_answer(F.col("t"), has_options=F.lit(False))).head()[0] == "3"
+    assert row.select(answers.parse_answer(F.col("t"), has_options=F.lit(True))).head()[0] == "A"
+    assert value(spark, t="why </think> none").select(answers.parse_answer(F.col("t"))).head()[0] == "why </think> none"
+
+
+def test_choices_reach_from_a_to_f(spark):
+    row = spark.createDataFrame([("I am here", ["x", "I am here"]), ("g", ["x"]), ("f", ["x"]), ("red", None)], "a string, o array<string>")
+    assert [r[0] for r in row.select(answers.choice_letter(F.col("a"), F.col("o"))).collect()] == ["B", "g", "F", "red"]
+
+
+def test_option_prefixes(spark):
+    row = spark.createDataFrame([(["A- red", "B.", "c) green"],)], "o array<string>")
+    assert row.select(answers.label_options(F.col("o"))).head()[0] == "A. red\nB. B.\nC. green"
+
+
+def test_prompts(spark):
+    row = spark.createDataFrame([("Why?", ["x", "y"], "one\ntwo"), ("How far?", None, " ")], "q string, o array<string>, s string")
+    asked = [r[0] for r in row.select(answers.question_prompt(F.col("q"), F.col("o"))).collect()]
+    assert asked == ["Why?\n\nOptions:\nA. x\nB. y\n\nDirectly answer with the option letter only. Do not explain.", "How far?\n\nPlease provide the numerical answer directly."]
+    shown = [r[0] for r in row.select(answers.question_prompt(F.col("q"), F.col("o"), F.col("s"))).collect()]
+    assert shown[0].startswith("This video's subtitles are listed below:\none\ntwo\n\nSelect") and shown[0].endswith("Why?\n\nOptions:\nA. x\nB. y\nThe best answer is:")
+    assert "\nNo subtitles available\n" in shown[1] and shown[1].endswith("Options:\n\nThe best answer is:")
+    with pytest.raises(Exception, match="blank"):
+        row.select(answers.retrieval_text(F.col("q"), F.col("o"))).collect()
+    pairs = spark.createDataFrame([("q", "a"), ("q", " "), (None, "a"), ("", None)], "q string, a string")
+    assert [r[0] for r in pairs.select(answers.focus_query(F.col("q"), F.col("a"))).collect()] == ["Question: q\nAnswer: a", "q", "a", "What is happening in this video?"]
+
+
+@pytest.mark.parametrize(
+    "text,wanted",
+    [('{"final_answer": 3}', 3), ("so {'final_answer': 'b'} done", 1), ('{"x": 1} {"final_answer": "option 2"} {"y": 2}', 2), ('{"final_answer": -1}', -1), ("none", None), ('{"final_answer": "9"}', None), (None, None)],
+)
+def test_answers_in_objects(spark, text, wanted):
+    assert value(spark, t=text).select(answers.answer_index(F.col("t"))).head()[0] == wanted
+
+
+def test_labels(spark):
+    from framesift.functions import texts
+
+    row = spark.createDataFrame([([3.0, 2.46, 0.0], 2.0, True, "/data/v/a.mp4", "/c/models--org--name--x/snap", "20260430_194104")], "v array<double>, w double, c boolean, p string, h string, d string")
+    found = row.select(
+        texts.allocation_text(F.col("v")), texts.config_label(F.col("w"), F.col("c")), texts.config_label(F.lit(0.5), ~F.col("c")), texts.relative_path(F.col("p"), "/data/"),
+        texts.relative_path(F.col("p"), "/other"), texts.hub_id(F.col("h")), texts.hub_id(F.col("p")), texts.run_stamp(texts.parse_run_stamp(F.col("d"))), texts.parse_run_stamp(F.col("p")),
+    ).head()
+    assert tuple(found) == ("[3, 2.5, 0]", "ws=2\ncov=T", "ws=0.5\ncov=F", "v/a.mp4", "a.mp4", "org/name--x", None, "20260430_194104", None)
+
+
+def test_runs_and_probabilities(spark):
+    from framesift.functions import vectors
+
+    row = spark.createDataFrame([([1, 2, 3, 2, 3], [2, 3], [-1.0, -3.0], [float("-inf"), -1.0])], "v array<int>, w array<int>, lp array<double>, bad array<double>")
+    none = F.array().cast("array<int>")
+    found = row.select(vectors.first_run(F.col("v"), F.col("w")), vectors.first_run(F.col("v"), F.col("w"), last=True), vectors.first_run(F.col("w"), F.col("v")), vectors.first_run(F.col("v"), none), vectors.mean_probability(F.col("lp")), vectors.mean_probability(F.col("bad"))).head()
+    assert tuple(found[0]) == (1, 3) and tuple(found[1]) == (3, 5) and found[2] is None and found[3] is None
+    assert found[4] == pytest.approx(0.1353352832) and found[5] == 0.0
+
+
+def test_equal_moments_keep_their_rows(spark):
+    from framesift.operators import intervals
+
+    moments = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 9.0), (None, 1.0)], "video string, at_s double")
+    segments = spark.createDataFrame([("a", 0, 0.5, 2.0, "hi")], "video string, seq int, start_s double, end_s double, text string")
+    found = intervals.match_segments(moments, segments, group="video", at="at_s")
+    assert sorted((r["at_s"], r["subtitle"]) for r in found.collect()) == [(1.0, ""), (1.0, "hi"), (1.0, "hi"), (9.0, "")]
+
+
+def test_small_pools_and_ties(spark):
+    from framesift.operators import scoring, selection
+
+    assert scoring.judged_by_choices("short") and not scoring.judged_by_choices(" all ")
+    sets = spark.createDataFrame([([], []), ([1, 2], [2])], "a array<int>, b array<int>")
+    assert [(r["jaccard"], r["only_a"], r["only_b"]) for r in scoring.compare_sets(sets, "a", "b").collect()] == [(0.0, 0, 0), (0.5, 1, 0)]
+    keywords = spark.createDataFrame([(1, k, v) for k, v in enumerate([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])], "video long, kw_id long, vec array<double>")
+    assert sorted(r["kw_id"] for r in selection.cap_keywords(keywords, 2).collect()) == [1, 2]
+    weights = spark.createDataFrame([(1, 0, 0.5, 3), (1, 1, 0.5, 3)], "video long, kw_id long, weight double, n long")
+    assert sorted(r["quota"] for r in selection.quotas(weights, 16, pool="n").collect()) == [1, 2]
+    scored = spark.createDataFrame([(1, i, i, 6, float(i)) for i in range(6)], "video long, frame_id long, pos long, n long, score double")
+    assert sorted(r["scale"] for r in selection.pick_gumbel_buckets(scored, 44).collect()) == [0.25] * (6 - sum(selection.bucket_sizes(6, (4, 8, 32)))) + [0.5] * selection.bucket_sizes(6, (4, 8, 32))[1] + [1.0] * selection.bucket_sizes(6, (4, 8, 32))[0]
+    assert selection.pick_recursive_segments(scored, 6).count() < 6  # a pool of just the budget is segmented too
+    tallied = spark.createDataFrame([(1, 2, 0.5, 1)], "correct long, n_mcq long, mra_sum double, n_numeric long")
+    assert scoring.accuracy(tallied, "short").head()["accuracy"] == 50.0

@@ -32,13 +32,13 @@ def test_adapters(spark, tmp_path):
     assert adapters.longvideobench_filter(rows, "TOS").count() == 1 and adapters.longvideobench_filter(rows, "TOS", strict=True).count() == 0
     nx = write(tmp_path, "n.json", [{"video": 12.0, "question": "q", "a0": "p", "a1": "q", "a2": "r", "a3": "s", "a4": "t", "answer": 3, "qid": 7, "type": "CW"}, {"video": 1, "question": "q", "a0": "p", "a1": "", "a2": "r", "a3": "s", "a4": "t", "answer": 3, "qid": 8, "type": "CW"}])
     found = adapters.read_samples(spark, "nextqa", nx, "json").collect()
-    assert [(r["sample_id"], r["answer"], r["preprocess_key"]) for r in found] == [("12_7", "D", "12")]
+    assert [(r["sample_id"], r["answer"], r["preprocess_key"]) for r in found] == [("nextqa_7", "D", "nextqa_video_12")]
     ml = write(tmp_path, "m.json", [{"video": "a.mp4", "question": "q", "candidates": ["red", "blue"], "answer": "blue", "question_type": "order"}, {"video": "a.mp4", "question": "q2", "answer": "long text"}])
     found = adapters.read_directory_of_arrays(spark, ml)
     assert sorted((r["sample_id"], r["answer"], r["task_type"]) for r in adapters.mlvu(found).collect()) == [("dev_m_0", "B", "order"), ("dev_m_1", "long text", "generation")]
     ego = write(tmp_path, "e.json", [{"question_idx": "9", "question": "q", "video_idx": "v", "option": ["a", "b", "c", "d", "e"], "answer": "5"}])
     r = adapters.read_samples(spark, "egoschema", ego, "json").head()
-    assert (r["sample_id"], r["answer"], len(r["options"])) == ("9", "E", 5)
+    assert (r["sample_id"], r["answer"], len(r["options"])) == ("egoschema_9", "E", 5)
     mme = write(tmp_path, "x.json", [{"question_id": "1", "videoID": "y", "question": "q", "options": ["A. a"], "answer": "(A)", "duration": "LONG"}, {"question_id": "2", "videoID": "y", "question": "q", "options": ["A. a"], "answer": "A", "duration": "odd"}])
     assert sorted(r["task_type"] for r in adapters.read_samples(spark, "videomme", mme, "json").collect()) == ["long", "short"]
 
