@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,30 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Gives a Python worker's free memory back to the system: workers outlive tasks, and the executor's JVM needs it too."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function of batches, after which its worker's memory is given back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. A local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)

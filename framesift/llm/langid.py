@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import text_batches
+from framesift.llm.common import release_memory, text_batches
 
 SAMPLE_ROWS = 1_000
 MAX_LANGUAGES = 1_000
@@ -165,6 +165,7 @@ def predictor(spark: SparkSession, model: Model):
         for texts in batches:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
         model.cache.clear()  # workers outlive tasks
+        release_memory()
 
     return predict
 

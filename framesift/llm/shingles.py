@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import materialized, text_batches
+from framesift.llm.common import materialized, releasing, text_batches
 from framesift.llm.components import connected_components
 from framesift.llm.simhash import MAX_BITS, SHINGLE, links, parts_of, shingle_hashes, simhash
 
@@ -46,7 +46,7 @@ def common_shingles(docs: DataFrame, text_col: str = "text", words: int = WORDS)
                 yield pd.DataFrame({"h": np.concatenate([np.unique(shingle_hashes(x, words)).view(np.int64) for x in batch["text"][at : at + 100]])})
 
     rows = docs.select(docs[text_col].cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
-    counts = text_batches(rows).mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    counts = text_batches(rows).mapInPandas(releasing(run), "h long").groupBy("h").count().where(F.col("count") >= COMMON)
     found = counts.orderBy(F.desc("count"), "h").limit(COMMON_LIMIT).toPandas()
     hashes = found["h"].to_numpy(dtype=np.int64)
     order = np.argsort(hashes)
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("string").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    found = text_batches(rows).mapInPandas(run, "id string, key long, fp long, t long, n int, s array<long>")
+    found = text_batches(rows).mapInPandas(releasing(run), "id string, key long, fp long, t long, n int, s array<long>")
     return found.withColumn("id", F.col("id").cast("long"))
 
 
@@ -111,7 +111,7 @@ def _emit(groups: DataFrame, kind: str) -> DataFrame:
                 yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b", "na", "nb"])
 
     groups = groups.select("h", F.col("members.t").alias("t"), F.col("members.n").alias("n"))
-    return groups.mapInPandas(run, "a long, b long, na long, nb long")
+    return groups.mapInPandas(releasing(run), "a long, b long, na long, nb long")
 
 
 def _sets(keys: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _sets(keys: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> Dat
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     wanted = text_batches(texts.join(keys, "key").select("t", "fp", "text"))
-    return materialized(wanted.mapInPandas(run, "t long, fp long, s array<long>").dropDuplicates(["t"]))
+    return materialized(wanted.mapInPandas(releasing(run), "t long, fp long, s array<long>").dropDuplicates(["t"]))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -188,7 +188,7 @@ def _joined(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     few = int(members.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(few, 4) if few > 0 else 4))
     try:
-        return materialized(met.mapInPandas(run, "a long, b long").distinct())
+        return materialized(met.mapInPandas(releasing(run), "a long, b long").distinct())
     finally:
         members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(few))
 

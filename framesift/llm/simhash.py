@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import materialized, text_batches
+from framesift.llm.common import materialized, releasing, text_batches
 from framesift.llm.components import connected_components
 
 SEED = 42
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"id": batch["id"], "fp": found.view(np.int64)})
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"))
-    return text_batches(rows).mapInPandas(run, "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
+    return text_batches(rows).mapInPandas(releasing(run), "id string, fp long").select(F.col("id").cast("long").alias("id"), "fp")
 
 
 def blocks(max_bits: int) -> list[tuple[int, ...]]:
@@ -155,7 +155,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     # The small rows would be one task's to multiply: the number of partitions is given, so that they aren't merged.
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").distinct()
     groups = postings(fps, max_bits).groupBy("which", "shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return groups.select("fps").mapInPandas(star, "a long, b long")
+    return groups.select("fps").mapInPandas(releasing(star), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import remove, text_batches, work_path
+from framesift.llm.common import releasing, remove, text_batches, work_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
@@ -310,7 +310,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         yield pd.DataFrame({"id": [None], "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
     rows = docs.select(F.col("id").cast("string").alias("id"), "text")  # as text, or null ids would turn all into floats
-    return text_batches(rows).mapInPandas(run, "id string, ids binary, counts binary").select(F.col("id").cast("long").alias("id"), "ids", "counts")
+    return text_batches(rows).mapInPandas(releasing(run), "id string, ids binary, counts binary").select(F.col("id").cast("long").alias("id"), "ids", "counts")
 
 
 def _by_size(held: list[bytes], size: int) -> Iterator[list[bytes]]:
@@ -379,7 +379,7 @@ def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
 
     ordered = tokenized.where("ids IS NOT NULL").select("id", "ids").repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     ordered = ordered.select(F.col("id").cast("string").alias("id"), "ids")
-    ordered.mapInPandas(code, "shard int, block int, start long, n_ids long, docs array<long>, data binary").write.parquet(f"{out}/blocks")
+    ordered.mapInPandas(releasing(code), "shard int, block int, start long, n_ids long, docs array<long>, data binary").write.parquet(f"{out}/blocks")
     per = spark.read.parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     bases, at = [], 0
     for r in per:  # a row for each shard, as many as tasks have written
@@ -416,7 +416,7 @@ def _decoded(spark: SparkSession, out: str, told: Callable[[np.ndarray], dict],
 
     blocks = spark.read.parquet(f"{out}/blocks")
     bases = spark.read.parquet(f"{out}/shards")  # a row for each shard
-    return blocks.join(bases, "shard").select("docs", "data", "start", "base").mapInPandas(run, f"id long, start long, {schema}")
+    return blocks.join(bases, "shard").select("docs", "data", "start", "base").mapInPandas(releasing(run), f"id long, start long, {schema}")
 
 
 def query(spark, sf_dir):
