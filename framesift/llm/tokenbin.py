@@ -96,8 +96,9 @@ class _Words(dict):
         import regex
 
         self.tokenizer, self.model = tokenizer, tokenizer.model
-        chain = json.loads(tokenizer.to_str())
-        self.by_words = {k: chain.get(k) for k in KNOWN} == KNOWN and chain["model"].get("end_of_word_suffix") == "</w>"
+        # Each part's own state: the whole file's would hold the vocabulary as well.
+        chain = {k: json.loads(part.__getstate__()) if (part := getattr(tokenizer, k)) is not None else None for k in KNOWN}
+        self.by_words = chain == KNOWN and getattr(self.model, "end_of_word_suffix", None) == "</w>"
         self.kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
