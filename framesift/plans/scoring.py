@@ -196,7 +196,7 @@ _RUN = "SELECT l_orderkey::BIGINT AS id, array_agg(l_linenumber::BIGINT ORDER BY
 
 @register(
     "answer_span_probability",
-    f"WITH r AS ({_RUN}), p AS (SELECT *, list_position(list_transform(range(1, len(steps)), lambda i: steps[i : i + 1] = [2, 3]), true) AS at FROM r) SELECT id, (at - 1)::BIGINT AS start, round(exp((lp[at] + lp[at + 1]) / 2), 6) AS prob FROM p WHERE at > 0",
+    f"WITH r AS ({_RUN}), p AS (SELECT *, list_position(list_transform(range(1, len(steps)), lambda i: steps[i : i + 1] = [2, 3]), true) AS hit FROM r) SELECT id, (hit - 1)::BIGINT AS start, round(exp((lp[hit] + lp[hit + 1]) / 2), 6)::DOUBLE AS prob FROM p WHERE hit > 0",
 )
 def span_probability(spark, sf_dir):
     from framesift.functions import vectors
