@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framesift.functions import draws
+
 END_OF_THINK = "</think>"
 #: A letter between characters that are neither letters, digits nor underscore, in any script.
 EDGE = r"[^\p{L}\p{N}_]"
@@ -136,3 +138,16 @@ def answer_index(text: Column, key: str = "final_answer") -> Column:
     by_letter = F.when(said.rlike("^[A-E]$"), F.ascii(said) - 65)
     inside = _nonempty(F.regexp_extract(said, rf"(?:^|{EDGE})([0-4])(?:$|{EDGE})", 1)).try_cast("int")
     return F.coalesce(F.when(said.rlike("^(-1|[0-4])$"), said.try_cast("int")), by_letter, inside)
+
+
+def answer_or_draw(text: Column, seed: int | str, *keys: Column, key: str = "final_answer") -> Column:
+    """answer_index; an answer out of range is drawn from 0-4 by seed and keys, and a text without an object that has one is -1."""
+    drawn = F.floor(draws.uniform(seed, *keys) * 5).cast("int")
+    return F.when(last_object(text, key).isNull(), F.lit(-1)).otherwise(F.coalesce(answer_index(text, key), drawn))
+
+
+def confidence(text: Column, seed: int | str, *keys: Column, key: str = "confidence") -> Column:
+    """1-3 from an object's confidence; a whole number out of range is drawn by seed and keys, and where there is none it is 1."""
+    said = F.get_json_object(last_object(text, key), f"$.{key}").try_cast("double").try_cast("bigint")
+    drawn = F.floor(draws.uniform(seed, *keys) * 3).cast("int") + 1
+    return F.when(said.isNull(), F.lit(1)).when(said.between(1, 3), said.cast("int")).otherwise(drawn)

@@ -158,6 +158,12 @@ def read_samples(spark: SparkSession, dataset: str, path: str, format_: str = "p
     return adapter(dataset)(raw)
 
 
+def read_either(spark: SparkSession, dataset: str, json_path: str, parquet_path: str) -> DataFrame:
+    """Samples of the JSON array where it exists, else of the Parquet table."""
+    chosen = first_readable(spark, [json_path, parquet_path])
+    return read_samples(spark, dataset, chosen, "json" if chosen == json_path else "parquet")
+
+
 def read_directory_of_arrays(spark: SparkSession, pattern: str, prefix: str = "dev") -> DataFrame:
     """JSON arrays, one a file, with question_id `{prefix}_{file}_{place}` where a row has none."""
     rows = spark.read.json(pattern, multiLine=True).select("*", F.col("_metadata.file_name").alias("file_name"))
