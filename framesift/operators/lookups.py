@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,16 @@ def dimension(rows: DataFrame, table: DataFrame, key: str, *, examples: int = 5)
     if unknown:
         raise LookupError(f"unknown {key}: {unknown}")
     return rows.join(table, key)
+
+
+def verify(wanted: DataFrame, there: DataFrame, keys: list[str], *, by: list[str], examples: int = 5) -> DataFrame:
+    """by, found, missing, missing_examples (the first by key, as text): which rows of wanted have their keys in there."""
+    marked = wanted.join(there.select(*keys).distinct().withColumn("is_there", F.lit(True)), keys, "left")
+    shown = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    counted = marked.groupBy(*by).agg(F.count("is_there").alias("found"), F.count_if(F.col("is_there").isNull()).alias("missing"))
+    gone = marked.where("is_there IS NULL").select(*by, shown.alias("shown")).distinct()
+    place = F.row_number().over(Window.partitionBy(*[F.col(b) for b in by]).orderBy("shown"))
+    first = gone.withColumn("place", place).where(F.col("place") <= examples).groupBy(*[F.col(b).alias(f"of_{b}") for b in by]).agg(F.array_sort(F.collect_list("shown")).alias("missing_examples"))
+    same = [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by]
+    none = F.array().cast("array<string>")
+    return counted.join(first, same, "left").select(*by, "found", "missing", F.coalesce("missing_examples", none).alias("missing_examples"))

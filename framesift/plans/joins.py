@@ -72,3 +72,17 @@ def captions(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("l_linenumber").cast("bigint").alias("at"), F.array(*map(F.lit, "abcd")).alias("captions"))
     return lookups.pick_by_index(rows, "captions", "at").select("id", F.col("picked").alias("caption"), "at")
+
+
+@register(
+    "jn_verify_counts",
+    """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), m AS (SELECT c_nationkey AS nation, c_custkey AS k, o.k IS NOT NULL AS there FROM customer LEFT JOIN o ON o.k = c_custkey),
+g AS (SELECT nation, CAST(k AS VARCHAR) AS shown, row_number() OVER (PARTITION BY nation ORDER BY CAST(k AS VARCHAR)) AS place FROM m WHERE NOT there)
+SELECT m.nation::BIGINT AS nation, count(*) FILTER (there)::BIGINT AS found, count(*) FILTER (NOT there)::BIGINT AS missing,
+(SELECT coalesce(string_agg(shown, ',' ORDER BY shown), '') FROM g WHERE g.nation = m.nation AND place <= 5) AS examples FROM m GROUP BY m.nation""",
+)
+def verify_counts(spark, sf_dir):
+    wanted = load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_custkey").alias("k"))
+    there = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    found = lookups.verify(wanted, there, ["k"], by=["nation"])
+    return found.select("nation", "found", "missing", F.array_join("missing_examples", ",").alias("examples"))

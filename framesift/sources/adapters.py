@@ -7,7 +7,7 @@ Raw rows may lack optional columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +147,36 @@ def adapter(dataset: str) -> Callable[[DataFrame], DataFrame]:
     return REGISTRY[dataset.lower()]
 
 
+#: Fixed names of a data set's splits, by the name under which each is stored.
+SPLITS = {
+    "longvideobench": {"validation": ["validation", "val"]},
+    "mlvu": {"dev": ["dev", "train", "validation", "val"], "test": ["test", "testset"]},
+}
+
+
+def split_name(dataset: str, split: str) -> str:
+    """The stored split that a name means (case and blanks around it ignored); ValueError for names that the data set doesn't know.
+
+    A data set without listed splits takes any name.
+    """
+    wanted, known = split.strip().lower(), SPLITS.get(dataset.strip().lower())
+    if known is None:
+        return wanted
+    for stored, names in known.items():
+        if wanted in names:
+            return stored
+    raise ValueError(f"{dataset} has no split {split!r}; it has: {', '.join(sorted(known))}")
+
+
+def dataset_root(dataset: str, roots: dict[str, str], settings: Mapping[str, str], setting: str) -> str:
+    """The folder of a data set, by name (case ignored). Where settings (such as os.environ) hold the named one, roots are below it."""
+    key = dataset.strip().lower()
+    if key not in roots:
+        raise ValueError(f"no root is known for {dataset!r}; known: {', '.join(sorted(roots))}")
+    base = settings.get(setting)
+    return f"{base.rstrip('/')}/{roots[key].lstrip('/')}" if base and "://" not in roots[key] else roots[key]
+
+
 def read_samples(spark: SparkSession, dataset: str, path: str, format_: str = "parquet") -> DataFrame:
     """A table of annotations as samples. Formats: parquet, csv, json (one array or a file each) or jsonl."""
     if format_ == "parquet":

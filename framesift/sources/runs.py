@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,6 +100,24 @@ def write_report(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.orderBy(*order).write.mode("overwrite").csv(path, header=True)
 
 
+def fixed_width(rows: DataFrame, formats: dict[str, str], between: str = " | ") -> DataFrame:
+    """One column `line`: the named columns under their printf formats, null as an empty cell of the format's width."""
+    cells = []
+    for name, form in formats.items():
+        width = re.match(r"%(-?\d+)", form)
+        empty = F.lit(" " * abs(int(width[1])) if width else "")
+        cells.append(F.coalesce(F.when(F.col(name).isNotNull(), F.format_string(form, F.col(name))), empty))
+    return rows.select(F.concat_ws(between, *cells).alias("line"))
+
+
+def write_summary(rows: DataFrame, path: str, formats: dict[str, str], *, order: list[str], head: list[str]) -> None:
+    """A text summary: the head's lines, then a line for each row in order. Meant for reports of a bounded number of rows: it is one file."""
+    spark = rows.sparkSession
+    lines = fixed_width(rows.repartition(1).sortWithinPartitions(*order), formats)
+    first = spark.createDataFrame([(line,) for line in head], "line string").coalesce(1)
+    first.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """video, captions: from a file of one JSON object of lists; entries that are no list are left out (a string that reads as one is taken for one)."""
     whole = spark.read.text(path, wholetext=True)

@@ -85,3 +85,24 @@ def test_answer_and_confidence_fallbacks(spark):
     assert one == two
     assert [r["a"] for r in one][0] == 1 and one[1]["a"] in range(5) and [r["a"] for r in one[2:]] == [-1] * 6
     assert [r["c"] for r in one[:5]] == [1, 1, 1, 2, 3] and one[5]["c"] in (1, 2, 3) and [r["c"] for r in one[6:]] == [1, 1]
+
+
+def test_splits_and_roots():
+    assert adapters.split_name("mlvu", " VAL ") == "dev" and adapters.split_name("MLVU", "testset") == "test"
+    assert adapters.split_name("longvideobench", "val") == "validation" and adapters.split_name("nextqa", "Any") == "any"
+    for dataset, split in (("mlvu", "other"), ("longvideobench", "test")):
+        with pytest.raises(ValueError):
+            adapters.split_name(dataset, split)
+    roots = {"a": "sets/a", "b": "s3://bucket/b"}
+    assert adapters.dataset_root("A", roots, {}, "ROOT") == "sets/a"
+    assert adapters.dataset_root("a", roots, {"ROOT": "/x/"}, "ROOT") == "/x/sets/a"
+    assert adapters.dataset_root("b", roots, {"ROOT": "/x"}, "ROOT") == "s3://bucket/b"
+    with pytest.raises(ValueError):
+        adapters.dataset_root("c", roots, {}, "ROOT")
+
+
+def test_summary(spark, tmp_path):
+    rows = spark.createDataFrame([(2.0, 10, 71.26), (0.5, None, 3.0), (1.0, 7, None)], "s double, k int, a double")
+    path = str(tmp_path / "summary")
+    runs.write_summary(rows, path, {"s": "%6.1f", "k": "%4d", "a": "%6.1f"}, order=["s"], head=["title", "-----"])
+    assert [r["value"] for r in spark.read.text(path).collect()] == ["title", "-----", "   0.5 |      |    3.0", "   1.0 |    7 |       ", "   2.0 |   10 |   71.3"]
