@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.llm import chat, decontam, langid, licenses, linededup, mixing, multihash, simhash, substring, tokenbin
+from framesift.llm import chat, decontam, langid, licenses, linededup, merkle, mixing, multihash, simhash, substring, tokenbin
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_multiset_fingerprints": multihash.query,
         "op9_decontaminate": decontam.query,
         "op10_site_lines": linededup.query,
+        "op11_merkle_manifest": merkle.query,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql():
         "op5_chat_format": chat.ORACLE,
         "op9_decontaminate": decontam.ORACLE,
         "op10_site_lines": linededup.ORACLE,
+        "op11_merkle_manifest": merkle.ORACLE,
     }
