@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.llm import chat, decontam, langid, licenses, linededup, merkle, mixing, multihash, simhash, substring, tokenbin
+from framesift.llm import chat, decontam, langid, licenses, linededup, merkle, mixing, multihash, partcodes, simhash, substring, tokenbin
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_decontaminate": decontam.query,
         "op10_site_lines": linededup.query,
         "op11_merkle_manifest": merkle.query,
+        "op12_part_codes": partcodes.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql():
         "op9_decontaminate": decontam.ORACLE,
         "op10_site_lines": linededup.ORACLE,
         "op11_merkle_manifest": merkle.ORACLE,
+        "op12_part_codes": partcodes.ORACLE,
     }
