@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.llm import chat, decontam, langid, licenses, linededup, merkle, mixing, multihash, partcodes, simhash, substring, tokenbin
+from framesift.llm import chat, decontam, langid, licenses, linededup, merkle, mixing, multihash, partcodes, simhash, substring, tokenbin, toxicity
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_site_lines": linededup.query,
         "op11_merkle_manifest": merkle.query,
         "op12_part_codes": partcodes.query,
+        "op13_toxic_passages": toxicity.query,
     }
 
 
