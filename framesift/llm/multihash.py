@@ -6,13 +6,13 @@ a paragraph is inserted or deleted by adding or subtracting its vector (combine(
 
 A vector has two parts. Identity: 16 lanes modulo 2^32 from SHA-512 of the paragraph; texts with the
 same multiset of paragraphs have equal lanes, others differ but for a hash collision. Likeness: 124
-lanes modulo 2^16, each the sum of the signs +1 or -1 that hash bits give to the paragraph's word
+lanes modulo 2^32, each the sum of the signs +1 or -1 that hash bits give to the paragraph's word
 triples. As sums of random signs their inner product estimates the shared triples (Alon, Matias and Szegedy's sketch),
 so likeness() is a cosine: about the share of triples that two texts have in common, with a
 standard error of 0.09.
 
-The form of a fingerprint is the count of triples (8 hex digits), the identity lanes (8 each) and the likeness lanes
-(4 each). Fingerprints of nothing are all zero.
+The form of a fingerprint is the count of triples, the identity lanes and the likeness lanes, 8 hex digits each. Fingerprints
+of nothing are all zero. No text has 2^31 words, so the signed likeness lanes never wrap, however often a triple repeats.
 
 Everything is DataFrame expressions. Paragraphs and triples are made inside generated code and summed
 in the task that reads the text; only sums leave it.
@@ -40,22 +40,27 @@ LOW = (1 << APART) - 1
 
 
 def _rows_of_triples(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, text -> keys, identity digest on a paragraph's first row, two hashes of a word triple."""
-    paragraphs = rows.select(*keys, F.explode_outer(F.split("text", r"\n+")).alias("paragraph"))
-    words = paragraphs.select(*keys, F.when(F.col("paragraph") != "", F.sha2("paragraph", 512)).alias("digest"), trimmed_words(F.col("paragraph")).alias("words"))
-    spread = words.select(*keys, "digest", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))).alias("i"))
+    """keys, text -> keys, p (place of the paragraph), i (of the triple in it), identity digest on a paragraph's first row, two hashes of a word triple."""
+    paragraphs = rows.select(*keys, F.posexplode(F.split("text", r"\n+")).alias("p", "paragraph"))
+    words = paragraphs.select(*keys, "p", F.when(F.col("paragraph") != "", F.sha2("paragraph", 512)).alias("digest"), trimmed_words(F.col("paragraph")).alias("words"))
+    spread = words.select(*keys, "p", "digest", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))).alias("i"))
     second, third = F.get("words", F.col("i") + 1), F.get("words", F.col("i") + 2)
     first = F.get("words", F.col("i"))
     return spread.select(
         *keys,
+        "p",
+        "i",
         F.when(F.col("i") == 0, F.col("digest")).alias("digest"),
         F.when(F.col("digest").isNotNull(), F.xxhash64(first, second, third)).alias("h0"),
         F.when(F.col("digest").isNotNull(), F.xxhash64(third, first, second, F.lit(1))).alias("h1"),
     )
 
 
-def fingerprint_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, text -> keys, fingerprint. The keys name one text each; rows of other texts never share a key."""
+def fingerprint_sums(rows: DataFrame, keys: list[str], repeated: bool = False) -> DataFrame:
+    """keys, text -> keys, fingerprint. The keys name one text each; rows of other texts never share a key.
+
+    repeated: rows of equal text may share one; `times` says how many do.
+    """
     triples = _rows_of_triples(rows, keys)
     sums = [F.count("h0").alias("n")]
     for h in range(HASHES):
@@ -64,7 +69,12 @@ def fingerprint_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     for k in range(IDENTITY):
         lane = F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("long")
         sums.append(F.coalesce(F.sum(lane), F.lit(0).cast("long")).alias(f"e{k}"))
-    return triples.groupBy(*keys).agg(*sums).select(*keys, _written().alias("fingerprint"))
+    if not repeated:
+        return triples.groupBy(*keys).agg(*sums).select(*keys, _written().alias("fingerprint"))
+    times = F.count(F.when((F.col("p") == 0) & (F.col("i") == 0), 1)).alias("times")
+    found = triples.groupBy(*keys).agg(*sums, times)
+    once = [F.expr(f"{c} div times").alias(c) for c in found.columns if c not in (*keys, "times")]
+    return found.select(*keys, "times", *once).select(*keys, "times", _written().alias("fingerprint"))
 
 
 def _hex(value: Column, digits: int) -> Column:
@@ -79,15 +89,15 @@ def _written() -> Column:
         for j in range(PAIRS):
             both = F.col(f"s{h}_{j}")
             for count in (both.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(both, APART)):
-                parts.append(_hex((2 * count - n).bitwiseAND(F.lit(0xFFFF)), 4))
+                parts.append(_hex((2 * count - n).bitwiseAND(F.lit(0xFFFFFFFF)), 8))
     return F.concat(*parts)
 
 
 def likeness_lanes(fingerprint: Column) -> Column:
     """Array of signed lanes."""
     start = 8 + 8 * IDENTITY
-    raw = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.conv(fingerprint.substr(F.lit(start + 1) + 4 * i, F.lit(4)), 16, 10).cast("int"))
-    return F.transform(raw, lambda v: F.when(v >= 1 << 15, v - (1 << 16)).otherwise(v))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.conv(fingerprint.substr(F.lit(start + 1) + 8 * i, F.lit(8)), 16, 10).cast("long"))
+    return F.transform(raw, lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -103,21 +113,23 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of a's paragraphs with b's inserted (sign 1) or deleted (-1)."""
 
-    def lanes(start: int, n: int, digits: int) -> Column:
-        def lane(i: Column) -> Column:
-            one, other = (F.conv(f.substr(F.lit(start + 1) + digits * i, F.lit(digits)), 16, 10).cast("long") for f in (a, b))
-            return F.lower(F.lpad(F.hex(F.pmod(one + sign * other, F.lit(1 << 4 * digits))), digits, "0"))
-
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lane), "")
+    def lane(i: Column) -> Column:
+        one, other = (F.conv(f.substr(F.lit(1) + 8 * i, F.lit(8)), 16, 10).cast("long") for f in (a, b))
+        return F.lower(F.lpad(F.hex(F.pmod(one + sign * other, F.lit(1 << 32))), 8, "0"))
 
-    return F.concat(lanes(0, 1 + IDENTITY, 8), lanes(8 + 8 * IDENTITY, LANES, 4))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(IDENTITY + LANES)), lane), "")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, fingerprint. Two rows with one id are told apart by their place in the scan."""
+    """One row per row of docs: id, fingerprint.
+
+    Rows are named by their id and the hash of their text, which stay the same when a lost task runs again. The sums of
+    rows equal in both are divided by their number.
+    """
     rows = intake(docs, id=(id_col, "string"), text=(text_col, "string"))
-    rows = rows.select("id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return fingerprint_sums(rows, ["row", "id"]).select("id", "fingerprint")
+    rows = rows.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("name", F.sha2("text", 256))
+    found = fingerprint_sums(rows, ["id", "name"], repeated=True)
+    return found.select("id", "fingerprint", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
 
 
 def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:

@@ -116,6 +116,56 @@ def test_edits_and_neighbours(spark, make):
     assert multihash.compare_with_edits(make(["a b", "a b", None], ids=[1, 1, None])).count() == 3
 
 
+def plain_fingerprint(text):
+    """(the fingerprint, its likeness lanes) by their definitions, word triple by word triple."""
+    import xxhash
+
+    def chained(*parts):  # xxhash64 of several columns: each one's hash is the next one's seed, nulls are passed over
+        seed = 42
+        for part in parts:
+            if part is not None:
+                seed = xxhash.xxh64_intdigest(part, seed=seed)
+        return seed
+
+    identity, ones, n = [0] * 16, {(h, j, k): 0 for h in (0, 1) for j in range(31) for k in (0, 31)}, 0
+    for paragraph in re.split(r"\n+", text):
+        if paragraph == "":
+            continue
+        digest = hashlib.sha512(paragraph.encode()).hexdigest()
+        identity = [(x + int(digest[8 * k : 8 * k + 8], 16)) % 2**32 for k, x in enumerate(identity)]
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", paragraph)] or [b""]
+        for i in range(max(len(words) - 2, 1)):
+            a, b, c = (words[i + k] if i + k < len(words) else None for k in range(3))
+            n += 1
+            for h, value in enumerate((chained(a, b, c), chained(c, a, b, (1).to_bytes(4, "little")))):
+                for j in range(31):
+                    for k in (0, 31):
+                        ones[h, j, k] += value >> (j + k) & 1
+    lanes = [2 * ones[h, j, k] - n for h in (0, 1) for j in range(31) for k in (0, 31)]
+    return "".join(f"{x % 2**32:08x}" for x in [n, *identity, *lanes]), lanes
+
+
+def plain_likeness(one, two, same):
+    size = (sum(x * x for x in one) * sum(x * x for x in two)) ** 0.5
+    return 1.0 if same else 0.0 if size == 0 else max(0.0, min(1.0, sum(x * y for x, y in zip(one, two, strict=True)) / size))
+
+
+def test_fingerprints_digit_by_digit(spark, make):
+    rng = random.Random(9)
+    texts = ["x " * 40_000, "one two three four\n\nfive six\nseven", "\n", None, " \t\n a", "Ä é 😀 b\n" * 3, "p q r s t\nu v w"] + [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(5)]
+    rows = {r["id"]: r for r in multihash.compare_with_edits(make(texts)).collect()}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        (own, lanes), (edited, edited_lanes), (nxt, next_lanes) = (plain_fingerprint(x) for x in (text, text[: len(text) - half] + after[:half], after))
+        assert (rows[i]["fingerprint"], rows[i]["edited_fingerprint"]) == (own, edited)
+        assert rows[i]["near_edited"] == pytest.approx(plain_likeness(lanes, edited_lanes, own == edited))
+        assert rows[i]["near_next"] == pytest.approx(plain_likeness(lanes, next_lanes, own == nxt))
+    assert rows[0]["near_edited"] > 0.9  # half of one triple's 39,998 repeats: 16-bit lanes would wrap
+    repeated = multihash.fingerprint_documents(make([*texts, texts[1], texts[1]], ids=[*range(len(texts)), 1, 9])).collect()
+    assert sorted((r["id"], r["fingerprint"]) for r in repeated) == sorted((str(i), plain_fingerprint(t or "")[0]) for i, t in [*enumerate(texts), (1, texts[1]), (9, texts[1])])
+
+
 def test_successors_for_any_bucket_count(spark):
     rng = random.Random(3)
     keys = sorted(rng.sample(range(-1000, 100000), 200))
