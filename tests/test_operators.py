@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -314,3 +315,28 @@ def test_small_pools_and_ties(spark):
     assert selection.pick_recursive_segments(scored, 6).count() < 6  # a pool of just the budget is segmented too
     tallied = spark.createDataFrame([(1, 2, 0.5, 1)], "correct long, n_mcq long, mra_sum double, n_numeric long")
     assert scoring.accuracy(tallied, "short").head()["accuracy"] == 50.0
+
+
+def test_intervals_of_any_length(spark):
+    from framesift.operators import intervals
+
+    rng = random.Random(8)
+    segments, moments = [], []
+    for i in range(60):
+        start = rng.choice([rng.uniform(-500, 500), rng.uniform(0, 1e6), 60.0 * rng.randint(-3, 9)])
+        segments.append(("ab"[i % 2], i, start, start + rng.choice([0.0, -5.0, 3.0, 60.0, 500.0, 1e5, 1e12, 6e8, math.inf]), f"t{i}"))
+    segments += [("a", 90, math.nan, 5.0, "bad"), ("a", 91, 5.0, math.nan, "bad"), ("a", 92, None, 5.0, "bad"), ("b", 93, -math.inf, -1e300, "far")]
+    for i in range(150):
+        moments.append(("abc"[i % 3], rng.choice([rng.uniform(-600, 600), rng.uniform(0, 2e6), 60.0 * rng.randint(-4, 12), 9e11, 1e300, -1e300, segments[i % 60][2]])))
+    at = spark.createDataFrame(moments, "video string, at_s double")
+    seg = spark.createDataFrame(segments, "video string, seq int, start_s double, end_s double, text string")
+
+    def first(video, t):
+        return next((s[4] for s in segments if s[0] == video and s[2] is not None and s[2] <= t < s[3]), "")
+
+    for slot in (60.0, 0.5):
+        found = intervals.match_segments(at, seg, group="video", at="at_s", slot=slot).collect()
+        assert sorted(map(tuple, found)) == sorted((v, t, first(v, t)) for v, t in moments)
+    assert {r["subtitle"] for r in intervals.match_segments(at, seg.limit(0), group="video", at="at_s").collect()} == {""}
+    spread = spark.range(1).select(F.explode(intervals.cells(F.lit(-7).cast("bigint"), F.lit(1000).cast("bigint"))).alias("c")).collect()
+    assert sorted(x for r in spread for x in range(r["c"]["cell"] << r["c"]["level"], r["c"]["cell"] + 1 << r["c"]["level"])) == list(range(-7, 1001))
