@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,17 +127,38 @@ def focus_query(question: Column, answer: Column) -> Column:
     return F.coalesce(both, q, a, F.lit(DEFAULT_QUERY))
 
 
-def last_object(text: Column, key: str) -> Column:
-    """The whole text if it is an object with the key, else the last flat {...} in it that has the key; single quotes are taken for double ones."""
-    flat = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0))
-    found = F.transform(F.concat(flat, F.array(F.trim(text))), lambda t: F.coalesce(F.when(F.get_json_object(t, f"$.{key}").isNotNull(), t), F.translate(t, "'", '"')))
-    good = F.filter(found, lambda t: F.get_json_object(t, f"$.{key}").isNotNull())
-    return F.get(good, F.size(good) - 1)
+#: Fixed keys of a model's reply.
+REPLY_KEYS = ("final_answer", "confidence")
+
+
+def response_object(text: Column, *keys: str) -> Column:
+    """The object that a response holds, as JSON text: the whole of it if it is one object (which may hold others), else of the shortest
+    {...} runs the last that parses and has one of the keys, else the last that parses. Single quotes serve as double ones."""
+
+    def parsed(t: Column) -> Column:
+        quoted = F.translate(t, "'", '"')
+        return F.when(F.get_json_object(t, "$").isNotNull(), t).when(F.get_json_object(quoted, "$").isNotNull(), quoted)
+
+    def braces(t: Column) -> Column:
+        return F.char_length(t) - F.char_length(F.replace(t, F.lit("{")))
+
+    bare = F.trim(text)
+    whole = parsed(F.when(bare.startswith("{") & bare.endswith("}"), bare))
+    whole = F.when(braces(F.get_json_object(whole, "$")) == braces(whole), whole)  # the parser reads the first of several
+    runs = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\{.*?\}"), F.lit(0)), parsed), lambda t: t.isNotNull())
+    keyed = F.filter(runs, lambda t: reduce(or_, [F.get_json_object(t, f"$.{k}").isNotNull() for k in keys], F.lit(False)))
+    return F.coalesce(whole, F.get(keyed, F.size(keyed) - 1), F.get(runs, F.size(runs) - 1))
+
+
+def descriptions(text: Column, key: str = "frame_descriptions") -> Column:
+    """Array of (segment_id, description) that a response lists; empty where it lists none."""
+    listed = F.get_json_object(response_object(text, *REPLY_KEYS), f"$.{key}")
+    return F.coalesce(F.from_json(listed, "array<struct<segment_id:string,description:string>>"), F.array().cast("array<struct<segment_id:string,description:string>>"))
 
 
 def answer_index(text: Column, key: str = "final_answer") -> Column:
     """0-4 (or -1) from an object's answer: the number itself, a letter A-E, or a digit 0-4 that stands alone; null where there is none."""
-    said = F.upper(F.trim(F.get_json_object(last_object(text, key), f"$.{key}")))
+    said = F.upper(F.trim(F.get_json_object(response_object(text, *REPLY_KEYS), f"$.{key}")))
     by_letter = F.when(said.rlike("^[A-E]$"), F.ascii(said) - 65)
     inside = _nonempty(F.regexp_extract(said, rf"(?:^|{EDGE})([0-4])(?:$|{EDGE})", 1)).try_cast("int")
     return F.coalesce(F.when(said.rlike("^(-1|[0-4])$"), said.try_cast("int")), by_letter, inside)
@@ -143,11 +167,12 @@ def answer_index(text: Column, key: str = "final_answer") -> Column:
 def answer_or_draw(text: Column, seed: int | str, *keys: Column, key: str = "final_answer") -> Column:
     """answer_index; an answer out of range is drawn from 0-4 by seed and keys, and a text without an object that has one is -1."""
     drawn = F.floor(draws.uniform(seed, *keys) * 5).cast("int")
-    return F.when(last_object(text, key).isNull(), F.lit(-1)).otherwise(F.coalesce(answer_index(text, key), drawn))
+    said = F.get_json_object(response_object(text, *REPLY_KEYS), f"$.{key}")
+    return F.when(said.isNull(), F.lit(-1)).otherwise(F.coalesce(answer_index(text, key), drawn))
 
 
 def confidence(text: Column, seed: int | str, *keys: Column, key: str = "confidence") -> Column:
     """1-3 from an object's confidence; a whole number out of range is drawn by seed and keys, and where there is none it is 1."""
-    said = F.get_json_object(last_object(text, key), f"$.{key}").try_cast("double").try_cast("bigint")
+    said = F.get_json_object(response_object(text, *REPLY_KEYS), f"$.{key}").try_cast("double").try_cast("bigint")
     drawn = F.floor(draws.uniform(seed, *keys) * 3).cast("int") + 1
     return F.when(said.isNull(), F.lit(1)).when(said.between(1, 3), said.cast("int")).otherwise(drawn)

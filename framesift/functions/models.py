@@ -56,6 +56,16 @@ def generate(prompts: DataFrame, factory: Callable[[], Callable[[list[str]], lis
     return prompts.withColumn("prompt_key", F.md5(prompt)).join(answered, "prompt_key", "left").drop("prompt_key")
 
 
+def call_key(model: str, system: Column, prompt: Column) -> Column:
+    """Names a call by model and messages."""
+    return F.md5(F.concat_ws("\n", F.lit(model), system, prompt))
+
+
+def replay_calls(calls: DataFrame, responses: DataFrame) -> DataFrame:
+    """calls plus response from a table (call_key, response); null where none was recorded, the least text where several were."""
+    return calls.join(responses.groupBy("call_key").agg(F.min("response").alias("response")), "call_key", "left")
+
+
 def replay(prompts: DataFrame, responses: DataFrame, *, prompt: str = "prompt") -> DataFrame:
     """prompts plus response from a table (prompt_key, response); null where none was recorded."""
     return prompts.withColumn("prompt_key", F.md5(prompt)).join(responses, "prompt_key", "left").drop("prompt_key")
