@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from framesift.functions.vectors import dot
 
+#: Letters of answers that can end a sample early.
+LETTERS = ("A", "B", "C", "D")
+
 
 def by_sample(*order, sample: str = "video"):
     w = Window.partitionBy(sample)
@@ -71,13 +74,18 @@ def carry_forward(rows: DataFrame, value: str, *, group: str, order: str, out: s
     return rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
-def early_stop(rounds: DataFrame, *, sample: str, order: str, answer: str, prob: str, threshold: float, streak: int) -> DataFrame:
-    """sample, stop_round: the first round that ends `streak` rounds in a row with one answer above threshold; null if none."""
+def early_stop(rounds: DataFrame, *, sample: str, order: str, answer: str, prob: str, threshold: float, streak: int, has_options: str | None = None, letters: tuple[str, ...] = LETTERS) -> DataFrame:
+    """sample, stop_round: the first round that ends `streak` rounds in a row with one answer above threshold; null if none.
+
+    Only answers that are one of letters count, and only those of samples with options where a column says which have them.
+    """
     w = Window.partitionBy(sample).orderBy(order)
-    sure = F.col(prob) > threshold
-    goes_on = sure & F.coalesce((F.lag(answer).over(w) == F.col(answer)) & (F.lag(prob).over(w) > threshold), F.lit(False))
-    islands = rounds.withColumn("island", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("sure", sure)
-    length = F.sum(F.when(F.col("sure"), 1).otherwise(0)).over(Window.partitionBy(sample, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    said = F.upper(F.trim(F.col(answer)))
+    sure = F.coalesce((F.col(prob) > threshold) & said.isin(*letters) & (F.col(has_options) if has_options else F.lit(True)), F.lit(False))
+    rows = rounds.select(sample, order, F.when(sure, said).alias("said"))
+    goes_on = F.coalesce(F.lag("said").over(w) == F.col("said"), F.lit(False))
+    islands = rows.withColumn("island", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    length = F.sum(F.when(F.col("said").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(sample, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return islands.withColumn("length", length).groupBy(sample).agg(F.min(F.when(F.col("length") >= streak, F.col(order))).alias("stop_round"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.operators import agent
+from framesift.operators import agent, iterative
 from framesift.plans import register
 from framesift.plans.views import load
 
@@ -92,3 +92,45 @@ SELECT sample, round::BIGINT AS rounds, answer::BIGINT AS answer, array_to_strin
 def selected(spark, sf_dir):
     found = agent.pick_agent(*_captioned(spark, sf_dir), _rule, BUDGET, model=MODEL)
     return found.select("sample", F.col("rounds").cast("bigint").alias("rounds"), F.col("answer").cast("bigint").alias("answer"), F.array_join("chosen", ",").alias("chosen"))
+
+
+def _asked_rounds(spark, sf_dir) -> DataFrame:
+    """Orders as samples, their lines as rounds: the flag is the answer, the quantity its probability, part and supplier the frames."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("bigint").alias("sample"),
+        F.row_number().over(order).cast("bigint").alias("round"),
+        F.when(F.col("l_linestatus") == "O", F.translate("l_returnflag", "ANR", "Abz")).when(F.col("l_returnflag") != "R", F.lit(" a")).alias("answer"),
+        (F.col("l_quantity") / 50.0).alias("prob"),
+        (F.col("l_orderkey") % 5 != 0).alias("has_options"),
+        F.array(F.col("l_partkey") % 7, F.col("l_suppkey") % 5, F.lit(0).cast("bigint")).alias("frames"),
+    )
+
+
+#: The loop as a recursion: each step has the state after a round, and a stopped sample has no next one.
+_FOLD = """RECURSIVE given AS (
+  SELECT l_orderkey::BIGINT AS sample, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS round,
+    CASE WHEN l_linestatus = 'O' THEN translate(l_returnflag, 'ANR', 'Abz') WHEN l_returnflag <> 'R' THEN ' a' END AS answer, l_quantity / 50.0::DOUBLE AS prob,
+    l_orderkey % 5 <> 0 AS has_options, [l_partkey % 7, l_suppkey % 5, 0]::BIGINT[] AS frames FROM lineitem
+),
+marked AS (SELECT *, CASE WHEN has_options AND prob > 0.3 AND upper(trim(answer)) IN ('A', 'B', 'C', 'D') THEN upper(trim(answer)) END AS letter FROM given),
+folded AS (
+  SELECT sample, 1::BIGINT AS round, answer, letter, CASE WHEN letter IS NULL THEN 0 ELSE 1 END::BIGINT AS streak, list_distinct(frames) AS seen, len(frames) - len(list_distinct(frames)) AS hits FROM marked WHERE round = 1
+  UNION ALL
+  SELECT m.sample, m.round, coalesce(m.answer, f.answer), m.letter, CASE WHEN m.letter IS NULL THEN 0 WHEN m.letter = f.letter THEN f.streak + 1 ELSE 1 END,
+    list_distinct(list_concat(f.seen, m.frames)), f.hits + len(m.frames) + len(f.seen) - len(list_distinct(list_concat(f.seen, m.frames)))
+  FROM folded f JOIN marked m ON m.sample = f.sample AND m.round = f.round + 1 WHERE f.streak < 2
+)"""
+
+
+@register("sel_iterative_fold", f"WITH {_FOLD} SELECT sample, round, answer, streak, streak >= 2 AS stopped, hits::BIGINT AS hits, len(seen)::BIGINT AS misses FROM folded")
+def folded(spark, sf_dir):
+    return iterative.fold_rounds(_asked_rounds(spark, sf_dir), streak=2, threshold=0.3)
+
+
+@register(
+    "sel_iterative",
+    f"WITH {_FOLD} SELECT sample, coalesce(answer, '') AS answer, round AS rounds_used, streak >= 2 AS stopped, hits::BIGINT AS hits, len(seen)::BIGINT AS misses FROM folded QUALIFY row_number() OVER (PARTITION BY sample ORDER BY round DESC) = 1",
+)
+def iterated(spark, sf_dir):
+    return iterative.results(iterative.fold_rounds(_asked_rounds(spark, sf_dir), streak=2, threshold=0.3))

@@ -126,7 +126,7 @@ l AS (SELECT *, sum(CASE WHEN prob > 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY s
 SELECT sample, min(round_idx) FILTER (len >= 2)::BIGINT AS stop_round FROM l GROUP BY sample""",
 )
 def early_stop(spark, sf_dir):
-    return ranking.early_stop(_rounds(spark, sf_dir), sample="sample", order="round_idx", answer="answer", prob="prob", threshold=0.3, streak=2)
+    return ranking.early_stop(_rounds(spark, sf_dir), sample="sample", order="round_idx", answer="answer", prob="prob", threshold=0.3, streak=2, letters=("A", "N", "R"))
 
 
 @register("win_carry_forward", f"WITH {_ROUNDS} SELECT sample, round_idx, last_value(CASE WHEN prob > 0.5 THEN answer END IGNORE NULLS) OVER (PARTITION BY sample ORDER BY round_idx ROWS UNBOUNDED PRECEDING) AS kept FROM rd")
