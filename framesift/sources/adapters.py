@@ -69,27 +69,37 @@ def _sample(raw: DataFrame, *, id_: Column, path: Column, question: Column, answ
     return rows.where(F.col("question").isNotNull() & F.col("answer").isNotNull() & F.col("video_path").isNotNull())
 
 
+def _id(raw: DataFrame, prefix: str, *names: str, prefixed: bool = False) -> Column:
+    """The first of the columns that isn't blank, else `{prefix}_{place}`: the row's source_index, or a hash of its question where there is no such column.
+
+    prefixed: the prefix stands before the column's value too.
+    """
+    own, place = _col(raw, *names), F.coalesce(_col(raw, "source_index"), F.md5(_col(raw, "question")))
+    return F.concat(F.lit(f"{prefix}_"), F.coalesce(own, place)) if prefixed else F.coalesce(own, F.concat(F.lit(f"{prefix}_"), place))
+
+
 def vsibench(raw: DataFrame) -> DataFrame:
     options = _options(raw, "options")
     task = F.when(F.size(options) > 0, "mcq").otherwise("numeric")
-    id_ = F.coalesce(_col(raw, "id"), F.concat_ws("_", _col(raw, "scene_name"), F.md5(_col(raw, "question"))))
-    return _sample(raw, id_=id_, path=F.concat(_col(raw, "scene_name"), F.lit(".mp4")), question=_col(raw, "question"), answer=_col(raw, "ground_truth"), options=F.when(F.size(options) > 0, options), task=task, keep=("dataset", "task_type", "question_type"))
+    return _sample(raw, id_=_id(raw, "vsibench"), path=F.concat(_col(raw, "scene_name"), F.lit(".mp4")), question=_col(raw, "question"), answer=_col(raw, "ground_truth"), options=F.when(F.size(options) > 0, options), task=task, keep=("dataset", "task_type", "question_type"))
 
 
 def videomme(raw: DataFrame) -> DataFrame:
     bucket = F.lower(_col(raw, "duration"))
     bucket = F.when(bucket.isin(*BUCKETS), bucket).otherwise(BUCKETS[0])
-    answer = F.coalesce(answers.letter(_col(raw, "answer"), "A-E"), _col(raw, "answer"))
-    return _sample(raw, id_=_col(raw, "question_id", "videoID", "video_id"), path=_col(raw, "videoID", "video_id", "video"), question=_col(raw, "question"), answer=answer, options=_trimmed(_options(raw, "options")), task=bucket, keep=("domain", "sub_category", "task_type"))
+    said = F.upper(_col(raw, "answer"))
+    answer = F.coalesce(answers.letter(said, "A-E"), said)
+    raw = raw.where(F.size(_trimmed(_options(raw, "options"))) > 0)
+    return _sample(raw, id_=_id(raw, "videomme", "question_id"), path=_col(raw, "videoID", "video_id", "video"), question=_col(raw, "question"), answer=answer, options=_trimmed(_options(raw, "options")), task=bucket, keep=("domain", "sub_category", "task_type"))
 
 
 def longvideobench(raw: DataFrame) -> DataFrame:
     index = _col(raw, "correct_choice").try_cast("int")
-    letter = F.coalesce(F.when(index.between(0, 25), F.char(index + 65)), answers.letter(_col(raw, "correct_choice"), "A-E"))
-    letter = F.coalesce(letter, _col(raw, "correct_choice"))
+    said = F.upper(_col(raw, "correct_choice"))
+    letter = F.coalesce(F.when(index.between(0, 25), F.char(index + 65)), F.when(index.isNull(), answers.letter(said, "A-E")), said)
     raw = raw.where(_numbered(raw, "option", 5).isNotNull())
     task = F.coalesce(_col(raw, "duration_group", "question_category"), F.lit("mcq"))
-    return _sample(raw, id_=_col(raw, "id"), path=_col(raw, "video_path"), question=_col(raw, "question"), answer=letter, options=_numbered(raw, "option", 5), task=task, key=_col(raw, "video_id"), keep=("question_category", "topic_category", "subtitle_path", "starting_timestamp_for_subtitles", "duration"))
+    return _sample(raw, id_=_id(raw, "lvb", "id"), path=_col(raw, "video_path"), question=_col(raw, "question"), answer=letter, options=_numbered(raw, "option", 5), task=task, key=_col(raw, "video_id"), keep=("question_category", "topic_category", "subtitle_path", "starting_timestamp_for_subtitles", "duration"))
 
 
 def longvideobench_filter(rows: DataFrame, wanted: str, *, strict: bool = False) -> DataFrame:
@@ -105,7 +115,7 @@ def mlvu(raw: DataFrame) -> DataFrame:
     has = F.size(options) > 0
     answer = F.when(has, F.coalesce(answers.choice_letter(_col(raw, "answer"), options), _col(raw, "answer"))).otherwise(_col(raw, "answer"))
     task = F.coalesce(_col(raw, "question_type", "task_type"), F.when(has, "mcq").otherwise("generation"))
-    return _sample(raw, id_=_col(raw, "question_id"), path=_col(raw, "video"), question=_col(raw, "question"), answer=answer, options=F.when(has, options), task=task, keep=("duration", "_split", "_format"))
+    return _sample(raw, id_=_id(raw, "mlvu", "question_id"), path=_col(raw, "video"), question=_col(raw, "question"), answer=answer, options=F.when(has, options), task=task, keep=("duration", "_split", "_format"))
 
 
 def nextqa(raw: DataFrame) -> DataFrame:
@@ -113,17 +123,17 @@ def nextqa(raw: DataFrame) -> DataFrame:
     complete = F.forall(own, lambda o: o.isNotNull() & (o != ""))
     video = texts.whole_number_text(_col(raw, "video"))
     rows = raw.where(complete)
-    return _sample(rows, id_=F.concat_ws("_", F.lit("nextqa"), _col(rows, "qid")), path=F.concat(video, F.lit(".mp4")), question=_col(rows, "question"), answer=answers.normalize_choice(_col(rows, "answer")), options=own, task=F.lit("mcq"), key=F.concat(F.lit("nextqa_video_"), video), keep=("type",))
+    return _sample(rows, id_=_id(rows, "nextqa", "qid", prefixed=True), path=F.concat(video, F.lit(".mp4")), question=_col(rows, "question"), answer=answers.normalize_choice(_col(rows, "answer")), options=own, task=F.lit("mcq"), key=F.concat(F.lit("nextqa_video_"), video), keep=("type",))
 
 
 def egoschema(raw: DataFrame) -> DataFrame:
-    """Ids are egoschema_{place}: source_index where the rows carry it, else the question's own index."""
+    """Ids are egoschema_{source_index}, or of the question's own index where the rows carry no place."""
     lists = [F.when(F.size(o) > 0, F.transform(o, lambda x: F.trim(x))) for o in (_options(raw, "options"), _options(raw, "option"))]
     own = [F.trim(raw[f"option{i}"].cast("string")) for i in range(5) if f"option{i}" in raw.columns]
     single = F.filter(F.array(*own), lambda o: F.coalesce(o, F.lit("")) != "") if own else F.array().cast("array<string>")
     options = F.coalesce(*lists, F.nullif(single, F.array().cast("array<string>")))
-    id_ = F.concat(F.lit("egoschema_"), _col(raw, "source_index", "question_idx", "q_uid", "question_id", "video_idx", "video_id", "id"))
-    return _sample(raw, id_=id_, path=F.concat(_col(raw, "video_idx", "video_id", "q_uid"), F.lit(".mp4")), question=_col(raw, "question"), answer=answers.normalize_choice(_col(raw, "answer", "ground_truth")), options=options, task=F.when(F.size(options) > 0, "mcq").otherwise("numeric"))
+    id_ = _id(raw, "egoschema", "source_index", "question_idx", prefixed=True)
+    return _sample(raw, id_=id_, path=F.concat(_col(raw, "video_id", "video_uid", "video_idx", "q_uid", "uid", "id"), F.lit(".mp4")), question=_col(raw, "question"), answer=answers.normalize_choice(_col(raw, "answer", "ground_truth")), options=options, task=F.when(F.size(options) > 0, "mcq").otherwise("numeric"))
 
 
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -195,14 +205,16 @@ def read_either(spark: SparkSession, dataset: str, json_path: str, parquet_path:
 
 
 def read_directory_of_arrays(spark: SparkSession, pattern: str, prefix: str = "dev") -> DataFrame:
-    """JSON arrays, one a file, with question_id `{prefix}_{file}_{place}` where a row has none."""
-    rows = spark.read.json(pattern, multiLine=True).select("*", F.col("_metadata.file_name").alias("file_name"))
-    from pyspark.sql import Window
+    """JSON arrays, one a file, with question_id `{prefix}_{file}_{place}` where a row has none.
 
-    place = F.row_number().over(Window.partitionBy("file_name").orderBy(F.monotonically_increasing_id())) - 1
-    made = F.concat_ws("_", F.lit(prefix), texts.stem(F.col("file_name")), place.cast("string"))
+    A file's array is one value until its places are numbered, so that they don't depend on how a scan is run again.
+    """
+    files = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
+    fields = spark.read.json(pattern, multiLine=True).schema
+    rows = files.select("file_name", F.posexplode(F.from_json("value", T.ArrayType(fields))).alias("place", "row")).select("file_name", "place", "row.*")
+    made = F.concat_ws("_", F.lit(prefix), texts.stem(F.col("file_name")), F.col("place").cast("string"))
     own = F.col("question_id").cast("string") if "question_id" in rows.columns else F.lit(None).cast("string")
-    return rows.withColumn("question_id", F.coalesce(own, made)).drop("file_name")
+    return rows.withColumn("question_id", F.coalesce(own, made)).drop("file_name", "place")
 
 
 def union_sources(*parts: tuple[DataFrame, str]) -> DataFrame:
