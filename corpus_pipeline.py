@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from framesift.llm import mixing, stages, tokenbin
 from framesift.llm.common import remove, table, work_path
 
+#: Words that a task of the last stage remembers: executors that have run the other stages have less memory left for Python.
+CACHE_WORDS = 1 << 16
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification; documents whose language can't be told go."""
@@ -35,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards, read back: doc_id, start, n_tokens, ids_crc32."""
     out = work_path(spark, "shards")
-    tokenbin.write_shards(docs, out)
+    tokenbin.write_shards(docs, out, cache_words=CACHE_WORDS)
     return tokenbin.describe_shards(spark, out).withColumnRenamed("id", "doc_id")
 
 

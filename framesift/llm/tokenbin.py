@@ -92,9 +92,11 @@ class _Words(dict):
     other file every text goes through the library whole. A full cache becomes the old one, whose words come back when they are met.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, cache_words: int = CACHE_WORDS):
         import regex
 
+        self.cache_words = cache_words
+
         self.tokenizer, self.model = tokenizer, tokenizer.model
         # Each part's own state: the whole file's would hold the vocabulary as well.
         chain = {k: json.loads(part.__getstate__()) if (part := getattr(tokenizer, k)) is not None else None for k in KNOWN}
@@ -124,7 +126,7 @@ class _Words(dict):
     def piece(self, text: str) -> bytes:
         if (known := self.pieces.get(text)) is None:
             known = self.coded(text)
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= self.cache_words:
                 self.pieces.clear()
             self.pieces[text] = known
         return known
@@ -146,7 +148,7 @@ class _Words(dict):
             ids = self.cut(word)
         else:
             ids = self.encode(word)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.cache_words:
             self.old = dict(self)
             self.clear()
         self[word] = ids
@@ -162,11 +164,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def coder(path: str) -> _Words:
+def coder(path: str, cache_words: int = CACHE_WORDS) -> _Words:
     if path not in _CODERS:
         from tokenizers import Tokenizer
 
         _CODERS[path] = _Words(Tokenizer.from_file(path))
+    _CODERS[path].cache_words = cache_words
     return _CODERS[path]
 
 
@@ -294,11 +297,11 @@ def decode_part(own: np.ndarray, state: np.ndarray, stream: np.ndarray, table: T
 # ---- Spark
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """id, ids: every text's ids and the end id, packed; with them a row for each task, whose counts say how often it saw each id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = coder(path), np.zeros(1, dtype="<i8")
+        words, total = coder(path, cache_words), np.zeros(1, dtype="<i8")
         end = words.packed([end_id])
         for batch in batches:
             made = [encode_text(words, t or "") + end for t in batch["text"]]
@@ -337,17 +340,18 @@ def count_ids(tokenized: DataFrame) -> DataFrame:
     return tokenized.where("counts IS NOT NULL").select("counts").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
+def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> None:
     """Tokenizes and writes docs in ascending order of id: out/table, out/blocks, out/shards (the count of ids before each).
 
     Texts are tokenized once; their ids wait in out/ids while the shared table is counted (it is as large as the
     vocabulary, which bounds it) and are then exchanged once, by ranges of id. Each range is a shard, coded in a
-    stream with one block in memory at a time. Repeated ids follow the order of their packed ids.
+    stream with one block in memory at a time. Repeated ids follow the order of their packed ids. cache_words: words that a task remembers
+    (some 150 bytes each, twice); fewer take less memory and more time.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     kind = coder(path).kind
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    tokenize(rows, path, end_id).write.option("compression", "zstd").parquet(f"{out}/ids")
+    tokenize(rows, path, end_id, cache_words).write.option("compression", "zstd").parquet(f"{out}/ids")
     tokenized = spark.read.parquet(f"{out}/ids")
     counted = {int(r["token"]): int(r["n"]) for r in count_ids(tokenized).collect()}  # bounded by the vocabulary
     ids, freq = normalized_frequencies(counted)
