@@ -124,3 +124,25 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     entries = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("video", "held"))
     lists = entries.where(F.startswith(F.ltrim("held"), F.lit("["))).select("video", F.from_json("held", "array<string>").alias("captions"))
     return lists.where("captions IS NOT NULL")
+
+
+def write_embeddings(rows: DataFrame, path: str, summary: dict[str, str], *, order: list[str]) -> DataFrame:
+    """Writes a folder per embedding and an index; gives the index.
+
+    rows: video_path, sample_id, preprocess_key, fps, total_frames, frame_indices (array), embedding (array of a frame's vector each). Each row's
+    folder `embeddings/embedding_file=<name>` is named after its video, with a number where an earlier row (by order) has that name.
+    The index has the row's keys, file, count and shape; index.json has them all under the summary, as one record.
+    """
+    from framesift.functions import texts
+    from framesift.operators.naming import unique_names
+
+    base = F.coalesce(F.nullif(F.regexp_replace(texts.stem(F.col("video_path")), "[^0-9A-Za-z._-]", "_"), F.lit("")), F.lit("video"))
+    named = unique_names(rows.withColumn("_base", base), "_base", order, out="embedding_file").drop("_base")
+    shape = F.array(F.size("embedding"), F.coalesce(F.size(F.get("embedding", F.lit(0))), F.lit(0)))
+    named = named.withColumn("num_sampled_frames", F.size("frame_indices")).withColumn("embedding_shape", shape)
+    named.write.partitionBy("embedding_file").parquet(f"{path}/embeddings")
+    index = named.select("video_path", "sample_id", "preprocess_key", "embedding_file", "num_sampled_frames", "fps", "total_frames", "embedding_shape")
+    index.write.json(f"{path}/index")
+    counts = index.agg(F.count(F.lit(1)).alias("num_videos_success"))
+    counts.select(*[F.lit(v).alias(k) for k, v in summary.items()], "num_videos_success").coalesce(1).write.json(f"{path}/index.json")
+    return rows.sparkSession.read.schema(index.schema).json(f"{path}/index")

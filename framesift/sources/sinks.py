@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.sources.logs import append_log
+
 #: Fixed columns of the run log.
 RUN_COLUMNS = [
     "timestamp", "dataset", "seed", "task_filter", "num_samples", "correct_count", "accuracy_percent", "num_frames", "avg_inference_time",
@@ -15,18 +17,9 @@ RUN_COLUMNS = [
 ]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def append_csv(rows: DataFrame, path: str) -> bool:
-    """Appends; where the folder's header has other columns nothing is written and False comes back."""
-    spark = rows.sparkSession
-    if _exists(spark, path) and spark.read.csv(path, header=True).columns != rows.columns:
-        return False
-    rows.write.mode("append").csv(path, header=True)
-    return True
+    """Appends to a log (sources.logs) as a whole; where its header has other columns nothing is written and False comes back."""
+    return append_log(rows, path)
 
 
 def run_log(rows: DataFrame) -> DataFrame:
