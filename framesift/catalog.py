@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesift.plans import ORACLES, QUERIES, agents, analytics, files, joins, sampling, scoring, selection  # noqa: F401  (they register)
+from framesift.plans import ORACLES, QUERIES, agents, analytics, files, joins, onepass, sampling, scoring, selection  # noqa: F401  (they register)
 
 
 def queries():

@@ -25,9 +25,27 @@ def missing(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
 
 
 def cache_state(wanted: DataFrame, cached: DataFrame, key: str, value: str) -> DataFrame:
-    """state: hit, empty (an entry without content) or miss."""
-    joined = wanted.join(cached.withColumn("cached_here", F.lit(True)), key, "left")
-    return joined.withColumn("state", F.when(F.col("cached_here").isNull(), "miss").when(F.size(value) > 0, "hit").otherwise("empty")).drop("cached_here")
+    """state: hit, empty (an entry without content) or miss. Of several entries with a key one with content counts, the least of them."""
+    entries = cached.groupBy(key).agg(F.min(F.struct((~F.coalesce(F.size(value) > 0, F.lit(False))).alias("bare"), *[c for c in cached.columns if c != key])).alias("entry"))
+    joined = wanted.join(entries, key, "left")
+    state = F.when(F.col("entry").isNull(), "miss").when(F.col("entry.bare"), "empty").otherwise("hit")
+    return joined.select(*wanted.columns, *[F.col(f"entry.{c}").alias(c) for c in cached.columns if c != key], state.alias("state"))
+
+
+def step_lookup(values: DataFrame, steps: DataFrame, *, by: list[str], value: str, step: str, out: str, last: bool = True) -> DataFrame:
+    """values plus `out` of the greatest step not above their value; where none fits that of the least step (last), or null.
+
+    An as-of join: steps (by, step, out) and values stand in one order, and each value takes the step before it. No value meets every step. Null values
+    have no step; of equal steps the least `out` counts.
+    """
+    w = Window.partitionBy(*by).orderBy("_at", "_kind")
+    both = steps.groupBy(*by, F.col(step).alias("_at")).agg(F.min(out).alias("_step")).withColumn("_kind", F.lit(0))
+    rows = values.withColumn("_at", F.col(value)).withColumn("_kind", F.lit(1))
+    together = both.unionByName(rows, allowMissingColumns=True)
+    before = F.last("_step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    least = F.first("_step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = together.withColumn(out, F.when(F.col("_at").isNotNull(), F.coalesce(before, least) if last else before))
+    return found.where("_kind = 1").select(*values.columns, out)
 
 
 def require_cached(state: DataFrame, key: str, examples: int = 5) -> DataFrame:

@@ -60,6 +60,39 @@ def time_bins(frames: DataFrame, bins: int, *, keys: list[str], pos: str = "pos"
     return frames.select(*keys, F.rint(at).cast("bigint").alias("bin")).distinct()
 
 
+#: Positions of one bitmap.
+BITMAP_BINS = 32_768
+
+
+def rasters(frames: DataFrame, spine: DataFrame, bins: int, *, keys: list[str], pos: str = "pos", total: str = "n_frames") -> DataFrame:
+    """A row for each row of spine (keys): keys, bits (a bitmap of the bins that hold a frame), filled (how many do). Samples without a frame have none set.
+
+    Bins are summed up as bitmaps, first per task: what is exchanged is at most 4 KB for each sample and task, however many frames there are.
+    """
+    if not 0 < bins <= BITMAP_BINS:
+        raise ValueError(f"bins must be from 1 to {BITMAP_BINS}")
+    at = F.coalesce(F.try_divide(F.col(pos), F.col(total) - 1), F.lit(0.0)) * (bins - 1)
+    marked = frames.groupBy(*keys).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.rint(at).cast("bigint") + 1)).alias("bits"))
+    found = spine.select(*keys).distinct().join(marked, keys, "left")
+    return found.select(*keys, "bits", F.coalesce(F.bitmap_count("bits"), F.lit(0)).cast("bigint").alias("filled"))
+
+
+def dense(bits: Column, bins: int) -> Column:
+    """A bitmap as an array of 0 and 1, all 0 for null."""
+
+    def bit(i: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(bits, F.shiftright(i, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.getbit(byte, i % 8).cast("int"), F.lit(0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), bit)
+
+
+def bin_densities(rastered: DataFrame, bins: int, *, by: list[str]) -> DataFrame:
+    """by, bin, density: the share of samples that have a frame in a bin."""
+    spread = rastered.select(*by, F.posexplode(dense(F.col("bits"), bins)).alias("bin", "bit"))
+    return spread.groupBy(*by, F.col("bin").cast("bigint").alias("bin")).agg(F.round(F.avg("bit"), 6).alias("density"))
+
+
 def schedule(videos: DataFrame, step: int, *, keys: list[str], total: str = "n_frames") -> DataFrame:
     """Round sizes step, 2 step, ... with the total as the last."""
     rounds = F.when(F.col(total) > 0, F.concat(F.when(F.col(total) > step, F.sequence(F.lit(step).cast("bigint"), F.col(total) - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), F.array(F.col(total))))
@@ -94,3 +127,15 @@ def caption_frame(caption: Column, n_captions: Column, n_frames: Column) -> Colu
 def scaled_size(width: Column, height: Column, scale: Column) -> Column:
     """struct(width, height) after scaling, at least 1 each."""
     return F.struct(*[F.greatest(F.rint(side * scale), F.lit(1.0)).cast("bigint").alias(name) for name, side in (("width", width), ("height", height))])
+
+
+def bounded_size(width: Column, height: Column, edge: Column) -> Column:
+    """struct(width, height) scaled down, truncated, so that the longer side is at most edge; as it is where there is no edge or it fits."""
+    scale = edge / F.greatest(width, height).cast("double")
+    small = F.struct(*[F.greatest(F.floor(side * scale), F.lit(1)).cast("bigint").alias(name) for name, side in (("width", width), ("height", height))])
+    return F.when(edge < F.greatest(width, height), small).otherwise(F.struct(width.cast("bigint").alias("width"), height.cast("bigint").alias("height")))
+
+
+def tokens_per_frame(n_frames: Column, *, context: int, reserve: int) -> Column:
+    """Whole tokens of a context that are left for each frame."""
+    return F.floor(F.lit(context - reserve) / F.greatest(n_frames, F.lit(1))).cast("bigint")

@@ -20,18 +20,18 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 
 def seeded_split(rows: DataFrame, ratio: float, seed: int, key: str) -> DataFrame:
-    """Adds is_train: exactly int(n ratio) rows, those with the smallest hashes.
+    """Adds is_train: exactly int(n ratio) of n distinct keys, those with the smallest hashes. All rows of a key are on one side.
 
-    No global order: hashes are counted in 16**BUCKET_DIGITS buckets, whole buckets fall on one side of the cut, and only
-    the rows of the one bucket that the cut goes through are ranked. Keys should be distinct.
+    No global order: distinct hashes are counted in 16**BUCKET_DIGITS buckets, whole buckets fall on one side of the cut, and only
+    the rows of the one bucket that the cut goes through are ranked.
     """
     hashed = rows.withColumn("split_hash", digest(seed, F.col(key))).withColumn("split_bucket", F.substring("split_hash", 1, BUCKET_DIGITS))
-    counts = hashed.groupBy("split_bucket").agg(F.count(F.lit(1)).alias("split_n"))
+    counts = hashed.groupBy("split_bucket").agg(F.count_distinct("split_hash").alias("split_n"))
     along = Window.orderBy("split_bucket")
     counts = counts.select("split_bucket", "split_n", (F.sum("split_n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("split_n")).alias("split_before"), F.floor(F.sum("split_n").over(Window.partitionBy(F.lit(1))) * F.lit(ratio)).alias("split_cut"))
     placed = hashed.join(F.broadcast(counts), "split_bucket")  # at most 16**BUCKET_DIGITS rows
     through = (F.col("split_before") < F.col("split_cut")) & (F.col("split_before") + F.col("split_n") > F.col("split_cut"))
-    inside = placed.where(through).withColumn("is_train", F.row_number().over(Window.partitionBy("split_bucket").orderBy("split_hash", key)) + F.col("split_before") <= F.col("split_cut"))
+    inside = placed.where(through).withColumn("is_train", F.dense_rank().over(Window.partitionBy("split_bucket").orderBy("split_hash")) + F.col("split_before") <= F.col("split_cut"))
     whole = placed.where(~through).withColumn("is_train", F.col("split_before") + F.col("split_n") <= F.col("split_cut"))
     extra = ["split_hash", "split_bucket", "split_n", "split_before", "split_cut"]
     return whole.unionByName(inside).drop(*extra)

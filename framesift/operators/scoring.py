@@ -71,6 +71,50 @@ def accuracy(tallied: DataFrame, kind: str) -> DataFrame:
     return tallied.withColumn("accuracy", F.round(F.coalesce(F.try_divide(100.0 * top, bottom), F.lit(0.0)), 6))
 
 
+#: Filters that aren't a task's name.
+FILTERS = ("all", "mcq", "generation", "numeric")
+
+
+def filters_of(options: Column, task: Column) -> Column:
+    """Array of the filters that a sample passes: all, by its options, and its task's name (unless that is a filter's name itself)."""
+    has = options.isNotNull()
+    kinds = F.when(has, F.array(F.lit("all"), F.lit("mcq"))).otherwise(F.array(F.lit("all"), F.lit("generation"), F.lit("numeric")))
+    named = F.when(task.isNotNull() & ~F.lower(task).isin(*FILTERS), F.array(task)).otherwise(F.array().cast("array<string>"))
+    return F.concat(kinds, named)
+
+
+def accuracies(rows: DataFrame, *, unparsed: str = "skip", options: str = "options", task: str = "task_type") -> DataFrame:
+    """wanted, correct, n_mcq, mra_sum, n_numeric, accuracy for every filter that a sample passes, in one pass over the samples.
+
+    rows as for tally(), with the options and the task. The samples are read once and become a row for each filter inside the task that
+    reads them; partial sums by filter are all that is exchanged.
+    """
+    spread = rows.withColumn("wanted", F.explode(filters_of(F.col(options), F.col(task))))
+    tallied = tally(spread, ["wanted"], unparsed=unparsed)
+
+    def share(top: Column, bottom: Column) -> Column:
+        return F.round(F.coalesce(F.try_divide(100.0 * top, bottom), F.lit(0.0)), 6)
+
+    both = share(F.col("correct") + F.col("mra_sum"), F.col("n_mcq") + F.col("n_numeric"))
+    kind = F.when(F.col("wanted") == "generation", F.lit(0.0)).when(F.col("wanted") == "numeric", share(F.col("mra_sum"), F.col("n_numeric"))).when(F.col("wanted") == "all", both)
+    return tallied.withColumn("accuracy", kind.otherwise(share(F.col("correct"), F.col("n_mcq"))))
+
+
+def ablation_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each configuration: keys, num_samples, topk_alignment_percent, avg_jaccard, accuracies in percent and counts of both selections.
+
+    rows: keys, same_frame_percent, jaccard, coverage_correct, topk_correct (0 or 1).
+    """
+    right = {c: F.coalesce(F.sum(f"{c}_correct"), F.lit(0)).cast("bigint") for c in ("coverage", "topk")}
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("num_samples"),
+        F.round(safe_mean("same_frame_percent"), 6).alias("topk_alignment_percent"),
+        F.round(safe_mean("jaccard"), 6).alias("avg_jaccard"),
+        *[F.round(100.0 * n / F.count(F.lit(1)), 6).alias(f"{c}_accuracy_percent") for c, n in right.items()],
+        *[n.alias(f"{c}_correct") for c, n in right.items()],
+    )
+
+
 def confidence_bins(rows: DataFrame, *, prob: str = "prob", correct: str = "correct", bins: int = 10, means: tuple[str, ...] = ()) -> DataFrame:
     """Right-closed equal bins, the first closed on both sides; empty bins stay: bin, n, accuracy, mean_prob, and mean_x for further columns x."""
     spark = rows.sparkSession
@@ -100,15 +144,23 @@ def compare_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def overlap_matrix(selected: DataFrame, budget: int, *, config: str = "config", sample: str = "video", frame: str = "frame_id") -> DataFrame:
-    """Mean overlap (of the budget) of every two configurations over their samples. A join of frames, so no sample's sets are paired in memory."""
+def overlap_matrix(selected: DataFrame, budget: int, *, config: str = "config", sample: str = "video", frame: str = "frame_id", spine: DataFrame | None = None) -> DataFrame:
+    """Mean overlap (of the budget) of every two configurations over their samples. A join of frames, so no sample's sets are paired in memory.
+
+    spine: the pairs of configuration and sample that there are. A pair without a frame is an empty selection; two of those overlap wholly (1).
+    Without a spine only pairs with frames count.
+    """
     sets = selected.select(config, sample, frame).distinct()
     a, b = sets.alias("a"), sets.alias("b")
     shared = a.join(b, [sample, frame]).groupBy(F.col(f"a.{config}").alias("config_a"), F.col(f"b.{config}").alias("config_b"), sample).agg((F.count(F.lit(1)) / float(budget)).alias("share"))
-    names = sets.select(config, sample).distinct()
+    names = sets.select(config, sample).distinct().withColumn("filled", F.lit(True))
+    if spine is not None:
+        names = spine.select(config, sample).distinct().join(names, [config, sample], "left")
     x, y = names.alias("x"), names.alias("y")
-    every = x.join(y, sample).select(F.col(f"x.{config}").alias("config_a"), F.col(f"y.{config}").alias("config_b"), sample)
-    return every.join(shared, ["config_a", "config_b", sample], "left").groupBy("config_a", "config_b").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.avg(F.coalesce("share", F.lit(0.0))), 4).alias("mean_overlap"))
+    neither = F.coalesce("x.filled", "y.filled").isNull()
+    every = x.join(y, sample).select(F.col(f"x.{config}").alias("config_a"), F.col(f"y.{config}").alias("config_b"), sample, neither.alias("neither"))
+    overlap = F.when(F.col("neither"), 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
+    return every.join(shared, ["config_a", "config_b", sample], "left").groupBy("config_a", "config_b").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.avg(overlap), 4).alias("mean_overlap"))
 
 
 def common_samples(rows: DataFrame, *, config: str, sample: str) -> DataFrame:

@@ -75,39 +75,130 @@ def pick_inverse_transform(scored: DataFrame, k: int, power: float = 1.0) -> Dat
     return in_time_order(_at(scored, places), "pos", "i")
 
 
-def pick_recursive_segments(scored: DataFrame, k: int, *, ratio: int = 1, t1: float = 0.8, t2: float = -100.0, max_depth: int = 5) -> DataFrame:
-    """Halves segments until their best frames stand out, then takes the best int(k / 2^depth) of each.
+def _segmented(scored: DataFrame, k: int, *, ratio: int, t1: float, t2: float, max_depth: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The frames of a pool with their place (at), the pool's size (m), z, and the segment (first, last, depth, done) that they end in.
 
-    Every ratio-th frame counts. A segment is done if (mean of its k best - mean) > t1 and its standard deviation > t2, or at
-    depth min(max_depth, floor(log2 k)). So fewer than k come out where k is no power of two. A pool below k is taken whole.
-    Levels are unrolled: each is one aggregation over a video's segments.
+    `path` has the segments on the way there, from the whole pool down: first, last, depth, mean, top (mean of its k best), deviation, done. Levels are
+    unrolled: each is windows over a video's segments, so the video's rows are exchanged once for all of them.
     """
     pool = scored.where((F.col("pos") % ratio == 0) & (F.col("pos") < F.expr(f"(n div {ratio}) * {ratio}")))
     w = Window.partitionBy(SAMPLE).orderBy("pos")
     pool = pool.withColumn("at", (F.row_number().over(w) - 1).cast("bigint")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(SAMPLE)))
     pool = ranking.min_max(pool).withColumn("z", F.round("scaled", 9))
-    rows = pool.select(SAMPLE, "frame_id", "at", "m", "z", F.lit(0).cast("bigint").alias("first"), F.col("m").alias("last"), F.lit(0).alias("depth"), F.lit(False).alias("done"))
+    kept = (SAMPLE, "frame_id", "at", "m", "z", *carry)
+    empty = F.array().cast("array<struct<first:bigint,last:bigint,depth:int,mean:double,top:double,deviation:double,done:boolean>>")
+    rows = pool.select(*kept, F.lit(0).cast("bigint").alias("first"), F.col("m").alias("last"), F.lit(0).alias("depth"), F.lit(False).alias("done"), empty.alias("path"))
     levels = min(max_depth, max(0, k.bit_length() - 1))
     segment = Window.partitionBy(SAMPLE, "first", "last")
-    for _ in range(levels):
+    for level in range(levels + 1):
         best = F.row_number().over(segment.orderBy(F.col("z").desc(), "at"))
-        rows = rows.withColumn("top", F.when(best <= k, F.col("z")))
-        stands_out = (F.round(F.avg("top").over(segment) - F.avg("z").over(segment), 9) > t1) & (F.round(F.stddev_pop("z").over(segment), 9) > t2)
-        rows = rows.withColumn("done", F.col("done") | stands_out | (F.col("last") - F.col("first") < 2))
+        rows = rows.withColumn("best", F.when(best <= k, F.col("z")))
+        rows = rows.withColumn("mean", F.avg("z").over(segment)).withColumn("top", F.avg("best").over(segment)).withColumn("deviation", F.round(F.stddev_pop("z").over(segment), 9))
+        stands_out = (F.round(F.col("top") - F.col("mean"), 9) > t1) & (F.col("deviation") > t2)
+        open_ = ~F.col("done")
+        ends = F.lit(True) if level == levels else F.col("done") | stands_out | (F.col("last") - F.col("first") < 2)
+        step = F.struct("first", "last", "depth", F.round("mean", 9).alias("mean"), F.round("top", 9).alias("top"), "deviation", ends.alias("done"))
+        rows = rows.withColumn("path", F.when(open_, F.concat("path", F.array(step))).otherwise(F.col("path"))).withColumn("done", ends)
+        if level == levels:
+            break
         middle = F.col("first") + F.expr("(last - first) div 2")
         left = F.col("at") < middle
         rows = rows.select(
-            SAMPLE, "frame_id", "at", "m", "z",
+            *kept,
             F.when(F.col("done") | left, F.col("first")).otherwise(middle).alias("first"),
             F.when(F.col("done") | ~left, F.col("last")).otherwise(middle).alias("last"),
             F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
             "done",
+            "path",
         )
-    rank = F.row_number().over(segment.orderBy(F.col("z").desc(), "at"))
+    return rows.select(*kept, "first", "last", "depth", "path")
+
+
+def _segment_share(rows: DataFrame, k: int, out: str) -> DataFrame:
+    """rows with `out`: 1 for the frames that their segments give, null for others; a pool below k gives all."""
+    segment = Window.partitionBy(SAMPLE, "first", "last")
     share = F.floor(F.lit(k) / F.pow(F.lit(2.0), "depth"))
-    picked = rows.withColumn("r", rank).where((F.col("m") < k) | (F.col("r") <= share))
-    order = F.row_number().over(Window.partitionBy(SAMPLE).orderBy("frame_id"))
-    return in_time_order(picked.withColumn("o", order).where(F.col("o") <= F.greatest(F.lit(k), F.lit(0))))
+    rows = rows.withColumn("given", F.when((F.col("m") < k) | (F.row_number().over(segment.orderBy(F.col("z").desc(), "at")) <= share), 1))
+    so_far = F.count("given").over(Window.partitionBy(SAMPLE).orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, F.when(F.col("given").isNotNull() & (so_far <= max(k, 0)), 1)).drop("given")
+
+
+def pick_recursive_segments(scored: DataFrame, k: int, *, ratio: int = 1, t1: float = 0.8, t2: float = -100.0, max_depth: int = 5) -> DataFrame:
+    """Halves segments until their best frames stand out, then takes the best int(k / 2^depth) of each.
+
+    Every ratio-th frame counts. A segment is done if (mean of its k best - mean) > t1 and its standard deviation > t2, or at
+    depth min(max_depth, floor(log2 k)). So fewer than k come out where k is no power of two. A pool below k is taken whole.
+    """
+    rows = _segmented(scored, k, ratio=ratio, t1=t1, t2=t2, max_depth=max_depth)
+    return in_time_order(_segment_share(rows, k, "picked").where("picked = 1"))
+
+
+def segment_tree(scored: DataFrame, k: int, *, ratio: int = 1, t1: float = 0.8, t2: float = -100.0, max_depth: int = 5) -> DataFrame:
+    """The segments that pick_recursive_segments goes through, a row each: video, depth, first, last (excluded), parent_first, parent_last,
+    mean, top, deviation, done. A pool below k isn't segmented."""
+    rows = _segmented(scored, k, ratio=ratio, t1=t1, t2=t2, max_depth=max_depth).where(F.col("m") >= k)
+    parent = F.get("path", F.col("i") - 1)
+    rows = rows.select(SAMPLE, "path", F.posexplode("path").alias("i", "node")).select(SAMPLE, "node.*", parent["first"].alias("parent_first"), parent["last"].alias("parent_last"))
+    return rows.distinct()
+
+
+def depth_histogram(tree: DataFrame) -> DataFrame:
+    """video, depth, n: how many segments ended at each depth."""
+    return tree.where("done").groupBy(SAMPLE, "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Eight selections: the rule, and the encoder by whose score it goes.
+METHODS = {
+    "uniform": ("uniform", None),
+    "aks-blip": ("segments", "blip"),
+    "aks-clip": ("segments", "clip"),
+    "bolt-clip": ("inverse", "clip"),
+    "bolt-siglip2": ("inverse", "siglip2"),
+    "clip-new": ("top", "clip"),
+    "blip-new": ("top", "blip"),
+    "siglip2-new": ("top", "siglip2"),
+}
+
+
+def select_methods(scored: DataFrame, k: int, methods: dict[str, tuple[str, str | None]] | None = None, *, power: float = 1.0, **segments) -> DataFrame:
+    """video, method, ord, frame_id: several selections of one pool at once, each equal to its own call.
+
+    scored: video, frame_id, pos (all from 0 to n - 1), n, and a column score_<encoder> for each encoder. Every rule says by windows over the
+    video how often it takes a frame, so the pool is read and exchanged once; only the frames taken become rows.
+    """
+    methods = METHODS if methods is None else methods
+    rows, taken = scored, {}
+    base = scored.columns
+    for name, (rule, encoder) in methods.items():
+        mark = f"times_{len(taken)}"
+        own = [*base, *taken.values()]
+        if encoder is not None:
+            rows = rows.withColumn("score", F.col(f"score_{encoder}"))
+        if rule == "uniform":
+            i = F.expr(f"(pos * {k} + n - 1) div n")
+            rows = rows.withColumn("i", i).withColumn(mark, F.when((F.col("i") < k) & (F.expr(f"(i * n) div {k}") == F.col("pos")), 1))
+        elif rule == "top":
+            rows = rows.withColumn(mark, F.when(F.row_number().over(ranking.best_first()) <= k, 1))
+        elif rule == "inverse":
+            mass = ranking.min_max(rows).withColumn("score", F.round(F.pow("scaled", F.lit(power)), 12))
+            cdf = ranking.cumulative_share(mass).withColumn("cdf", F.round("cdf", 9))
+            before = F.coalesce(F.lag("cdf").over(Window.partitionBy(SAMPLE).orderBy("pos")), F.lit(-1.0))
+            low, high = 1 / k, 1 - 1 / k
+            points = F.array(*[F.round(F.lit(low) + F.lit(i) * F.lit((high - low) / max(1, k - 1)), 9) for i in range(k)])
+            rows = cdf.withColumn("before", before)
+            rows = rows.withColumn(mark, F.size(F.filter(points, lambda u: (u > F.col("before")) & ((u <= F.col("cdf")) | (F.col("pos") == F.col("n") - 1)))))
+        elif rule == "segments":
+            settings = {"ratio": 1, "t1": 0.8, "t2": -100.0, "max_depth": 5} | segments
+            rows = _segment_share(_segmented(rows, k, carry=tuple(c for c in own if c not in (SAMPLE, "frame_id")), **settings), k, mark)
+        else:
+            raise ValueError(f"unknown rule {rule!r}")
+        taken[name] = mark
+        rows = rows.select(*own, mark)
+    each = F.array(*[F.struct(F.lit(name).alias("method"), F.coalesce(F.col(mark), F.lit(0)).alias("times")) for name, mark in taken.items()])
+    chosen = rows.select(SAMPLE, "frame_id", F.explode(F.filter(each, lambda x: x["times"] > 0)).alias("x"))
+    chosen = chosen.select(SAMPLE, "frame_id", "x.method", F.explode(F.sequence(F.lit(1), F.col("x.times"))).alias("copy"))
+    w = Window.partitionBy(SAMPLE, "method").orderBy("frame_id", "copy")
+    return chosen.select(SAMPLE, "method", (F.row_number().over(w) - 1).cast("bigint").alias("ord"), "frame_id")
 
 
 def pick_coarse_to_fine(scored: DataFrame, k: int, *, coarse: int = 32, anchors: int = 8, local: int = 8, extras: int = 3, seed: int = 0) -> DataFrame:
@@ -165,8 +256,11 @@ def local_evidence(sims: DataFrame) -> DataFrame:
     """video, kw_id, phi: Hoyer sparsity of a keyword's similarities above their lower median, 0 to 1."""
     keys = [SAMPLE, "kw_id"]
     clamped = sims.withColumn("s", F.greatest("sim", F.lit(0.0)))
-    median = clamped.groupBy(*keys).agg(F.expr("percentile_disc(0.5) within group (order by s)").alias("median"))
-    z = clamped.join(median, keys).withColumn("z", F.greatest(F.col("s") - F.col("median"), F.lit(0.0)))
+    w = Window.partitionBy(*keys)
+    place, count = F.row_number().over(w.orderBy("s")), F.count(F.lit(1)).over(w)
+    ranked = clamped.withColumn("place", place).withColumn("n_all", count)
+    median = F.max(F.when(F.col("place") == F.expr("(n_all + 1) div 2"), F.col("s"))).over(w)
+    z = ranked.withColumn("z", F.greatest(F.col("s") - median, F.lit(0.0)))
     sums = z.groupBy(*keys).agg(F.sum("z").alias("l1"), F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("l2"), F.sqrt(F.count(F.lit(1)).cast("double")).alias("root"))
     phi = F.coalesce(F.try_divide(F.col("root") - F.try_divide(F.col("l1"), F.col("l2")), F.col("root") - 1), F.lit(0.0))
     return sums.select(*keys, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), phi)), 9).alias("phi"))
