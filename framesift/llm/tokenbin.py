@@ -1,19 +1,19 @@
 """Token ids as compressed binary shards: a static range asymmetric numeral system (rANS).
 
 One frequency table, counted over the whole corpus, is shared by all blocks. A block holds whole
-documents, about BLOCK_IDS ids or one longer document; it is coded on its own by LANES interleaved
-coders, so that numpy steps all lanes at once and any reader can start at any block. Inside a block a
-checkpoint each CHECKPOINT_STEPS steps keeps every lane's state and the place in the stream, so that parts of a
-long block decode in parallel too, and a CRC-32 of the ids follows each checkpoint's part.
+documents, about BLOCK_IDS ids or one longer document, and any reader can start at any block. Inside a block each part
+of lanes x steps ids (16 in a full block) is coded on its own by interleaved coders: its checkpoint has every lane's state and the place
+in the stream, and a CRC-32 of its ids. So parts decode alone (decode_range) or all together: numpy steps all lanes of all parts at once.
 
 A block, little-endian:
 
-    magic b"FSB1", lanes u32, n_ids u64, n_parts u32, n_words u32, n_docs u32,
+    magic b"FSB2", lanes u32, steps u32, n_ids u64, n_parts u32, n_words u32, n_docs u32,
     doc lengths u32[n_docs], part CRCs u32[n_parts], part word offsets u32[n_parts],
     part states u64[n_parts, lanes], words u32[n_words]
 
-Id i is coded by lane i % lanes at step i // lanes. Coding runs backwards and decoding forwards, as
-rANS is last in, first out. Each lane has a 64-bit state of at least 2^31 and exchanges 32-bit words.
+Id i of a part is coded by lane i % lanes at step i // lanes. Coding runs backwards and decoding forwards, as
+rANS is last in, first out. Each lane has a 64-bit state of at least 2^31 and exchanges 32-bit words. Short blocks have fewer lanes, so that
+states stay a small part of them.
 
 Shards are written through Spark (a Parquet container with a row for each block), so any store that Spark
 writes serves, and its commit protocol makes shards whole when executors are lost.
@@ -40,15 +40,16 @@ from pyspark.sql import functions as F
 from framesift.llm.common import releasing, remove, text_batches, work_path
 
 END_ID = 2
-BLOCK_IDS = 1 << 18
-LANES = 4096
-CHECKPOINT_STEPS = 1 << 8
+BLOCK_IDS = 1 << 20
+#: Lanes of a full block, the fewest, and ids of a block for each lane.
+LANES, LEAST_LANES, IDS_A_LANE = 128, 4, 1 << 10
+CHECKPOINT_STEPS = 1 << 9
 PRECISION = 20
 #: Bytes of packed ids counted at once.
 COUNT_BYTES = 1 << 22
 LOWER = 1 << 31
-MAGIC = b"FSB1"
-HEAD = "<4sIQIII"
+MAGIC = b"FSB2"
+HEAD = "<4sIIQIII"
 #: Words kept by each of the two generations of a task's tokenizing cache, and the longest word kept.
 CACHE_WORDS, CACHE_CHARS = 1 << 19, 64
 #: White space of Python's split() that the tokenizer takes for ordinary characters.
@@ -92,10 +93,10 @@ class _Words(dict):
     other file every text goes through the library whole. A full cache becomes the old one, whose words come back when they are met.
     """
 
-    def __init__(self, tokenizer, cache_words: int = CACHE_WORDS):
+    def __init__(self, tokenizer, cache_words: int | None = None):
         import regex
 
-        self.cache_words = cache_words
+        self.cache_words = cache_words or CACHE_WORDS
 
         self.tokenizer, self.model = tokenizer, tokenizer.model
         # Each part's own state: the whole file's would hold the vocabulary as well.
@@ -212,86 +213,134 @@ class Table:
         self.slots = np.repeat(ids, freq).astype(np.uint32)
 
 
-def encode_block(ids: np.ndarray, lengths: np.ndarray, table: Table, lanes: int = LANES, steps: int = CHECKPOINT_STEPS) -> bytes:
+def lanes_for(n: int) -> int:
+    return max(LEAST_LANES, min(LANES, n // IDS_A_LANE))
+
+
+def encode_block(ids: np.ndarray, lengths: np.ndarray, table: Table, lanes: int | None = None, steps: int = CHECKPOINT_STEPS) -> bytes:
+    """lanes: by the count of ids, unless given."""
     n = len(ids)
+    lanes = lanes or lanes_for(n)
     per_part = lanes * steps
-    n_parts = max(1, -(-n // per_part))
+    whole = n // per_part
+    made = [encode_parts(ids[: whole * per_part], whole, lanes, table)] if whole else []
+    if n > whole * per_part or not n:
+        made.append(encode_parts(ids[whole * per_part :], 1, lanes, table))  # the rest, a shorter part
+    states = np.concatenate([s for s, _, _ in made])
+    counts = np.concatenate([c for _, c, _ in made])
+    words = np.concatenate([w for _, _, w in made])
+    crcs = np.array([zlib.crc32(ids[at : at + per_part].astype("<u4").tobytes()) for at in range(0, max(n, 1), per_part)], dtype="<u4")
+    offsets = (np.cumsum(counts) - counts).astype("<u4")
+    head = struct.pack(HEAD, MAGIC, lanes, steps, n, len(crcs), len(words), len(lengths))
+    return b"".join([head, lengths.astype("<u4").tobytes(), crcs.tobytes(), offsets.tobytes(), states.astype("<u8").tobytes(), words.astype("<u4").tobytes()])
+
+
+def encode_parts(ids: np.ndarray, parts: int, lanes: int, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of equal length, side by side: (states by part and lane, count of words by part, words part by part)."""
+    own = ids.reshape(parts, -1)
     shift, limit = np.uint64(table.precision), np.uint64(63 - table.precision)
     whole = np.uint64(1 << table.precision)
-    states = np.empty((n_parts, lanes), dtype="<u8")
-    crcs = np.empty(n_parts, dtype="<u4")
-    parts: list[np.ndarray] = []
-    for p in range(n_parts):
-        own = ids[p * per_part : (p + 1) * per_part]
-        crcs[p] = zlib.crc32(own.astype("<u4").tobytes())
-        freq, base = table.freq[own], table.base[own]
-        bound = freq << limit
-        x = np.full(lanes, LOWER, dtype=np.uint64)
-        out: list[np.ndarray] = []
-        for at in range((len(own) - 1) // lanes * lanes if len(own) else -1, -1, -lanes):
-            f, b = freq[at : at + lanes], base[at : at + lanes]
-            live = x[: len(f)]
-            full = np.flatnonzero(live >= bound[at : at + lanes])
-            if len(full):
-                high = live[full]
-                out.append(high.astype("<u4"))  # the low word
-                live[full] = high >> np.uint64(32)
-            quotient = live // f
-            # q << shift | x % f, plus base: with r = x - q * f, x + q * (2**shift - f) + base
-            live += quotient * (whole - f)
-            live += b
-        states[p] = x
-        parts.append(np.concatenate(out[::-1]) if out else np.zeros(0, dtype="<u4"))
-    offsets = np.cumsum([0] + [len(w) for w in parts])
-    head = struct.pack(HEAD, MAGIC, lanes, n, n_parts, int(offsets[-1]), len(lengths))
-    return b"".join([head, lengths.astype("<u4").tobytes(), crcs.tobytes(), offsets[:-1].astype("<u4").tobytes(), states.tobytes(), *[w.astype("<u4").tobytes() for w in parts]])
-
-
-def decode_block(block: bytes, table: Table, steps: int = CHECKPOINT_STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(ids as u32, document lengths); raises ValueError where a checksum doesn't hold."""
-    magic, lanes, n, n_parts, n_stream, n_docs = struct.unpack_from(HEAD, block)
-    if magic != MAGIC:
-        raise ValueError("not a block")
-    at = struct.calcsize(HEAD)
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        found = np.frombuffer(block, dtype=kind, count=count, offset=at)
-        at += found.nbytes
-        return found
-
-    lengths, crcs, offsets = take("<u4", n_docs), take("<u4", n_parts), take("<u4", n_parts)
-    states = take("<u8", n_parts * lanes).reshape(n_parts, lanes)
-    stream = take("<u4", n_stream)
-    per_part = lanes * steps
-    ids = np.empty(n, dtype=np.uint32)
-    for p in range(n_parts):
-        own = ids[p * per_part : (p + 1) * per_part]
-        last = decode_part(own, states[p], stream[int(offsets[p]) :], table, lanes)
-        if zlib.crc32(own.astype("<u4").tobytes()) != int(crcs[p]) or (last != LOWER).any():
-            raise ValueError(f"checksum of part {p} doesn't hold")
-    return ids, lengths
+    x = np.full((parts, lanes), LOWER, dtype=np.uint64)
+    words: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    last = own.shape[1] - 1
+    for at in range(last // lanes * lanes if last >= 0 else -1, -1, -lanes):
+        now = own[:, at : at + lanes]
+        f, live = table.freq[now], x[:, : now.shape[1]]
+        full = live >= f << limit
+        part, lane = np.nonzero(full)
+        if len(part):
+            high = live[part, lane]
+            words.append(high.astype("<u4"))  # the low word
+            owners.append(part)
+            live[part, lane] = high >> np.uint64(32)
+        quotient = live // f
+        # q << shift | x % f, plus base: with r = x - q * f, x + q * (2**shift - f) + base
+        live += quotient * (whole - f)
+        live += table.base[now]
+    if not words:
+        return x, np.zeros(parts, dtype=np.int64), np.zeros(0, dtype="<u4")
+    owner = np.concatenate(owners[::-1])
+    return x, np.bincount(owner, minlength=parts), np.concatenate(words[::-1])[np.argsort(owner, kind="stable")]
+
+
+class Block:
+    """A block's head and arrays; raises ValueError where it is none."""
+
+    def __init__(self, data: bytes):
+        if len(data) < struct.calcsize(HEAD) or data[:4] != MAGIC:
+            raise ValueError("not a block")
+        _, self.lanes, self.steps, self.n, self.n_parts, n_words, n_docs = struct.unpack_from(HEAD, data)
+        at = struct.calcsize(HEAD)
+        arrays = []
+        for kind, count in (("<u4", n_docs), ("<u4", self.n_parts), ("<u4", self.n_parts), ("<u8", self.n_parts * self.lanes), ("<u4", n_words)):
+            arrays.append(np.frombuffer(data, dtype=kind, count=count, offset=at))
+            at += arrays[-1].nbytes
+        self.lengths, self.crcs, self.offsets, states, self.stream = arrays
+        self.states = states.reshape(self.n_parts, self.lanes)
+        self.per_part = self.lanes * self.steps
+
+    def decode(self, first: int, last: int, table: Table) -> np.ndarray:
+        """The ids of parts first to last (excluded), from their checkpoints."""
+        begin, end = first * self.per_part, min(last * self.per_part, self.n)
+        whole = min(last, self.n // self.per_part) - first  # of full length
+        made = [decode_parts(self.states[first : first + whole], self.offsets[first : first + whole], self.stream, self.per_part, table)] if whole > 0 else []
+        if (rest := end - begin - max(whole, 0) * self.per_part) > 0 or not self.n:
+            made.append(decode_parts(self.states[last - 1 : last], self.offsets[last - 1 : last], self.stream, rest, table))
+        ids = np.concatenate([m.reshape(-1) for m, _ in made])
+        for p in range(first, last):
+            own = ids[(p - first) * self.per_part : (p - first + 1) * self.per_part]
+            if zlib.crc32(own.astype("<u4").tobytes()) != int(self.crcs[p]):
+                raise ValueError(f"checksum of part {p} doesn't hold")
+        if any((x != LOWER).any() for _, x in made):
+            raise ValueError("a part doesn't end in the state that coding began with")
+        return ids
 
 
-def decode_part(own: np.ndarray, state: np.ndarray, stream: np.ndarray, table: Table, lanes: int) -> np.ndarray:
-    """Fills own from one checkpoint: its lanes' states and the stream from its offset on. Gives the last states, those that coding began with."""
+def decode_parts(states: np.ndarray, offsets: np.ndarray, stream: np.ndarray, length: int, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of equal length, side by side: (ids by part, last states, those that coding began with)."""
     shift, slot_mask = np.uint64(table.precision), np.uint64((1 << table.precision) - 1)
     word, lower = np.uint64(32), np.uint64(LOWER)
-    x, at = state.astype(np.uint64), 0
-    for i in range(0, len(own), lanes):
-        live = x[: min(lanes, len(own) - i)]
+    x, at = states.astype(np.uint64), offsets.astype(np.int64)[:, None] - 1
+    lanes = x.shape[1]
+    ids = np.empty((len(x), length), dtype=np.uint32)
+    for i in range(0, length, lanes):
+        live = x[:, : min(lanes, length - i)]
         slot = live & slot_mask
         found = table.slots[slot]
-        own[i : i + lanes] = found
+        ids[:, i : i + lanes] = found
         slot -= table.base[found]
         live >>= shift
         live *= table.freq[found]
         live += slot
-        short = np.flatnonzero(live < lower)
-        if k := len(short):
-            live[short] = (live[short] << word) | stream[at : at + k]
-            at += k
-    return x
+        short = live < lower
+        taken = short.cumsum(axis=1)
+        if taken[:, -1].any():
+            places = (taken + at)[short]
+            if places[-1] >= len(stream) or places.max() >= len(stream):
+                raise ValueError("a part reads beyond the stream")
+            live[short] = (live[short] << word) | stream[places]
+            at += taken[:, -1:]
+    return ids, x
+
+
+def decode_block(block: bytes, table: Table, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids as u32, document lengths); raises ValueError where a checksum doesn't hold. steps: what the block must have been coded with, if given."""
+    held = Block(block)
+    if steps not in (None, held.steps):
+        raise ValueError(f"the block has {held.steps} steps a part")
+    return held.decode(0, held.n_parts, table), held.lengths
+
+
+def decode_range(block: bytes, table: Table, start: int, count: int) -> np.ndarray:
+    """count ids from a place on: only the parts that hold them are decoded."""
+    held = Block(block)
+    if not 0 <= start <= start + count <= held.n:
+        raise ValueError(f"the block has {held.n} ids")
+    if not count:
+        return np.zeros(0, dtype=np.uint32)
+    first, last = start // held.per_part, -(-(start + count) // held.per_part)
+    return held.decode(first, last, table)[start - first * held.per_part :][:count]
 
 
 # ---- Spark
@@ -394,6 +443,27 @@ def write_shards(docs: DataFrame, out: str, *, id_col: str = "doc_id", text_col:
     remove(spark, f"{out}/ids")
 
 
+def read_documents(spark: SparkSession, out: str, wanted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """id, ids (binary, little-endian u32) of some documents: blocks are found by their lists of ids, and in each only the parts that hold a wanted
+    document are decoded. wanted is joined, not collected; a null id finds none."""
+    rows = spark.read.parquet(f"{out}/table").orderBy("token").collect()  # bounded by the vocabulary
+    shared = spark.sparkContext.broadcast((np.array([r["token"] for r in rows], dtype=np.int64), np.array([r["freq"] for r in rows], dtype=np.int64)))
+    ids = wanted.select(wanted[id_col].cast("long").alias("id")).distinct()
+    blocks = spark.read.parquet(f"{out}/blocks")
+    places = blocks.select("shard", "block", F.posexplode("docs").alias("at", "id")).join(ids, "id").groupBy("shard", "block").agg(F.collect_set("at").alias("places"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = Table(*shared.value)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ends = np.cumsum(Block(r.data).lengths.astype(np.int64))
+                for at in sorted(int(p) for p in r.places):
+                    n = int(ends[at] - (ends[at - 1] if at else 0))
+                    yield pd.DataFrame({"id": [int(r.docs[at])], "ids": [decode_range(r.data, table, int(ends[at]) - n, n).astype("<u4").tobytes()]})
+
+    return blocks.join(places, ["shard", "block"]).select("docs", "data", "places").mapInPandas(releasing(run), "id long, ids binary")
+
+
 def read_shards(spark: SparkSession, out: str) -> DataFrame:
     """Every document of the shards, decoded: id, start (ids before it), ids as binary (little-endian u32)."""
     return _decoded(spark, out, lambda ids: {"ids": ids.astype("<u4").tobytes()}, "ids binary")

@@ -342,6 +342,42 @@ def test_block_round_trip_and_checksum(n):
         assert len(block) < 4 * n
 
 
+def test_parts_decode_alone():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.geometric(0.002, tokenbin.BLOCK_IDS + 12_345), 40_000).astype(np.uint32)
+    table = tokenbin.Table(*tokenbin.normalized_frequencies({int(k): int(v) for k, v in zip(*np.unique(ids, return_counts=True), strict=True)}))
+    block = tokenbin.encode_block(ids, np.array([len(ids)]), table)
+    held = tokenbin.Block(block)
+    assert held.n_parts == 17 and held.states.nbytes < 0.02 * len(block)
+    per = held.per_part
+    for start, count in ((0, 1), (per - 1, 2), (3 * per, per), (5 * per + 7, 2 * per), (len(ids) - 3, 3), (len(ids), 0), (16 * per, 12_345)):
+        assert (tokenbin.decode_range(block, table, start, count) == ids[start : start + count]).all()
+    # Words of another part may be lost: part 9 decodes from its own checkpoint, and nothing else is read.
+    words = len(block) - held.stream.nbytes
+    broken = bytearray(block)
+    broken[words + 4 * int(held.offsets[2]) : words + 4 * int(held.offsets[4])] = bytes(4 * int(held.offsets[4] - held.offsets[2]))
+    assert (tokenbin.decode_range(bytes(broken), table, 9 * per, per) == ids[9 * per : 10 * per]).all()
+    for start in (2 * per, 3 * per):
+        with pytest.raises(ValueError):
+            tokenbin.decode_range(bytes(broken), table, start, per)
+    with pytest.raises(ValueError):
+        tokenbin.decode_range(block, table, len(ids), 1)
+    with pytest.raises(ValueError):
+        tokenbin.decode_block(b"FSB1" + bytes(100), table)
+    short = tokenbin.encode_block(ids[:3000], np.array([3000]), table)
+    assert len(short) < 6000 and (tokenbin.decode_block(short, table)[0] == ids[:3000]).all()
+
+
+def test_documents_are_read_by_their_parts(spark, make, tmp_path):
+    texts = [prose(n) for n in (5, 900, 20, 3000)] + [None]
+    ids = [9, 2, 7, 5, None]
+    out = str(tmp_path / "o")
+    tokenbin.write_shards(make(texts, ids=ids), out)
+    every = {r["id"]: r["ids"] for r in tokenbin.read_shards(spark, out).collect()}
+    some = tokenbin.read_documents(spark, out, spark.createDataFrame([(7,), (2,), (2,), (None,), (1000,)], "doc_id long")).collect()
+    assert {r["id"]: r["ids"] for r in some} == {i: every[i] for i in (7, 2)} and len(some) == 2
+
+
 def test_frequencies():
     ids, freq = tokenbin.normalized_frequencies({5: 1, 9: 10**9, 2: 3}, 12)
     assert ids.tolist() == [2, 5, 9] and freq.sum() == 4096 and freq.min() >= 1
