@@ -120,6 +120,38 @@ def retrieval_text(question: Column, options: Column) -> Column:
     return F.when(blank, F.raise_error(F.lit("retrieval needs a question and options, none of them blank"))).otherwise(text)
 
 
+#: Fixed wording of queries that go by the question, as above.
+FIND_FRAMES = "Find frames that best support answering the video question."
+GOOD_FRAME = "Is this a good frame can answer the question?"
+
+
+def question_query(question: Column) -> Column:
+    """The question alone; a blank one is an error."""
+    bare = _nonempty(F.trim(question))
+    return F.when(bare.isNull(), F.raise_error(F.lit("retrieval needs a question"))).otherwise(bare)
+
+
+def open_query(question: Column, options: Column) -> Column:
+    """The question with its options where none is blank, the question alone, or a default sentence; never an error."""
+    bare = _nonempty(F.trim(question))
+    usable_options = F.coalesce((F.size(options) > 0) & ~F.exists(options, lambda o: F.coalesce(F.trim(o) == "", F.lit(True))), F.lit(False))
+    listed = F.concat(bare, F.lit("\nOptions:\n"), label_options(options))
+    return F.coalesce(F.when(usable_options, listed).otherwise(bare), F.lit(FIND_FRAMES))
+
+
+def good_frame_query(question: Column, options: Column) -> Column:
+    """Question and options as a yes-or-no question about a frame; blank ones are errors as in retrieval_text."""
+    text = F.regexp_replace(retrieval_text(question, options), f"^{RETRIEVAL_HEAD}\n", "")
+    return F.concat(F.lit("Question: "), text, F.lit(f". {GOOD_FRAME}"))
+
+
+def candidate_prompt(question: Column, options: Column, pre: str = "", post: str = "") -> Column:
+    """The question and its options as lettered lines between two given texts. N/A is no option; blank ones keep their place; letters count those kept."""
+    kept = F.filter(F.transform(options, lambda o: F.trim(o)), lambda o: o.isNotNull() & (F.upper(o) != "N/A"))
+    lines = F.transform(kept, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o))
+    return F.concat(F.lit(pre), question, F.lit("\n"), F.coalesce(F.array_join(lines, "\n"), F.lit("")), F.lit(f"\n{post}"))
+
+
 def focus_query(question: Column, answer: Column) -> Column:
     """Question and answer, or the one that is there, or a default sentence."""
     q, a = (_nonempty(F.trim(c)) for c in (question, answer))

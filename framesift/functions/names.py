@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,35 @@ def has_pixel_limits(model_id: Column) -> Column:
     return limited | pixel_factor(model_id).isNotNull()
 
 
+#: Fixed names of an evaluation harness's models: the first row of which all of one group of parts occur in an id.
+HARNESS_MODELS = [
+    ("llava_vid", [["llava-video-7b-qwen2"], ["lmms-lab", "llava-video", "qwen2"]]),
+    ("llava_hf", [["llava-onevision", "llava-hf"], ["llava_onevision", "llava-hf"]]),
+    ("llava_onevision", [["llava-onevision", "lmms-lab"], ["llava_onevision", "lmms-lab"]]),
+    ("llava_hf", [["llava-onevision"], ["llava_onevision"], ["llava-next"], ["llava_next"]]),
+    ("llava_vid", [["llava", "video"]]),
+    ("qwen3_vl", [["qwen3-vl"], ["qwen3_vl"]]),
+    ("qwen2_5_vl", [["qwen2.5-vl"], ["qwen2_5-vl"]]),
+    ("qwen2_vl", [["qwen2-vl"]]),
+]
+HARNESS_DEFAULT = "qwen2_5_vl"
+
+
+def harness_model(model_id: Column) -> Column:
+    """The harness's name of a model; null for null."""
+    found = [F.when(reduce(or_, [reduce(and_, [_has(model_id, part) for part in parts]) for parts in groups]), F.lit(name)) for name, groups in HARNESS_MODELS]
+    return F.when(model_id.isNotNull(), F.coalesce(*found, F.lit(HARNESS_DEFAULT)))
+
+
+def aliased(values: dict[str, str | None], names: list[str], overridden: set[str]) -> str | None:
+    """One setting under several names, the first of which is the chief: where values differ, those that were overridden explicitly count, and among
+    these, or among all, the first that isn't blank."""
+    held = {n: (values.get(n) or "").strip() for n in names}
+    there = [n for n in names if held[n]]
+    chosen = [n for n in there if n in overridden] or there
+    return held[chosen[0]] if chosen else None
+
+
 def extractor_spec(spec: Column, providers: list[str]) -> Column:
     """struct(mode, provider, model) of `local`, `local-model`, `provider-model` or a bare remote model's name.
 

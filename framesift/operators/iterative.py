@@ -13,6 +13,8 @@ round are used as often as they stand there; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def stop_rounds(rounds: DataFrame, *, streak: int = WINDOW, threshold: float = T
     return rows.withColumn("stop", ends).drop("starts", "island")
 
 
+def extracted(rounds: DataFrame, extract: Callable[[Column, Column], Column]) -> DataFrame:
+    """rounds with the answer that extract(response, has_options) reads; a blank one is null."""
+    return rounds.withColumn("answer", F.nullif(extract(F.col("response"), F.coalesce("has_options", F.lit(False))), F.lit("")))
+
+
 def fold_rounds(rounds: DataFrame, *, streak: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each round that is asked: sample, round, answer (carried), streak, stopped, hits, misses (both so far)."""
     order = Window.partitionBy("sample").orderBy("round")
