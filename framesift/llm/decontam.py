@@ -50,14 +50,13 @@ BROADCAST_WORDS = 4_000_000
 
 
 def words_of(text: Column) -> Column:
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", "")
-    return F.split(bare, r"[^\p{L}\p{N}]+")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seed_hash(words: Column, at: Column, mask: str, number: int) -> Column:
-    """Null where the window runs over the end."""
-    counted = [F.get(words, at + i) for i, c in enumerate(mask) if c == "1"]
-    return F.when(at + len(mask) <= F.size(words), F.xxhash64(F.lit(number), *counted))
+def seed_hash(marks: Column, at: Column, mask: str, number: int) -> Column:
+    """Of the hashes of words (marks), each of which is hashed once however many windows and masks it is in. Null where the window runs over the end."""
+    counted = [F.get(marks, at + i) for i, c in enumerate(mask) if c == "1"]
+    return F.when(at + len(mask) <= F.size(marks), F.xxhash64(F.lit(number), *counted))
 
 
 def _covered(n_item: Column) -> Column:
@@ -66,13 +65,14 @@ def _covered(n_item: Column) -> Column:
 
 
 def _windows(rows: DataFrame, masks: Sequence[str], keep: list[str], number: str | None = None) -> DataFrame:
-    """keep, words, at, hash: every window under every mask; on request the mask's number too."""
+    """keep, at, hash: every window under every mask; on request the mask's number too."""
     shortest = min(len(m) for m in masks)
-    last = F.size("words") - shortest  # guarded inside explode: a filter would split the text a second time
-    spread = rows.select(*keep, "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
-    hashes = F.array(*[seed_hash(F.col("words"), F.col("at"), m, i) for i, m in enumerate(masks)])
+    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("marks"))
+    last = F.size("marks") - shortest  # guarded inside explode: a filter would split the text a second time
+    spread = rows.select(*keep, "marks", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    hashes = F.array(*[seed_hash(F.col("marks"), F.col("at"), m, i) for i, m in enumerate(masks)])
     made = F.posexplode(hashes).alias(number, "hash") if number else F.explode(hashes).alias("hash")
-    return spread.select(*keep, "words", "at", made)
+    return spread.select(*keep, "at", made)
 
 
 def _seeds(items: DataFrame, masks: Sequence[str]) -> tuple[list[str], DataFrame]:
@@ -107,7 +107,7 @@ def find_overlaps(
 ) -> DataFrame:
     """doc, item, start (word of the text), n_words, n_matched, item_words: one row for each document and item that overlap."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), words_of(benchmark[item_text_col].cast("string")).alias("words"))
-    items = items.where((F.get("words", F.lit(0)) != "") & (F.size("words") >= min_item))
+    items = items.where((F.size("words") > 0) & (F.size("words") >= min_item))
     items = materialized(items.select("item", F.xxhash64("item", "words").alias("key"), "words", F.size("words").alias("n_item")).dropDuplicates(["key"]))
     masks, seeds = _seeds(items, masks)
     seeds = materialized(seeds.withColumnRenamed("key", "item_key"))
