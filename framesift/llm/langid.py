@@ -5,8 +5,9 @@ character n-grams instead: at each place the longest n-gram ending there that tr
 characters down to one. A document's language is the one with the largest sum over its words.
 
 Training counts words over a sample of labelled rows: about SAMPLE_ROWS of each language, drawn by a hash
-of the id, all rows where there are fewer. That bound on rows is the only one: every word of the sample is in the model, and
-n-grams are counted over those words. Words are runs of letters (\p{L}), lower-cased, in training and in prediction.
+of the id, all rows where there are fewer. Every word of the sample is in the model, and
+n-grams are counted over those words; beyond MODEL_WORDS pairs of a word and a language the commonest ones are. That and MAX_CHARS bound what
+comes to the driver and is broadcast (some 200 MB at the very most), whatever the texts are. Words are runs of letters (\p{L}), lower-cased, in training and in prediction.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if there is nothing
 to learn from; rows without lang or text teach nothing; more than MAX_LANGUAGES languages are an error, since that column names none; equal sums go to the language first by code point; a
@@ -27,10 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm.common import release_memory, text_batches
+from framesift.llm.common import materialized, release_memory, text_batches
 
 SAMPLE_ROWS = 1_000
 MAX_LANGUAGES = 1_000
+MODEL_WORDS, MAX_CHARS = 1 << 20, 64
 MAX_GRAM = 5
 UNDETERMINED = "und"
 SMOOTHING = 0.5
@@ -137,8 +139,8 @@ class Model:
         return self.languages[best], float(1 / sure.sum())
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits a model on labelled rows; counts run in Spark, those of the sample's words come to the driver."""
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, model_words: int = MODEL_WORDS) -> Model:
+    """Fits a model on labelled rows; counts run in Spark, those of the model's words come to the driver."""
     rows = labelled.select(labelled[id_col].cast("string").alias("id"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}  # a row for each language
@@ -149,9 +151,14 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     totals: Counter = Counter()
-    for r in words.groupBy("lang", "word").agg(F.count("*").alias("n")).coalesce(4).toLocalIterator():  # bounded by the sample
+    counted = materialized(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
+    for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect():  # a row for each language
+        totals[r["lang"]] = r["n"]
+    kept = counted.where(F.char_length("word") <= MAX_CHARS)
+    if kept.count() > model_words:
+        kept = kept.orderBy(F.desc("n"), "lang", "word").limit(model_words)
+    for r in kept.coalesce(4).toLocalIterator():
         counts[r["word"]][r["lang"]] = r["n"]
-        totals[r["lang"]] += r["n"]
     return Model(dict(sorted(counts.items())), dict(totals))
 
 

@@ -446,3 +446,10 @@ def test_kept_text_is_hashed_as_asked(spark, make):
     text = "a  b\tc\n d"
     r = substring.dedup_substrings(make([text])).select(F.sha2("text", 256).alias("h")).head()
     assert r["h"] == hashlib.sha256(b"a b c d").hexdigest()
+
+
+def test_language_model_is_bounded(spark, make):
+    docs = make(["aa aa aa bb bb cc " + "x" * 100, "dd dd ee ee ee ff"] * 3, langs=["en", "de"] * 3, ids=[1, 2, 3, 4, 5, 6])
+    whole, few = langid.train(docs), langid.train(docs, model_words=2)
+    assert set(whole.words) == {"aa", "bb", "cc", "dd", "ee", "ff"} and set(few.words) == {"aa", "ee"}
+    assert few.languages == whole.languages == ["de", "en"] and few.predict("aa")[0] == "en" and few.predict("ee dd")[0] == "de"
