@@ -23,23 +23,20 @@ def without_ids(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", broa
     return docs.join(ids, docs[id_col].cast("long") == ids["dropped_id"], "left_anti")
 
 
-#: A document stays if its language is likelier than all others together.
-MIN_SCORE = 0.5
-
-
-def keep_identified(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents whose language can be told, with a score of min_score or more. The model learns from labelled.
+def keep_identified(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Documents whose language can be told. The model learns from labelled.
 
     Null texts and texts without a letter go, and texts in which the model finds nothing that sets one language apart (in none of its
-    scripts, say). Where nothing can be learnt, only the former go. Repeated rows and rows without an id are judged one by one.
+    scripts, say): their languages are all as likely. Where nothing can be learnt, or just one language, only the former go. Repeated rows and rows without
+    an id are judged one by one.
     """
     model = langid.train(labelled.where(~langid.held_out(labelled[id_col])), text_col=text_col, lang_col=lang_col, id_col=id_col)
-    if not model.languages:
+    if len(model.languages) < 2:
         return docs.where(docs[text_col].cast("string").rlike(r"\p{L}"))
     mark = "language_" + "_".join(docs.columns)
     found = langid.identify(docs, model, text_col=text_col, out=mark)
-    sure = (F.col(f"`{mark}`.lang_pred") != langid.UNDETERMINED) & (F.col(f"`{mark}`.score") >= min_score)
-    return found.where(sure).select(*[docs[c] for c in docs.columns])
+    told = (F.col(f"`{mark}`.lang_pred") != langid.UNDETERMINED) & (F.col(f"`{mark}`.score") > 1 / len(model.languages) + 1e-9)
+    return found.where(told).select(*[docs[c] for c in docs.columns])
 
 
 def keep_one_of_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **params) -> DataFrame:

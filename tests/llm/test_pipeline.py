@@ -146,3 +146,12 @@ def test_language_stage_rejects_what_no_language_claims(spark, make):
     docs = make(texts, ids=[1, None, 3, 4, 5, 1, None])
     kept = stages.keep_identified(docs, taught)
     assert sorted(r["text"] for r in kept.collect()) == ["the and of", "the and of", "und die der"] and kept.columns == docs.columns
+
+
+def test_identified_texts_stay(spark, make):
+    texts = ["the house of the words is here"] * 20 + ["le mot de la maison est ici"] * 20 + ["the", "Maison.", "漢字", "123", None]
+    docs = make(texts, langs=["en"] * 20 + ["fr"] * 20 + [None] * 5)
+    kept = {r["doc_id"] for r in stages.keep_identified(docs, docs).collect()}
+    assert kept == set(range(42))  # even one word that is known tells; other scripts and no letters don't
+    alone = docs.where("lang = 'en' OR lang IS NULL")
+    assert stages.keep_identified(alone, alone).count() == 23  # one language: all texts with a letter
