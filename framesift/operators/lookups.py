@@ -62,6 +62,19 @@ def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), columns)
 
 
+def value_grid(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Every combination of the values that the columns take in rows (nulls are none). The values are few: each column's are gathered, and spread out."""
+    sets = rows.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])
+    for c in columns:
+        sets = sets.withColumn(c, F.explode(c))
+    return sets
+
+
+def missing_configurations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The combinations of value_grid that no row has."""
+    return value_grid(rows, columns).join(rows.select(*columns).distinct(), columns, "left_anti")
+
+
 def pick_by_index(rows: DataFrame, values: str, at: str) -> DataFrame:
     """Adds picked: the value at a place counted from one; rows with a place outside are dropped."""
     return rows.where((F.col(at) >= 1) & (F.col(at) <= F.size(values))).withColumn("picked", F.get(F.col(values), (F.col(at) - 1).cast("int")))

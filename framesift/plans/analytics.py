@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framesift.operators import ranking, scoring, selection
@@ -107,15 +108,14 @@ def model_diff(spark, sf_dir):
     return scoring.model_differences(rows, key="task", model="l_returnflag", value="l_quantity", first="A", second="N")
 
 
-_ROUNDS = "rd AS (SELECT l_orderkey::BIGINT AS sample, l_linenumber::BIGINT AS round_idx, l_returnflag AS answer, l_quantity / 50.0::DOUBLE AS prob FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1)"
+_ROUNDS = "rd AS (SELECT l_orderkey::BIGINT AS sample, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS round_idx, l_returnflag AS answer, l_quantity / 50.0::DOUBLE AS prob FROM lineitem)"
 
 
 def _rounds(spark, sf_dir):
-    from framesift.operators.sampling import first_per_bucket
-
-    rows = load(spark, sf_dir, "lineitem").withColumn("round", F.struct("l_orderkey", "l_linenumber"))
-    rows = first_per_bucket(rows, 1, "round", "l_partkey", "l_suppkey", "l_extendedprice")
-    return rows.select(F.col("l_orderkey").cast("bigint").alias("sample"), F.col("l_linenumber").cast("bigint").alias("round_idx"), F.col("l_returnflag").alias("answer"), (F.col("l_quantity") / 50.0).alias("prob"))
+    """An order's lines as rounds, numbered one after the other."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = load(spark, sf_dir, "lineitem").withColumn("round", F.row_number().over(order).cast("bigint"))
+    return rows.select(F.col("l_orderkey").cast("bigint").alias("sample"), F.col("round").alias("round_idx"), F.col("l_returnflag").alias("answer"), (F.col("l_quantity") / 50.0).alias("prob"))
 
 
 @register(
@@ -159,11 +159,3 @@ def inventory(spark, sf_dir):
 @register("score_stats", f"WITH {SC} SELECT video, count(*)::BIGINT AS n, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM sc GROUP BY video")
 def stats(spark, sf_dir):
     return scoring.score_stats(scored(spark, sf_dir), ["video"])
-
-
-@register("abl_missing_configs", "SELECT s::DOUBLE AS strength, b::BIGINT AS budget FROM (VALUES (0.0), (1.0), (8.0)) x(s), (VALUES (16), (32)) y(b) WHERE NOT (s = 1.0 AND b = 16)")
-def missing_configs(spark, sf_dir):
-    from framesift.operators.lookups import parameter_grid
-
-    expected = parameter_grid(spark, strength=[0.0, 1.0, 8.0], budget=[16, 32])
-    return expected.join(parameter_grid(spark, strength=[1.0], budget=[16]), ["strength", "budget"], "left_anti")

@@ -62,9 +62,21 @@ def cache_policy(spark, sf_dir):
     return lookups.cache_state(wanted, cached, "sample_id", "kws").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("jn_param_grid", "SELECT s::DOUBLE AS strength, b::BIGINT AS budget FROM (VALUES (0.0), (0.5), (1.0), (2.0), (4.0), (8.0)) x(s), (VALUES (16), (32)) y(b)")
+_GRID = "SELECT flag, status, number FROM (SELECT DISTINCT l_returnflag AS flag FROM lineitem), (SELECT DISTINCT l_linestatus AS status FROM lineitem), (SELECT DISTINCT l_linenumber::BIGINT AS number FROM lineitem)"
+
+
+def _configured(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").cast("bigint").alias("number"))
+
+
+@register("jn_param_grid", _GRID)
 def grid(spark, sf_dir):
-    return lookups.parameter_grid(spark, strength=[0.0, 0.5, 1.0, 2.0, 4.0, 8.0], budget=[16, 32])
+    return lookups.value_grid(_configured(spark, sf_dir), ["flag", "status", "number"])
+
+
+@register("abl_missing_configs", f"{_GRID} EXCEPT SELECT l_returnflag, l_linestatus, l_linenumber::BIGINT FROM lineitem")
+def missing_configs(spark, sf_dir):
+    return lookups.missing_configurations(_configured(spark, sf_dir), ["flag", "status", "number"])
 
 
 @register("jn_captions_by_index", "SELECT o_orderkey::BIGINT AS id, list_extract(['a', 'b', 'c', 'd'], l_linenumber)  AS caption, l_linenumber::BIGINT AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber BETWEEN 1 AND 4")

@@ -25,9 +25,13 @@ def task_filters(spark, sf_dir):
     return found
 
 
+def _choices(spark, sf_dir):
+    rows = samples(spark, sf_dir).where("options IS NOT NULL")
+    return rows.select(F.col("task_type").alias("task"), F.lit(None).cast("double").alias("truth_number"), F.lit(None).cast("double").alias("number"), F.lit(True).alias("is_mcq"), "truth", "answer")
+
+
 def _scored_samples(spark, sf_dir):
-    choices = samples(spark, sf_dir).select(F.col("task_type").alias("task"), F.lit(None).cast("double").alias("truth_number"), F.lit(None).cast("double").alias("number"), F.col("options").isNotNull().alias("is_mcq"), "truth", "answer")
-    return choices.where("is_mcq").unionByName(numeric(spark, sf_dir))
+    return _choices(spark, sf_dir).unionByName(numeric(spark, sf_dir))
 
 
 _ALL = f"""WITH {SAMPLES}, {NUMERIC}, mc AS (SELECT count(*) FILTER (truth = answer) AS correct, count(*) AS n FROM samples WHERE is_mcq),
@@ -44,8 +48,7 @@ def accuracy_all(spark, sf_dir):
     f"WITH {SAMPLES} SELECT task_type AS task, (count(*) FILTER (truth = answer))::BIGINT AS correct, count(*)::BIGINT AS n_mcq, round(100.0 * count(*) FILTER (truth = answer) / count(*), 6)::DOUBLE AS accuracy FROM samples WHERE is_mcq GROUP BY 1",
 )
 def accuracy_by_task(spark, sf_dir):
-    rows = _scored_samples(spark, sf_dir).where("is_mcq")
-    return scoring.accuracy(scoring.tally(rows, ["task"]), "mcq").select("task", "correct", "n_mcq", "accuracy")
+    return scoring.accuracy(scoring.tally(_choices(spark, sf_dir), ["task"]), "mcq").select("task", "correct", "n_mcq", "accuracy")
 
 
 def _mra(mode):
@@ -141,14 +144,14 @@ def choice_letters(spark, sf_dir):
 
 @register(
     "prompt_texts",
-    """WITH s AS (SELECT doc_id::BIGINT AS sample_id, source, quality IS NOT NULL AS mc FROM documents LEFT JOIN labels USING (doc_id) WHERE source IS NOT NULL)
+    """WITH s AS (SELECT doc_id::BIGINT AS sample_id, coalesce(source, 'no source') AS source, quality IS NOT NULL AS mc FROM documents LEFT JOIN labels USING (doc_id))
 SELECT sample_id, CASE WHEN mc THEN source || E'\n\nOptions:\nA. no\nB. yes\n\nDirectly answer with the option letter only. Do not explain.' ELSE source || E'\n\nPlease provide the numerical answer directly.' END AS prompt,
   CASE WHEN mc THEN E'a video frame relevant to the following question and options:\n' || source || E'\nOptions:\nA. no\nB. yes' END AS query,
   CASE WHEN mc THEN 'Question: ' || source || E'\nAnswer: yes' ELSE source END AS focus FROM s""",
 )
 def prompts(spark, sf_dir):
-    rows = samples(spark, sf_dir).where("dataset IS NOT NULL")
-    asked = F.col("dataset")
+    rows = samples(spark, sf_dir)
+    asked = F.coalesce("dataset", F.lit("no source"))
     return rows.select(
         "sample_id",
         answers.question_prompt(asked, F.col("options")).alias("prompt"),

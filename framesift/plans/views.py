@@ -20,11 +20,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """video, kw_id, vec: the first n vectors for every video."""
-    vectors = load(spark, sf_dir, "embeddings")
-    kws = vectors.where(F.col("vec_id") < n).select(F.col("vec_id").cast("bigint").alias("kw_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    videos = vectors.select(F.col("label").cast("bigint").alias("video")).distinct()
-    return videos.crossJoin(F.broadcast(kws))  # n rows, given by the parameter
+    """video, kw_id, vec: the first n vectors of each video."""
+    return frames(spark, sf_dir).where(F.col("pos") < n).select("video", F.col("frame_id").alias("kw_id"), "vec")
 
 
 def sims(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
@@ -91,9 +88,9 @@ def _seconds():
 
 #: The same views in SQL, for WITH clauses.
 FR = "fr AS (SELECT label::BIGINT AS video, vec_id::BIGINT AS frame_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n, embedding::DOUBLE[] AS vec FROM embeddings)"
-KW = "kw AS (SELECT v.video, e.vec_id::BIGINT AS kw_id, e.embedding::DOUBLE[] AS vec FROM embeddings e CROSS JOIN (SELECT DISTINCT label::BIGINT AS video FROM embeddings) v WHERE e.vec_id < 5)"
+KW = "kw AS (SELECT label::BIGINT AS video, vec_id::BIGINT AS kw_id, embedding::DOUBLE[] AS vec FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5)"
 SIMS = f"{FR}, {KW}, sims AS (SELECT fr.video, kw_id, frame_id, pos, n, round(list_dot_product(fr.vec, kw.vec), 9) AS sim FROM fr JOIN kw USING (video))"
-SC = f"{SIMS}, sc AS (SELECT video, frame_id, pos, n, sim AS score FROM sims WHERE kw_id = 0)"
+SC = f"{SIMS}, sc AS (SELECT video, frame_id, pos, n, sim AS score FROM sims QUALIFY kw_id = min(kw_id) OVER (PARTITION BY video))"
 VID = "vid AS (SELECT user_id::BIGINT AS video, count(*) AS n, 2.5::DOUBLE AS fps FROM events GROUP BY 1)"
 SAMPLES = "samples AS (SELECT doc_id::BIGINT AS sample_id, source AS dataset, lang AS task_type, quality IS NOT NULL AS is_mcq, chr((quality + 65)::INT) AS truth, chr((toxic + 65)::INT) AS answer FROM documents LEFT JOIN labels USING (doc_id))"
 NUMERIC = "numbers AS (SELECT l_returnflag AS task, CASE WHEN l_linenumber = 6 THEN 0.0 ELSE l_extendedprice END::DOUBLE AS g, CASE WHEN l_linenumber <> 7 THEN l_extendedprice * (1 - l_discount) END::DOUBLE AS p FROM lineitem)"
