@@ -41,6 +41,51 @@ def test_licenses_against_brute_force(spark, make):
     assert rows[3]["score"] == 1.0 and rows[6]["score"] == 0.0
 
 
+def votes(text):
+    """(labels, score) by counting votes one by one."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, score = set(), 0.0
+    for size, found in ((licenses.PHRASE_GRAM, licenses.PHRASES), (licenses.PASSAGE_GRAM, licenses.PASSAGES)):
+        for template, label in found.items():
+            own = template.split()
+            grams = [own[i : i + size] for i in range(len(own) - size + 1)]
+            diagonals = {}
+            for at in range(len(words) - size + 1):
+                for place, gram in enumerate(grams):
+                    if words[at : at + size] == gram:
+                        diagonals.setdefault(at - place, []).append((at, place))
+            islands, before = [], None
+            for d in sorted(diagonals):
+                if before is None or size == licenses.PHRASE_GRAM or d - before > licenses.NEAR:
+                    islands.append([])
+                islands[-1] += diagonals[d]
+                before = d
+            for hits in islands:
+                coverage = len({place for _, place in hits}) / len(grams)
+                length = max(at for at, _ in hits) + size - min(at for at, _ in hits)
+                if coverage == 1 if size == licenses.PHRASE_GRAM else coverage >= licenses.COVERAGE and length <= licenses.STRETCH * len(own):
+                    labels.add(label)
+                    score = max(score, coverage)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_and_scores_by_counted_votes(spark, make):
+    rng = random.Random(12)
+    texts = list(TEXTS)
+    for _ in range(60):
+        words = rng.choice(list(licenses.PASSAGES) + list(licenses.PHRASES)).split()
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = rng.choice([[], ["other"], ["the", "the"], words[at : at + 3]])
+            words = words or ["x"]
+        cut = rng.randrange(len(words))
+        texts.append(" ".join(["Some Words"] * rng.randint(0, 3) + words[cut * rng.randint(0, 1) :] + words[:cut] * rng.randint(0, 1)).title())
+    rows = {r["id"]: (r["labels"], r["score"]) for r in licenses.label_documents(make(texts)).collect()}
+    want = {i: votes(t) for i, t in enumerate(texts)}
+    assert rows == {i: (labels, pytest.approx(score)) for i, (labels, score) in want.items()}
+    assert len({labels for labels, _ in want.values()}) > 5 and any(0 < score < 1 for _, score in want.values())
+
+
 def test_licenses_repeats_nulls_empty(spark, make):
     assert licenses.label_documents(make([])).count() == 0
     same = licenses.label_documents(make(["mit license"] * 3, ids=[1, 1, None])).collect()
