@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from framesift.llm.common import releasing, remove, text_batches, work_path
 
 END_ID = 2
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 #: Lanes of a full block, the fewest, and ids of a block for each lane.
-LANES, LEAST_LANES, IDS_A_LANE = 128, 4, 1 << 10
+LANES, LEAST_LANES, IDS_A_LANE = 256, 4, 1 << 10
 CHECKPOINT_STEPS = 1 << 9
 PRECISION = 20
 #: Bytes of packed ids counted at once.
@@ -107,6 +107,7 @@ class _Words(dict):
         self.old: dict[str, bytes] = {}
         self.find, self.letters = regex.compile(PIECE).findall, _byte_letters()
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {t[0] for t in self.special}  # one character tells of most words that they hold none
 
     def forget(self) -> None:
         """Empties the caches: workers outlive tasks."""
@@ -143,12 +144,14 @@ class _Words(dict):
             return self.encode(word)
         if self.old and (ids := self.old.get(word)) is not None:
             pass
-        elif word.isalpha() and (word.isascii() or PLAIN.fullmatch(word)):
+        elif not (word.isprintable() if word.isascii() else PLAIN.fullmatch(word)):
+            ids = self.encode(word)
+        elif word.isalpha():
             ids = self.coded(word) if (low := word.lower()) == word else self[low]
-        elif PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            ids = self.cut(word)
-        else:
+        elif any(m in word for m in self.marks) and any(s in word for s in self.special):
             ids = self.encode(word)
+        else:
+            ids = self.cut(word)
         if len(self) >= self.cache_words:
             self.old = dict(self)
             self.clear()
@@ -243,21 +246,25 @@ def encode_parts(ids: np.ndarray, parts: int, lanes: int, table: Table) -> tuple
     x = np.full((parts, lanes), LOWER, dtype=np.uint64)
     words: list[np.ndarray] = []
     owners: list[np.ndarray] = []
+    kind = np.uint16 if parts < 1 << 16 else np.uint32  # short ones are sorted by radix
     last = own.shape[1] - 1
     for at in range(last // lanes * lanes if last >= 0 else -1, -1, -lanes):
         now = own[:, at : at + lanes]
-        f, live = table.freq[now], x[:, : now.shape[1]]
-        full = live >= f << limit
-        part, lane = np.nonzero(full)
-        if len(part):
-            high = live[part, lane]
+        width = now.shape[1]
+        live = x if width == lanes else x[:, :width].copy()
+        f, flat = table.freq[now], live.reshape(-1)
+        full = np.flatnonzero(live >= f << limit)
+        if len(full):
+            high = flat[full]
             words.append(high.astype("<u4"))  # the low word
-            owners.append(part)
-            live[part, lane] = high >> np.uint64(32)
+            owners.append((full // width).astype(kind))
+            flat[full] = high >> np.uint64(32)
         quotient = live // f
         # q << shift | x % f, plus base: with r = x - q * f, x + q * (2**shift - f) + base
         live += quotient * (whole - f)
         live += table.base[now]
+        if width < lanes:
+            x[:, :width] = live
     if not words:
         return x, np.zeros(parts, dtype=np.int64), np.zeros(0, dtype="<u4")
     owner = np.concatenate(owners[::-1])
@@ -301,26 +308,31 @@ def decode_parts(states: np.ndarray, offsets: np.ndarray, stream: np.ndarray, le
     """Parts of equal length, side by side: (ids by part, last states, those that coding began with)."""
     shift, slot_mask = np.uint64(table.precision), np.uint64((1 << table.precision) - 1)
     word, lower = np.uint64(32), np.uint64(LOWER)
-    x, at = states.astype(np.uint64), offsets.astype(np.int64)[:, None] - 1
-    lanes = x.shape[1]
-    ids = np.empty((len(x), length), dtype=np.uint32)
+    x, at = states.astype(np.uint64), offsets.astype(np.int64)
+    parts, lanes = x.shape
+    ids = np.empty((parts, length), dtype=np.uint32)
     for i in range(0, length, lanes):
-        live = x[:, : min(lanes, length - i)]
+        width = min(lanes, length - i)
+        live = x if width == lanes else x[:, :width].copy()
         slot = live & slot_mask
         found = table.slots[slot]
-        ids[:, i : i + lanes] = found
+        ids[:, i : i + width] = found
         slot -= table.base[found]
         live >>= shift
         live *= table.freq[found]
         live += slot
-        short = live < lower
-        taken = short.cumsum(axis=1)
-        if taken[:, -1].any():
-            places = (taken + at)[short]
-            if places[-1] >= len(stream) or places.max() >= len(stream):
+        short = np.flatnonzero(live < lower)
+        if len(short):
+            part = short // width
+            taken = np.bincount(part, minlength=parts)
+            places = np.arange(len(short)) + (at - np.cumsum(taken) + taken)[part]
+            if places.max() >= len(stream):
                 raise ValueError("a part reads beyond the stream")
-            live[short] = (live[short] << word) | stream[places]
-            at += taken[:, -1:]
+            flat = live.reshape(-1)
+            flat[short] = (flat[short] << word) | stream[places]
+            at += taken
+        if width < lanes:
+            x[:, :width] = live
     return ids, x
 
 
