@@ -46,8 +46,8 @@ SIGNIFICANT = 0.05
 KEPT = 16
 #: Bins of the clean tokens' scores, bounds of -ln E as a feature, and the ridge of the logistic fit.
 BINS, LEAST, MOST, RIDGE = 64, -5.0, 40.0, 1.0
-#: Labels that may be broadcast (two numbers each); beyond it texts and labels are exchanged.
-BROADCAST_LABELS = 2_000_000
+#: Labels that may be broadcast (some 60 bytes each); beyond it texts and labels are exchanged.
+BROADCAST_LABELS = 500_000
 #: Distinct words that a task counts before it hands them on, and characters cut into words at once.
 WORDS_AT_ONCE, CHARS_AT_ONCE = 200_000, 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
