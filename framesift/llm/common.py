@@ -77,6 +77,12 @@ def release_memory() -> None:
         trim(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives back what nothing refers to any more: memory of the driver, and with its garbage the shuffle files that Spark keeps until it is collected."""
+    release_memory()
+    spark._jvm.System.gc()
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function of batches, after which its worker's memory is given back."""
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import materialized, releasing, text_batches
+from framesift.llm.common import materialized, releasing, text_batches, tidy
 from framesift.llm.components import connected_components
 from framesift.llm.simhash import MAX_BITS, SHINGLE, links, parts_of, shingle_hashes, simhash
 
@@ -201,6 +201,7 @@ def similar_links(rows: DataFrame, near: DataFrame, texts: DataFrame, *, words:
     posted = rows.where("n > 0").select("t", "n", F.explode("s").alias("h"))
     groups = posted.groupBy("h").agg(F.collect_set(F.struct("t", "n")).alias("members")).where(F.size("members") > 1)
     groups = materialized(groups)
+    tidy(rows.sparkSession)  # the exchange of all posted places is read no more
     small, large = groups.where(F.size("members") <= pairwise), groups.where(F.size("members") > pairwise)
     counted = _emit(small, "all").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     # Past the posted places of the one whose last comes first, ceil(4n/5) - 1 places remain.
@@ -208,6 +209,7 @@ def similar_links(rows: DataFrame, near: DataFrame, texts: DataFrame, *, words:
     counted = counted.where((UP + DOWN) * (F.col("shared") + rest) >= UP * (F.col("na") + F.col("nb"))).drop("shared")
     hubs = _emit(large, "hubs")
     found = _verified(materialized(counted.unionByName(hubs).distinct()), rows, texts, words)
+    tidy(rows.sparkSession)  # nor are the candidates' whole sets
     same = rows.where("n > 0").groupBy("t").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # one set, repeated otherwise
     found = found.unionByName(same.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")))
     if not large.limit(1).count():
@@ -228,6 +230,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """A row for each row of docs: id, key (xxhash64 of the text), fp, root (names the component), component (its smallest id, over SimHash links and similar texts)."""
     rows = materialized(signatures(docs, id_col=id_col, text_col=text_col, words=words))
     near = materialized(links(rows.select("fp"), max_bits))
+    tidy(docs.sparkSession)
     text = docs[text_col].cast("string")
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
     every = near.unionByName(similar_links(rows, near, texts, words=words, pairwise=pairwise, block=block))

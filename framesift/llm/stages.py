@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm import decontam, langid, shingles
-from framesift.llm.common import materialized
+from framesift.llm.common import materialized, tidy
 
 #: Ids that may be broadcast to drop rows (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -36,6 +36,8 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_
     mark = "language_" + "_".join(docs.columns)
     found = langid.identify(docs, model, text_col=text_col, out=mark)
     told = (F.col(f"`{mark}`.lang_pred") != langid.UNDETERMINED) & (F.col(f"`{mark}`.score") > 1 / len(model.languages) + 1e-9)
+    del model  # tasks have it by broadcast
+    tidy(docs.sparkSession)
     return found.where(told).select(*[docs[c] for c in docs.columns])
 
 
@@ -48,6 +50,7 @@ def keep_one_of_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col
     no rank among copies and stay.
     """
     found = materialized(shingles.near_copies(docs, id_col=id_col, text_col=text_col, **params))
+    tidy(docs.sparkSession)
     firsts = found.where(F.col("id") == F.col("component"))
     repeated = materialized(firsts.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("kept")).where("rows > 1"))
     dropped = found.where(F.col("id") != F.col("component")).select("id", "key")
